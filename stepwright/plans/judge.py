@@ -157,8 +157,8 @@ def eval_by_config(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_by_config(spark: SparkSession, sf: str) -> DataFrame:
-    """Results written by run; one run is found again by its four names."""
-    run = {"pref_form": "explicit", "task": "cot", "topic": "en", "model": "src1"}
+    """Results written by run; those of one task are found again by their folders."""
+    run = {"pref_form": "explicit", "task": "cot"}
     keys = ["item_id", *exchange.RUN_KEYS]
     path = new_path(spark, "runs")
     exchange.write_runs(_flags(spark, sf, keys), path)
@@ -245,5 +245,5 @@ ORACLES = {
     "scan_by_config": f"""WITH {sql.FLAGS}
         SELECT item_id, pref_form, task, topic, model, judged::INTEGER AS judged,
           preference_adherence_accuracy::INTEGER AS adherent FROM flags
-        WHERE pref_form = 'explicit' AND task = 'cot' AND topic = 'en' AND model = 'src1'""",
+        WHERE pref_form = 'explicit' AND task = 'cot'""",
 }

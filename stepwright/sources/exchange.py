@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwright.sources.schemas import CHAT_REPLY
@@ -22,12 +22,15 @@ RUN_KEYS = ["pref_form", "task", "topic", "model"]
 
 
 def write_runs(df: DataFrame, path: str) -> None:
-    """Results laid out by run configuration."""
-    df.write.mode("overwrite").partitionBy(*RUN_KEYS).parquet(path)
+    """Results laid out by run configuration.
+
+    Rebalancing keeps the files per run few, and splits a run that is large.
+    """
+    df.hint("rebalance", *RUN_KEYS).write.mode("overwrite").partitionBy(*RUN_KEYS).parquet(path)
 
 
-def read_run(spark, path: str, **run: str) -> DataFrame:
-    """Results of one run; only its folders are read. A run without results is an error."""
+def read_run(spark: SparkSession, path: str, **run: str) -> DataFrame:
+    """Results of the runs with these names; only their folders are read. None is an error."""
     found = spark.read.parquet(path)
     for key, value in run.items():
         found = found.where(F.col(key) == value)

@@ -86,8 +86,8 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_by_file(df: DataFrame, path: str, *by: str) -> None:
-    """One folder per split and source file, each of JSON Lines."""
-    df.write.mode("overwrite").partitionBy(*by).json(path)
+    """One folder per value of `by`, each of JSON Lines; rebalanced to few, even files."""
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).json(path)
 
 
 def write_json_arrays(df: DataFrame, path: str) -> None:
