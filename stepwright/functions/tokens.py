@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stepwright.functions.arrays import bind
+
 
 def tail(tokens: Column, n: int, protected: list[str] | None = None) -> Column:
     """The last `n` tokens; protected tokens stay and the tail fills the rest."""
-    def last(kept: Column, room: Column) -> Column:
-        room = F.greatest(room, F.lit(0))
-        start = F.greatest(F.size(kept) - room, F.lit(0)) + 1
-        return F.slice(kept, start, room)
-
     if not protected:
-        return last(tokens, F.lit(n))
-    shield = F.array(*[F.lit(t) for t in protected])
-    free = F.filter(F.transform(tokens, lambda t, i: F.when(~F.array_contains(shield, t), i)),
+        kept = F.least(F.size(tokens), F.lit(n))
+        return F.slice(tokens, F.size(tokens) - kept + 1, kept)
+
+    def is_protected(token: Column) -> Column:
+        return token.isin(protected)
+
+    free = F.filter(F.transform(tokens, lambda t, i: F.when(~is_protected(t), i)),
                     lambda i: i.isNotNull())
-    kept_free = last(free, F.lit(n) - (F.size(tokens) - F.size(free)))
-    cut = F.coalesce(F.get(kept_free, F.lit(0)), F.size(tokens))
-    return F.filter(tokens, lambda t, i: F.array_contains(shield, t) | (i >= cut))
+
+    def first_kept(positions: Column) -> Column:
+        room = F.lit(n) - (F.size(tokens) - F.size(positions))
+        at = F.size(positions) - F.greatest(room, F.lit(0))
+        return F.coalesce(F.get(positions, F.greatest(at, F.lit(0))), F.size(tokens))
+
+    return bind(bind(free, first_kept), lambda cut: F.filter(
+        tokens, lambda t, i: is_protected(t) | (i >= cut)))
 
 
 def eos_length(tokens: Column, eos: Column) -> Column:
@@ -41,19 +47,34 @@ def mask_truncated(mask: Column, tokens: Column, eos: Column) -> Column:
         F.array_repeat(F.lit(0), F.size(tokens)))
 
 
-def find_tokens(haystack: Column, needle: Column, separator: str = " ") -> Column:
-    """First 0-based position of `needle` in `haystack`; 0 if empty, -1 if absent.
+def framed(tokens: Column, separator: str = " ") -> Column:
+    """Tokens as text with a separator, which no token contains, around each."""
+    return F.concat(F.lit(separator), F.array_join(tokens.cast("array<string>"), separator), F.lit(separator))
+
 
-    Both arrays are joined with a separator no token contains, so one substring
-    search finds the match and the separators before it give the position.
+def find_framed(text: Column, needle: Column, separator: str = " ") -> Column:
+    """First 0-based position of the `needle` tokens in framed text; 0 if empty, -1 if absent.
+
+    One substring search finds the match, the separators before it its position.
     """
-    def framed(tokens: Column) -> Column:
-        return F.concat(F.lit(separator), F.array_join(tokens, separator), F.lit(separator))
-
-    text = framed(haystack.cast("array<string>"))
-    at = F.instr(text, framed(needle.cast("array<string>")))
-    before = F.substring(text, F.lit(1), at)
-    count = F.length(before) - F.length(F.replace(before, F.lit(separator), F.lit("")))
-    return (F.when(F.size(needle) == 0, 0)
-            .when(at == 0, -1)
-            .otherwise(count - 1))
+    def position(at: Column) -> Column:
+        before = F.substring(text, F.lit(1), at)
+        return F.length(before) - F.length(F.replace(before, F.lit(separator), F.lit(""))) - 1
+
+    found = bind(F.instr(text, framed(needle, separator)),
+                 lambda at: F.when(at == 0, -1).otherwise(position(at)))
+    return F.when(F.size(needle) == 0, 0).otherwise(found)
+
+
+def find_tokens(haystack: Column, needle: Column, separator: str = " ") -> Column:
+    """First 0-based position of `needle` in `haystack`; 0 if empty, -1 if absent."""
+    return bind(framed(haystack, separator), lambda text: find_framed(text, needle, separator))
+
+
+def find_each(haystack: Column, needles: Column, separator: str = " ") -> Column:
+    """(needle, position) of several token arrays in one haystack."""
+    def located(needle: Column, text: Column) -> Column:
+        return F.struct(needle.alias("needle"), find_framed(text, needle, separator).alias("first"))
+
+    return bind(framed(haystack, separator),
+                lambda text: F.transform(needles, lambda n: located(n, text)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwright.functions import prompts, steps, trees
+from stepwright.functions.arrays import as_rows
 from stepwright.functions.text import STEP_SEPARATOR, format_score
 from stepwright.operators.skew import lookup_join
 
@@ -32,7 +33,8 @@ def tree_paths(records: DataFrame) -> DataFrame:
 
 def tree_nodes(records: DataFrame) -> DataFrame:
     """Nodes as rows: (idx, node_id, children, thought, reasoning, score)."""
-    return records.select("idx", F.explode("thought_tree").alias("node_id", "n")).select(
+    return records.select("idx", F.explode(F.map_entries("thought_tree")).alias("e")).select(
+        "idx", F.col("e.key").alias("node_id"), F.col("e.value").alias("n")).select(
         "idx", "node_id", "n.children", "n.thought", "n.reasoning", "n.score")
 
 
@@ -100,7 +102,7 @@ def cap_responses(response_list: Column) -> Column:
 def explode_responses(df: DataFrame, instruction: str = prompts.SFT_INSTRUCTION) -> DataFrame:
     """One training triple per response."""
     return df.select(
-        "*", F.posexplode("response_list").alias("response_no", "r")).select(
+        "*", F.posexplode(as_rows(F.col("response_list"))).alias("response_no", "r")).select(
         *[c for c in df.columns if c != "response_list"], "response_no",
         F.lit(instruction).alias("instruction"),
         prompts.sft_input(F.col("user_profile"), F.col("initial_question")).alias("input"),
@@ -118,16 +120,13 @@ def best_response(response_list: Column) -> Column:
 
 def step_examples(df: DataFrame, separator: str = STEP_SEPARATOR + "\n") -> DataFrame:
     """One row per step of a process with as many steps as labels, and its context."""
-    counted = df.withColumn("steps", steps.split_process(F.col("process"))).where(
-        F.size("steps") == F.size("label"))
-    return with_context(counted, separator).withColumn("critique", F.get("label", F.col("step_no"))["critique"])
-
-
-def with_context(df: DataFrame, separator: str) -> DataFrame:
-    """Explode `steps` to (step_no, step, context of all steps before)."""
-    others = [c for c in df.columns if c != "steps"]
-    return df.select(*others, "steps", F.posexplode("steps").alias("step_no", "step")).withColumn(
-        "context", steps.earlier_steps(F.col("steps"), F.col("step_no"), separator)).drop("steps")
+    matching = F.when(F.size("steps") == F.size("label"), F.col("steps"))
+    rows = df.withColumn("steps", steps.split_process(F.col("process"))).select(
+        *df.columns, "steps", F.posexplode(matching).alias("step_no", "step"))
+    return rows.withColumns({
+        "context": steps.earlier_steps(F.col("steps"), F.col("step_no"), separator),
+        "critique": F.get("label", F.col("step_no"))["critique"],
+    }).drop("steps")
 
 
 def running_context(step_rows: DataFrame, key: list[str], order: str, separator: str) -> DataFrame:

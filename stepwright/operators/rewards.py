@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stepwright.functions.steps import MAX_STEPS
 from stepwright.functions.text import words
-from stepwright.functions.tokens import find_tokens
+from stepwright.functions.tokens import find_each
 from stepwright.operators.skew import lookup_join
 
 STD_OFFSET = 1e-8  # fixed value: added to the deviation before dividing
@@ -47,21 +47,24 @@ def score_arrays(scores: DataFrame) -> DataFrame:
 
 
 def with_scores(completions: DataFrame, scores: DataFrame) -> DataFrame:
-    """Completions (`steps`) with `scores` aligned to their steps, missing ones 0.0."""
-    joined = completions.join(score_arrays(scores), COMPLETION, "left")
-    aligned = F.transform("steps", lambda _, i: F.coalesce(F.get(F.col("scores"), i), F.lit(0.0)))
-    return joined.withColumn("scores", aligned)
+    """Completions with their score array; join before splitting, to shuffle the text once."""
+    return completions.join(score_arrays(scores), COMPLETION, "left")
+
+
+def aligned_scores(steps: Column, scores: Column) -> Column:
+    """One score per step, 0.0 where none came back."""
+    return F.transform(steps, lambda _, i: F.coalesce(F.get(scores, i), F.lit(0.0)))
 
 
 def step_spans(tokens: Column, steps: Column, scores: Column) -> Column:
     """(first, after, score) of each step whose tokens occur in the completion."""
-    def span(step: Column, i: Column) -> Column:
-        needle = words(step)
-        first = find_tokens(tokens, needle)
-        return F.struct(first.alias("first"), (first + F.size(needle)).alias("after"),
+    def span(found: Column, i: Column) -> Column:
+        return F.struct(found["first"].alias("first"),
+                        (found["first"] + F.size(found["needle"])).alias("after"),
                         F.get(scores, i).alias("score"))
 
-    return F.filter(F.transform(steps, span), lambda s: s["first"] >= 0)
+    located = find_each(tokens, F.transform(steps, words))
+    return F.filter(F.transform(located, span), lambda s: s["first"] >= 0)
 
 
 def token_rewards(tokens: Column, spans: Column) -> Column:

@@ -126,8 +126,7 @@ def prefix_context_explode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def running_context(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inputs.processes(spark, sf).withColumn("steps", steps.split_process(F.col("process"))).where(
-        F.size("steps") == F.size("label")).select("idx", F.posexplode("steps").alias("step_no", "step"))
+    rows = examples(spark, sf).select("idx", "step_no", "step")
     return corpus.running_context(rows, ["idx"], "step_no", LINE).select("idx", "step_no", "context", "step")
 
 

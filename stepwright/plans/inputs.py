@@ -14,7 +14,7 @@ from stepwright.functions.steps import with_completion_steps
 from stepwright.functions.text import STEP_SEPARATOR, parse_score, words
 from stepwright.functions.tokens import eos_mask
 from stepwright.operators.judge import parse_verdicts
-from stepwright.operators.rewards import step_spans, token_rewards, with_scores
+from stepwright.operators.rewards import aligned_scores, step_spans, token_rewards, with_scores
 from stepwright.sources.tables import table
 
 EOS = "<eos>"
@@ -111,7 +111,11 @@ def multi_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 def generation_items(spark: SparkSession, sf: str) -> DataFrame:
     """A judged item per document and its run configuration; one source has no replies yet."""
-    return documents(spark, sf).select(
+    return generation_items_of(documents(spark, sf))
+
+
+def generation_items_of(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").alias("item_id"), preference().alias("preference"),
         first_line().alias("question"),
         F.when(F.col("source") != "src13", F.col("text")).alias("response_to_q"),
@@ -182,8 +186,11 @@ def scored_completions(spark: SparkSession, sf: str) -> DataFrame:
     """Completions with their steps, tokens and aligned step scores."""
     scores = critique_replies(spark, sf).select(
         "prompt_id", "gen", "step_no", parse_score(F.col("raw")).alias("score"))
-    steps = with_completion_steps(completions(spark, sf), "completion")
-    return with_scores(steps, scores).withColumn("tokens", words(F.col("completion")))
+    steps = with_completion_steps(with_scores(completions(spark, sf), scores), "completion")
+    return steps.withColumns({
+        "scores": aligned_scores(F.col("steps"), F.col("scores")),
+        "tokens": words(F.col("completion")),
+    })
 
 
 def rollouts(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwright.functions import tokens as tok
+from stepwright.functions.arrays import as_rows
 from stepwright.functions.steps import with_completion_steps
 from stepwright.functions.text import collapse_tokens, parse_score as score_of, words
 from stepwright.operators import loss, rewards
@@ -35,7 +36,7 @@ def parse_score(spark: SparkSession, sf: str) -> DataFrame:
 
 def split_completion_steps(spark: SparkSession, sf: str) -> DataFrame:
     split = with_completion_steps(inputs.completions(spark, sf), "completion")
-    return split.select(*KEYS, F.posexplode("steps").alias("step_no", "step"))
+    return split.select(*KEYS, F.posexplode(as_rows(F.col("steps"))).alias("step_no", "step"))
 
 
 def tail_truncate(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,8 +68,9 @@ def mask_truncated(spark: SparkSession, sf: str) -> DataFrame:
 def find_subsequence(spark: SparkSession, sf: str) -> DataFrame:
     """Position of every step's tokens in its completion's tokens."""
     split = with_completion_steps(completion_tokens(spark, sf), "completion")
-    return split.select(*KEYS, F.posexplode(F.transform(
-        "steps", lambda s: tok.find_tokens(F.col("tokens"), words(s)))).alias("step_no", "first"))
+    return split.select(*KEYS, F.posexplode(tok.find_each(
+        F.col("tokens"), F.transform("steps", words))).alias("step_no", "found")).select(
+        *KEYS, "step_no", "found.first")
 
 
 def replicate_generations(spark: SparkSession, sf: str) -> DataFrame:
