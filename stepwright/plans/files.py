@@ -53,17 +53,16 @@ def scan_jsonl_tolerant(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quarantine_corrupt(spark: SparkSession, sf: str) -> DataFrame:
-    """A file per document, those of one source cut short: undecodable files, and good rows."""
-    path = new_path(spark, "files")
-    lines = _documents(spark, sf)
-    element = F.to_json(F.struct("doc_id", "lang", "source", "text"))
-    closing = F.when(F.col("source") == "src5", "").otherwise("]")
-    lines.select("source", F.concat(F.lit("["), element, closing).alias("value")).hint(
-        "rebalance", "source").write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)
-    scan = json_files.read_json_arrays(spark, path, "doc_id bigint, text string", PARTS)
-    return scan.groupBy("source").agg(
-        F.count_if(F.col(json_files.CORRUPT).isNull()).alias("good"),
-        F.count_if(F.col(json_files.CORRUPT).isNotNull()).alias("quarantined"),
+    """Array files, those of one source never closed: rows of the others, quarantine of these."""
+    path, docs = new_path(spark, "files"), _documents(spark, sf)
+    damaged = F.col("source") == "src5"
+    json_files.write_json_arrays(docs.where(~damaged), f"{path}/folder=sound")
+    element = F.concat(F.lit("["), F.to_json(F.struct("doc_id", "lang", "source", "text")))
+    docs.where(damaged).select(element.alias("value")).write.text(f"{path}/folder=damaged")
+    scan = json_files.read_json_arrays(spark, path, DOCUMENT, PARTS)
+    good = F.col(json_files.CORRUPT).isNull()
+    return scan.groupBy("folder", "source").agg(
+        F.count_if(good).alias("good"), F.max((~good).cast("int")).alias("quarantined"),
         F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
 
 
@@ -149,9 +148,11 @@ ORACLES = {
         SELECT 'bad', NULL, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","text":"'
           || replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n')
         FROM documents WHERE source = 'src5'""",
-    "quarantine_corrupt": """SELECT source, count(*) FILTER (source <> 'src5') AS good,
-        count(*) FILTER (source = 'src5') AS quarantined,
-        sum(CASE WHEN source <> 'src5' THEN length(text) ELSE 0 END)::BIGINT AS chars FROM documents GROUP BY source""",
+    "quarantine_corrupt": """SELECT CASE WHEN source = 'src5' THEN 'damaged' ELSE 'sound' END AS folder,
+          CASE WHEN source <> 'src5' THEN source END AS source, count(*) FILTER (source <> 'src5') AS good,
+          max(CASE WHEN source = 'src5' THEN 1 ELSE 0 END) AS quarantined,
+          sum(CASE WHEN source <> 'src5' THEN length(text) ELSE 0 END)::BIGINT AS chars
+        FROM documents GROUP BY ALL""",
     "record_ordinal": "SELECT doc_id, doc_id AS id_by_position, text FROM documents",
     "scan_split_files": f"""WITH {SPLIT}
         SELECT doc_id, lang, source, text, CASE WHEN train THEN 'train' ELSE 'eval' END AS split FROM split""",

@@ -90,17 +90,27 @@ def write_by_file(df: DataFrame, path: str, *by: str) -> None:
     df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str) -> None:
-    """One JSON array file per partition, one element per line."""
-    def as_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lead = "["
+def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 20000) -> None:
+    """JSON array files of at most `rows_per_file` elements, one element per line.
+
+    A reader parses such a file in one piece, so files are kept small. Rows
+    stream through; one line is held back until it is known to be a file's last.
+    """
+    def as_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count = None, 0
         for batch in batches:
-            if len(batch):
-                lines = "," + batch["value"]
-                lines.iloc[0] = lead + batch["value"].iloc[0]
-                lead = ","
-                yield lines.to_frame("value")
-        yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
+            lines = []
+            for element in batch["value"]:
+                if held is not None:
+                    full = count == rows_per_file
+                    lines.append(held + ("]" if full else ","))
+                    count = 0 if full else count
+                held = element if count else "[" + element
+                count += 1
+            yield pd.DataFrame({"value": lines})
+        if held is not None:
+            yield pd.DataFrame({"value": [held + "]"]})
 
     rows = df.select(F.to_json(F.struct("*")).alias("value"))
-    rows.mapInPandas(as_array, "value string").write.mode("overwrite").text(path)
+    rows.mapInPandas(as_arrays, "value string").write.option(
+        "maxRecordsPerFile", rows_per_file).mode("overwrite").text(path)
