@@ -20,4 +20,4 @@ def as_rows(array: Column) -> Column:
     projections that compute the column, and so computes it again; exploding an
     expression does not.
     """
-    return F.when(array.isNotNull(), array)
+    return F.slice(array, F.lit(1), F.size(array))

@@ -51,7 +51,7 @@ def leaf_paths(tree: Column) -> Column:
             F.flatten(F.transform(s["open"], children)).alias("open"),
             F.concat(s["done"], F.filter(s["open"], is_leaf)).alias("done"))),
         lambda s: s["done"])
-    return F.array_sort(grown)
+    return F.sort_array(grown)
 
 
 def path_records(tree: Column, paths: Column) -> Column:

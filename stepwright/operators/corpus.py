@@ -11,20 +11,27 @@ from stepwright.functions.text import STEP_SEPARATOR, format_score
 from stepwright.operators.skew import lookup_join
 
 
+def is_complete() -> Column:
+    """A question, a preference and a tree; empty counts as missing."""
+    return ((F.length("initial_question") > 0) & (F.length("user_profile") > 0)
+            & (F.size("thought_tree") > 0))
+
+
 def has_required_fields(df: DataFrame) -> DataFrame:
-    """Records with a question, a preference and a tree; empty counts as missing."""
-    return df.where((F.length("initial_question") > 0) & (F.length("user_profile") > 0)
-                    & (F.size("thought_tree") > 0))
+    return df.where(is_complete())
 
 
 def tree_paths(records: DataFrame) -> DataFrame:
     """One process record per root-to-leaf path, numbered in depth-first order.
 
     A record's tree stays in its row, so the fan-out needs no shuffle.
+    Incomplete records have no paths; a filter would be pushed below whatever
+    computes the tree, and compute it twice.
     """
-    paths = trees.path_records(F.col("thought_tree"), trees.leaf_paths(F.col("thought_tree")))
+    paths = F.when(is_complete(), trees.path_records(
+        F.col("thought_tree"), trees.leaf_paths(F.col("thought_tree"))))
     return (
-        has_required_fields(records)
+        records
         .select("idx", F.col("initial_question").alias("question"),
                 F.col("user_profile").alias("preference"), F.posexplode(paths).alias("path_no", "p"))
         .select("idx", "path_no", "question", "preference", "p.ids", "p.process", "p.label", "p.final_score")

@@ -27,7 +27,8 @@ def pending(items: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(item_id, metric) pairs still to judge; items without a reply are left out."""
     wanted = items.where(F.col("response_to_q").isNotNull()).select(
         "item_id", F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric"))
-    return wanted.join(verdicts.select("item_id", "metric"), ["item_id", "metric"], "left_anti")
+    done = verdicts.select("item_id", "metric").distinct()   # repeats fall away map-side
+    return wanted.join(done, ["item_id", "metric"], "left_anti")
 
 
 def request_payload(model: str, prompt: Column, system: str = prompts.JUDGE_SYSTEM,

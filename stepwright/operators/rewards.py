@@ -29,9 +29,10 @@ def every_nth(rows: DataFrame, position: str, n: int) -> DataFrame:
 
 
 def step_scores(step_rows: DataFrame, scores: DataFrame) -> DataFrame:
-    """Every step with its score, 0.0 where no critique came back."""
+    """Every step with its score, 0.0 where no critique came back; of repeated scores the largest."""
     keys = COMPLETION + ["step_no"]
-    return step_rows.join(scores.select(*keys, "score"), keys, "left").fillna(0.0, ["score"])
+    one = scores.groupBy(*keys).agg(F.max("score").alias("score"))
+    return step_rows.join(one, keys, "left").fillna(0.0, ["score"])
 
 
 def score_arrays(scores: DataFrame) -> DataFrame:
@@ -68,15 +69,17 @@ def step_spans(tokens: Column, steps: Column, scores: Column) -> Column:
 
 
 def token_rewards(tokens: Column, spans: Column) -> Column:
-    """Each token's reward: the score of the last step covering it, else 0.0."""
-    def reward(_: Column, pos: Column) -> Column:
-        value = F.lit(0.0)
-        for i in range(MAX_STEPS):
-            s = F.get(spans, F.lit(i))
-            value = F.when((s["first"] <= pos) & (pos < s["after"]), s["score"]).otherwise(value)
-        return value
+    """Each token's reward: the score of the last step covering it, else 0.0.
 
-    return F.transform(tokens, reward)
+    Step by step, a span's stretch of the array is replaced as a whole.
+    """
+    def put(rewards: Column, s: Column) -> Column:
+        return F.concat(
+            F.slice(rewards, F.lit(1), s["first"]),
+            F.array_repeat(s["score"], s["after"] - s["first"]),
+            F.slice(rewards, s["after"] + 1, F.size(rewards) - s["after"]))
+
+    return F.aggregate(spans, F.array_repeat(F.lit(0.0), F.size(tokens)), put)
 
 
 def padded(rewards: Column, length: Column) -> Column:
@@ -117,7 +120,7 @@ def group_stats(rollouts: DataFrame) -> DataFrame:
     cell = F.when(F.col("pos").isNotNull(), F.struct("pos", "n", "mean", "var"))
     grouped = present.groupBy("batch_id", "prompt_id").agg(
         F.sum(F.when(first, F.col("n")).otherwise(0)).alias("size"),
-        F.array_sort(F.collect_list(cell)).alias("cells"))
+        F.sort_array(F.collect_list(cell)).alias("cells"))
 
     def stats(c: Column) -> Column:
         mean, std = _merge_zeros(c["n"], c["mean"], c["var"] * c["n"], F.col("size"))
@@ -132,7 +135,8 @@ def group_advantages(rollouts: DataFrame) -> DataFrame:
     Arrays reach to the group's longest completion; past it every reward is 0.0
     and so is every advantage. A group of one has no deviation, hence NULLs.
     """
-    joined = lookup_join(rollouts, group_stats(rollouts).drop("size"), ["batch_id", "prompt_id"], ["gen"])
+    joined = lookup_join(rollouts, group_stats(rollouts).drop("size"), ["batch_id", "prompt_id"], ["gen"],
+                         row_bytes=F.size("stats") * 24 + 32)
     advantage = F.zip_with(
         padded(F.col("rewards"), F.size("stats")), "stats",
         lambda r, s: (r - s["mean"]) / (s["std"] + STD_OFFSET))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepwright.sources.workspace import materialise
 
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 1000   # a key is hot when it holds more than 1/1000 of all rows
 SALTS = 64
 
@@ -37,14 +37,17 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: list
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: list[str],
-                how: str = "left", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                how: str = "left", row_bytes: Column | None = None,
+                max_bytes: int | None = None) -> DataFrame:
     """Join `big` to `small` (one row per key): broadcast when its measured size allows.
 
-    `small` is written once and measured; past `max_bytes` the join shuffles
-    with hot keys salted.
+    `small` is written once and measured, by `row_bytes` or its length as JSON;
+    past `max_bytes` the join shuffles with hot keys salted.
     """
     small = materialise(small)
-    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
+    row_bytes = F.octet_length(F.to_json(F.struct("*"))) if row_bytes is None else row_bytes
+    size = small.agg(F.sum(row_bytes)).first()[0] or 0
     if size <= max_bytes:
         return big.join(F.broadcast(small), on, how)
     return salted_join(big, small, on, spread_by, how)

@@ -162,11 +162,12 @@ def loss_span(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def overlength_flag(spark: SparkSession, sf: str) -> DataFrame:
-    size = F.size(words(prompts.chat_text(F.col("messages"))))
-    head = F.size(words(F.substring_index(prompts.chat_text(F.col("messages")), prompts.RESPONSE_MARKER, 1)))
-    return chats(spark, sf).select(
-        "idx", "step_no", size.alias("tokens"), (size > MAX_SEQUENCE).cast("int").alias("too_long"),
-        (head >= MAX_SEQUENCE).cast("int").alias("marker_lost"))
+    texts = chats(spark, sf).select("idx", "step_no", prompts.chat_text(F.col("messages")).alias("text"))
+    head = F.substring_index("text", prompts.RESPONSE_MARKER, 1)
+    sizes = texts.select("idx", "step_no", F.size(words(F.col("text"))).alias("tokens"),
+                         F.size(words(head)).alias("head"))
+    return sizes.select("idx", "step_no", "tokens", (F.col("tokens") > MAX_SEQUENCE).cast("int").alias("too_long"),
+                        (F.col("head") >= MAX_SEQUENCE).cast("int").alias("marker_lost"))
 
 
 MAX_SEQUENCE = 8192  # fixed value: longest training sequence, in tokens

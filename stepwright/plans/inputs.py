@@ -16,6 +16,7 @@ from stepwright.functions.tokens import eos_mask
 from stepwright.operators.judge import parse_verdicts
 from stepwright.operators.rewards import aligned_scores, step_spans, token_rewards, with_scores
 from stepwright.sources.tables import table
+from stepwright.sources.workspace import materialise
 
 EOS = "<eos>"
 
@@ -193,14 +194,18 @@ def scored_completions(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
-def rollouts(spark: SparkSession, sf: str) -> DataFrame:
+def rewarded(spark: SparkSession, sf: str) -> DataFrame:
     """Scored completions with per-token rewards and the end-token mask."""
-    return (
-        scored_completions(spark, sf)
-        .withColumn("spans", step_spans(F.col("tokens"), F.col("steps"), F.col("scores")))
-        .withColumn("rewards", token_rewards(F.col("tokens"), F.col("spans")))
-        .withColumn("mask", eos_mask(F.col("tokens"), F.lit(EOS)))
-    )
+    spans = step_spans(F.col("tokens"), F.col("steps"), F.col("scores"))
+    return scored_completions(spark, sf).select(
+        "batch_id", "prompt_id", "gen", "prompt", "completion",
+        token_rewards(F.col("tokens"), spans).alias("rewards"),
+        eos_mask(F.col("tokens"), F.lit(EOS)).alias("mask"))
+
+
+def rollouts(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The rewards, written once: group statistics and the join back to them both read it."""
+    return materialise(rewarded(spark, sf).select("batch_id", "prompt_id", "gen", "rewards", *columns))
 
 
 def token_signals(spark: SparkSession, sf: str) -> DataFrame:

@@ -30,7 +30,8 @@ def tokens_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 def _reply_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Judge replies of a stream of documents, each sent twice."""
-    docs = table_stream(spark, sf, "documents")
+    # parting documents by item ships each text once; their eight verdicts then meet in place
+    docs = table_stream(spark, sf, "documents").repartition("doc_id")
     replies = inputs.judge_replies(inputs.generation_items_of(docs))
     number = F.col("item_id") * len(METRICS) + F.col("k")
     # the repeat says something else and comes later, so it must not win

@@ -96,19 +96,18 @@ def completion_avg_score(spark: SparkSession, sf: str) -> DataFrame:
 def token_span_reward(spark: SparkSession, sf: str) -> DataFrame:
     """Every token's reward, in order, in tenths."""
     tenths = F.transform("rewards", lambda r: F.round(r * 10).cast("bigint").cast("string"))
-    return inputs.rollouts(spark, sf).select(*KEYS, F.array_join(tenths, ",").alias("rewards"))
+    return inputs.rewarded(spark, sf).select(*KEYS, F.array_join(tenths, ",").alias("rewards"))
 
 
 def dense_token_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Per completion: the padded length and a position-weighted sum over the grid."""
-    dense = rewards.dense_rewards(inputs.rollouts(spark, sf).select("batch_id", *KEYS, "rewards"))
+    dense = rewards.dense_rewards(inputs.rollouts(spark, sf))
     weighted = F.aggregate(F.transform("rewards", lambda r, i: r * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return dense.select("batch_id", *KEYS, F.size("rewards").alias("cells"), r6(weighted, "weighted"))
 
 
-def _advantages(spark: SparkSession, sf: str) -> DataFrame:
-    return rewards.group_advantages(inputs.rollouts(spark, sf).select(
-        "batch_id", *KEYS, "prompt", "completion", "rewards", "mask"))
+def _advantages(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return rewards.group_advantages(inputs.rollouts(spark, sf, *columns))
 
 
 def group_advantage(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,13 +122,13 @@ def group_advantage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def completion_mean_reward(spark: SparkSession, sf: str) -> DataFrame:
-    return rewards.completion_means(_advantages(spark, sf)).select(
+    return rewards.completion_means(_advantages(spark, sf, "mask")).select(
         *KEYS, r6(F.col("mean_reward"), "mean_reward"), r6(F.col("mean_advantage"), "mean_advantage"))
 
 
 def rollout_log(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "rollouts")
-    log = rewards.rollout_log(_advantages(spark, sf)).withColumn("step", F.floor(F.col("batch_id") / 8))
+    log = rewards.rollout_log(_advantages(spark, sf, "mask", "prompt", "completion")).withColumn("step", F.floor(F.col("batch_id") / 8))
     log.hint("rebalance", "step").write.partitionBy("step").parquet(path)
     return spark.read.parquet(path).select(
         F.col("step").cast("bigint").alias("step"), "batch_id", *KEYS, "prompt", "completion",
@@ -137,12 +136,13 @@ def rollout_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reward_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = rewards.reward_stats(inputs.rollouts(spark, sf).select("batch_id", "rewards"))
+    stats = rewards.reward_stats(inputs.rewarded(spark, sf).select("batch_id", "rewards"))
     return stats.select("batch_id", "cells", r6(F.col("token_mean"), "token_mean"), r6(F.col("token_std"), "token_std"))
 
 
 def zero_std_fraction(spark: SparkSession, sf: str) -> DataFrame:
-    shares = rewards.zero_std_fraction(inputs.rollouts(spark, sf).select("batch_id", "prompt_id", "rewards"))
+    shares = rewards.zero_std_fraction(
+        inputs.rewarded(spark, sf).select("batch_id", "prompt_id", "rewards"))
     return shares.select("batch_id", r6(F.col("frac_zero_std"), "frac_zero_std"))
 
 

@@ -11,11 +11,13 @@ from stepwright.sources.schemas import CHAT_REPLY
 def ingest_replies(requests: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
     """Requests with their reply text as `raw`, '' where none can be read.
 
-    `replies` has one JSON `body` per request: a chat reply or a completion.
+    `replies` has a JSON `body` per request: a chat reply or a completion. Of
+    repeated replies one counts, a readable one first.
     """
     first = F.get(F.from_json("body", CHAT_REPLY)["choices"], F.lit(0))
     texts = replies.select(*keys, F.coalesce(first["message"]["content"], first["text"]).alias("raw"))
-    return requests.join(texts, keys, "left").fillna("", ["raw"])
+    one = texts.groupBy(*keys).agg(F.max("raw").alias("raw"))
+    return requests.join(one, keys, "left").fillna("", ["raw"])
 
 
 RUN_KEYS = ["pref_form", "task", "topic", "model"]
