@@ -30,7 +30,7 @@ def _array_folder(spark: SparkSession, sf: str) -> str:
 
 def scan_json_array_dir(spark: SparkSession, sf: str) -> DataFrame:
     scan = json_files.read_json_arrays(spark, _array_folder(spark, sf), DOCUMENT, PARTS)
-    return json_files.good_records(scan).drop("source_file")
+    return json_files.good_records(scan).drop("source_file", "idx")
 
 
 def _damaged_lines(docs: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def record_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "ordered")
     ordered = _documents(spark, sf).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     json_files.write_json_arrays(ordered, path)
-    rows = json_files.read_numbered(spark, path, DOCUMENT, PARTS)
+    rows = json_files.good_records(json_files.read_json_arrays(spark, path, DOCUMENT, PARTS))
     first = rows.groupBy("source_file").agg(F.min("doc_id").alias("first_id"))
     return rows.join(first, "source_file").select(
         "doc_id", (F.col("idx") - 1 + F.col("first_id")).alias("id_by_position"), "text")

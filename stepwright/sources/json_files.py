@@ -14,23 +14,28 @@ from stepwright.functions.text import strip
 CORRUPT = "_corrupt_record"
 
 
-def _with_corrupt(schema: str) -> T.StructType:
-    return T._parse_datatype_string(schema).add(CORRUPT, "string")
+# Python's JSON reader takes no single quotes
+STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "columnNameOfCorruptRecord": CORRUPT}
 
 
 def read_json_arrays(spark: SparkSession, folder: str, schema: str, glob: str = "*.json") -> DataFrame:
-    """Records of all JSON array files directly in `folder`, with `source_file`.
+    """Records of all JSON array files directly in `folder`, with `source_file` and `idx`.
 
-    An undecodable file gives one row with only `_corrupt_record` set; see
-    `good_records` and `quarantined`.
+    `idx` is the 1-based position in the file, given before any filter. An
+    undecodable file gives one row with only `_corrupt_record` set; see
+    `good_records` and `quarantined`. A file is parsed in one piece, as its
+    array is one value.
     """
-    return (
-        spark.read.schema(_with_corrupt(schema))
-        .option("multiLine", True).option("allowSingleQuotes", False)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", glob)
-        .json(folder)
-        .withColumn("source_file", F.col("_metadata.file_name"))
-    )
+    fields = T._parse_datatype_string(schema)
+    files = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).withColumns({
+        "source_file": F.col("_metadata.file_name"),
+        "_rows": F.from_json("value", T.ArrayType(fields), STRICT)})
+    folders = [c for c in files.columns if c not in ("value", "source_file", "_rows")]
+    rows = files.select(
+        *folders, "source_file", F.when(F.col("_rows").isNull(), F.col("value")).alias(CORRUPT),
+        F.posexplode_outer("_rows").alias("_pos", "_r"))
+    return rows.where(F.col("_r").isNotNull() | F.col(CORRUPT).isNotNull()).select(
+        *folders, "source_file", (F.col("_pos") + 1).cast("bigint").alias("idx"), "_r.*", CORRUPT)
 
 
 def good_records(scan: DataFrame) -> DataFrame:
@@ -42,31 +47,12 @@ def quarantined(scan: DataFrame) -> DataFrame:
     return scan.where(F.col(CORRUPT).isNotNull()).select("source_file", F.col(CORRUPT).alias("raw"))
 
 
-def read_numbered(spark: SparkSession, folder: str, schema: str, glob: str = "*.json") -> DataFrame:
-    """Records of JSON array files with `idx`, their 1-based position in the file.
-
-    Positions are given before any filter. A file is one row here, as its
-    array is one value; undecodable files drop out.
-    """
-    files = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).select(
-        F.col("_metadata.file_name").alias("source_file"), F.col("value"))
-    rows = F.from_json("value", f"array<struct<{_as_fields(schema)}>>")
-    return files.select("source_file", F.posexplode(rows).alias("pos", "r")).select(
-        "source_file", (F.col("pos") + 1).cast("bigint").alias("idx"), "r.*")
-
-
-def _as_fields(schema: str) -> str:
-    parsed = T._parse_datatype_string(schema)
-    return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in parsed.fields)
-
-
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON Lines; blank lines are skipped, malformed ones keep `_corrupt_record`."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_name").alias("source_file"), F.col("value")).where(
         strip(F.col("value")) != "")
-    parsed = F.from_json("value", _with_corrupt(schema), {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"})
+    parsed = F.from_json("value", T._parse_datatype_string(schema).add(CORRUPT, "string"), STRICT)
     return lines.select("source_file", parsed.alias("r")).select("r.*", "source_file")
 
 

@@ -1,0 +1,79 @@
+"""Golden files: JSON arrays, JSON Lines, numbering, sinks."""
+
+import json
+
+from stepwright.operators import corpus
+from stepwright.sources import json_files, schemas
+
+TREES = [
+    {"initial_question": "q1", "user_profile": "p", "thought_tree": {
+        "0": {"children": [1, "2"]}, "1": {"thought": "a", "reasoning": "r", "score": 1, "children": []},
+        "2": {"thought": "b", "score": 0.25}}},
+    {"initial_question": "q2", "user_profile": "", "thought_tree": {}},
+    {"initial_question": "q3", "user_profile": "p", "thought_tree": {"0": {"children": [7]}, "7": {"thought": "c"}}},
+]
+
+
+def test_array_folder_with_a_corrupt_file(spark, tmp_path):
+    (tmp_path / "good.json").write_text(json.dumps(TREES, indent=4))
+    (tmp_path / "bad.json").write_text(json.dumps(TREES)[:-20])
+    (tmp_path / "notes.txt").write_text("[1")
+    (tmp_path / "empty.json").write_text("[]")
+    (tmp_path / "deeper").mkdir()
+    (tmp_path / "deeper" / "more.json").write_text(json.dumps(TREES))
+    scan = json_files.read_json_arrays(spark, str(tmp_path), schemas.THOUGHT_TREE)
+    good = json_files.good_records(scan).collect()
+    assert {r.source_file for r in good} == {"good.json"} and len(good) == 3
+    assert good[0].thought_tree["0"].children == ["1", "2"]
+    assert [r.source_file for r in json_files.quarantined(scan).collect()] == ["bad.json"]
+
+
+def test_numbering_counts_dropped_records_and_restarts(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(TREES))
+    (tmp_path / "b.json").write_text(json.dumps(TREES[::-1]))
+    (tmp_path / "bad.json").write_text("[{")
+    scan = json_files.read_json_arrays(spark, str(tmp_path), schemas.THOUGHT_TREE)
+    rows = json_files.good_records(scan)
+    assert json_files.quarantined(scan).count() == 1
+    paths = corpus.tree_paths(rows).collect()
+    assert sorted((r.question, r.idx, r.ids) for r in paths) == [
+        ("q1", 1, ["1"]), ("q1", 1, ["2"]), ("q1", 3, ["1"]), ("q1", 3, ["2"]),
+        ("q3", 1, ["7"]), ("q3", 3, ["7"])]
+    scores = {r.ids[0]: r.final_score for r in paths}
+    assert scores == {"1": 1.0, "2": 0.25, "7": 0.0}
+
+
+def test_json_lines_skip_blank_and_keep_malformed(spark, tmp_path):
+    good = {"idx": 1, "question": "q", "preference": "p", "process": "x\ny", "label": [], "final_score": 1}
+    lines = [json.dumps(good), "", " \t ", "　", "{'idx': 2}", '{"idx": 3', json.dumps({**good, "idx": 4})]
+    (tmp_path / "p.jsonl").write_text("\n".join(lines) + "\n")
+    rows = json_files.read_json_lines(spark, str(tmp_path / "p.jsonl"), schemas.PROCESS)
+    assert sorted((r.idx, r.final_score) for r in json_files.good_records(rows).collect()) == [(1, "1"), (4, "1")]
+    assert sorted(r.raw for r in json_files.quarantined(rows).collect()) == [
+        '{"idx": 3', "{'idx': 2}"]
+
+
+def test_array_sink_closes_every_file(spark, tmp_path):
+    df = spark.range(0, 23, 1, 3).selectExpr("id", "concat('ü\"', id) AS name")
+    json_files.write_json_arrays(df, str(tmp_path / "out"), rows_per_file=4)
+    files = sorted((tmp_path / "out").glob("part-*"))
+    arrays = [json.loads(f.read_text()) for f in files if f.stat().st_size]
+    assert sorted(r["id"] for a in arrays for r in a) == list(range(23))
+    assert max(map(len, arrays)) == 4
+    back = json_files.read_json_arrays(spark, str(tmp_path / "out"), "id bigint, name string", "part-*")
+    assert json_files.good_records(back).count() == 23
+    json_files.write_json_arrays(df.where("id < 0"), str(tmp_path / "none"))
+    none = json_files.read_json_arrays(spark, str(tmp_path / "none"), "id bigint", "part-*")
+    assert json_files.good_records(none).count() == 0
+
+
+def test_split_files_and_folders(spark, tmp_path):
+    df = spark.createDataFrame([(1, "train", "a"), (2, "test", "a"), (3, "train", "b")],
+                               "id bigint, split string, source_file string")
+    json_files.write_by_file(df, str(tmp_path / "by"), "split", "source_file")
+    assert (tmp_path / "by" / "split=train" / "source_file=b").is_dir()
+    for name in ("train", "test"):
+        json_files.write_json_lines(df.where(f"split = '{name}'").drop("split"), str(tmp_path / name))
+    both = json_files.read_splits(spark, {"train": str(tmp_path / "train"), "eval": str(tmp_path / "test")},
+                                  "id bigint, source_file string")
+    assert sorted((r.split, r.id) for r in both.collect()) == [("eval", 2), ("train", 1), ("train", 3)]
