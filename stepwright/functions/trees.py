@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stepwright.functions.arrays import bind
 from stepwright.functions.steps import join_steps
 
 ROOT = "0"  # fixed value: id of the root node, which is left out of paths
@@ -16,42 +17,51 @@ def is_empty_node(node: Column) -> Column:
                              & node["reasoning"].isNull() & node["score"].isNull()))
 
 
-def leaf_paths(tree: Column) -> Column:
-    """All root-to-leaf id paths in depth-first order, as (ordinals, ids).
+def walk(tree: Column) -> Column:
+    """Follow all branches from the root: (open, done, cycles).
 
-    One level per fold step, the tree's size being the deepest a path can get;
-    the fold idles once no path is open. A branch ends without a path at a
-    missing node, and at a node already on its own path (a cycle).
+    `done` holds the root-to-leaf paths as (ordinals, ids). One level per fold
+    step, the tree's size being the deepest a path can get; the fold idles once
+    no path is open. A branch ends without a path at a missing node, and at a
+    node already on its own path, which `cycles` counts.
     """
-    step = "struct<ordinals:array<int>,ids:array<string>>"
+    paths = "array<struct<ordinals:array<int>,ids:array<string>>>"
 
     def node(path: Column) -> Column:
         return F.try_element_at(tree, F.coalesce(F.try_element_at(path["ids"], F.lit(-1)), F.lit(ROOT)))
 
+    def is_cycle(path: Column) -> Column:
+        earlier = F.slice(path["ids"], F.lit(1), F.size(path["ids"]) - 1)
+        last = F.element_at(path["ids"], -1)
+        return (last == ROOT) | F.array_contains(earlier, last)
+
     def children(path: Column) -> Column:
         ids = F.coalesce(node(path)["children"], F.array().cast("array<string>"))
-        grown = F.transform(ids, lambda c, i: F.struct(
+        return F.transform(ids, lambda c, i: F.struct(
             F.array_append(path["ordinals"], i).alias("ordinals"),
             F.array_append(path["ids"], c).alias("ids")))
-        return F.filter(grown, lambda g: ~F.array_contains(
-            F.array_append(path["ids"], F.lit(ROOT)), F.element_at(g["ids"], -1)))
 
     def is_leaf(path: Column) -> Column:
         at = node(path)
         childless = at["children"].isNull() | (F.size(at["children"]) == 0)
         return ~is_empty_node(at) & childless & (F.size(path["ids"]) > 0)
 
-    start = F.struct(
-        F.array(F.struct(F.array().cast("array<int>").alias("ordinals"),
-                         F.array().cast("array<string>").alias("ids"))).alias("open"),
-        F.array().cast(f"array<{step}>").alias("done"))
-    grown = F.aggregate(
+    def level(state: Column) -> Column:
+        return bind(F.flatten(F.transform(state["open"], children)), lambda grown: F.struct(
+            F.filter(grown, lambda p: ~is_cycle(p)).alias("open"),
+            F.concat(state["done"], F.filter(state["open"], is_leaf)).alias("done"),
+            (state["cycles"] + F.size(F.filter(grown, is_cycle))).alias("cycles")))
+
+    root = F.struct(F.array().cast("array<int>").alias("ordinals"), F.array().cast("array<string>").alias("ids"))
+    start = F.struct(F.array(root).alias("open"), F.array().cast(paths).alias("done"), F.lit(0).alias("cycles"))
+    return F.aggregate(
         F.sequence(F.lit(1), F.size(tree) + 1), start,
-        lambda s, _: F.when(F.size(s["open"]) == 0, s).otherwise(F.struct(
-            F.flatten(F.transform(s["open"], children)).alias("open"),
-            F.concat(s["done"], F.filter(s["open"], is_leaf)).alias("done"))),
-        lambda s: s["done"])
-    return F.sort_array(grown)
+        lambda state, _: F.when(F.size(state["open"]) == 0, state).otherwise(level(state)))
+
+
+def leaf_paths(tree: Column) -> Column:
+    """All root-to-leaf paths in depth-first order."""
+    return F.sort_array(walk(tree)["done"])
 
 
 def path_records(tree: Column, paths: Column) -> Column:

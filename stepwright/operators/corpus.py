@@ -38,6 +38,12 @@ def tree_paths(records: DataFrame) -> DataFrame:
     )
 
 
+def cyclic_records(records: DataFrame) -> DataFrame:
+    """Records whose tree leads back to a node above, with the number of such edges met."""
+    return records.select("idx", trees.walk(F.col("thought_tree"))["cycles"].alias("cycles")).where(
+        F.col("cycles") > 0)
+
+
 def tree_nodes(records: DataFrame) -> DataFrame:
     """Nodes as rows: (idx, node_id, children, thought, reasoning, score)."""
     return records.select("idx", F.explode(F.map_entries("thought_tree")).alias("e")).select(

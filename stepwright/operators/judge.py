@@ -13,14 +13,16 @@ MAX_JUDGE_TOKENS = 1024  # fixed value: reply budget of a judge call
 CRITIQUE_STOP = prompts.TURN_END
 
 
-def with_rubrics(items: DataFrame, rubrics: DataFrame) -> DataFrame:
-    """Every item with each of the eight metrics and the metric's template.
-
-    `rubrics` has one row per metric name, at most eight once filtered here.
-    """
+def attach_templates(pairs: DataFrame, rubrics: DataFrame) -> DataFrame:
+    """Pairs with their metric's template, of which there are at most eight to broadcast."""
     eight = rubrics.where(F.col("metric").isin(METRICS)).dropDuplicates(["metric"])
-    return items.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in METRICS]))).join(
-        F.broadcast(eight), "metric")
+    return pairs.join(F.broadcast(eight), "metric")
+
+
+def with_rubrics(items: DataFrame, rubrics: DataFrame) -> DataFrame:
+    """Every item with each of the eight metrics and the metric's template."""
+    every = F.explode(F.array(*[F.lit(m) for m in METRICS]))
+    return attach_templates(items.withColumn("metric", every), rubrics)
 
 
 def pending(items: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from stepwright.operators.skew import lookup_join
-from stepwright.sources.workspace import materialise
+from stepwright.sources.workspace import written
 
 SEQUENCE = ["batch_id", "prompt_id", "gen"]
 
@@ -100,8 +100,8 @@ def entropy_thresholds(tokens: DataFrame, quantile: float, bin_width: float = 2.
     entropy is at most the log of the vocabulary size, locate the two ranks the
     quantile falls between; only the bins holding them are ranked value by value.
     """
-    values = materialise(tokens.where(F.col("mask") == 1).groupBy("batch_id", "entropy").agg(
-        F.count(F.lit(1)).alias("n"))).withColumn("bin", F.floor(F.col("entropy") / bin_width))
+    counts = tokens.where(F.col("mask") == 1).groupBy("batch_id", "entropy").agg(F.count(F.lit(1)).alias("n"))
+    values = written(counts, "entropies").withColumn("bin", F.floor(F.col("entropy") / bin_width))
     upto = Window.partitionBy("batch_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("batch_id")
     bins = values.groupBy("batch_id", "bin").agg(F.sum("n").alias("n")).select(

@@ -12,6 +12,7 @@ from stepwright.operators.skew import running_sum
 from stepwright.plans import inputs
 from stepwright.plans import oracle_inputs as sql
 from stepwright.sources.tables import table
+from stepwright.sources.workspace import written
 
 LINE = STEP_SEPARATOR + "\n"
 
@@ -209,9 +210,9 @@ def best_response(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as positions in one file per language."""
+    """Documents as positions in one file per language, written once for the passes over them."""
     ids = table(spark, sf, "documents").select(F.col("lang").alias("source_file"), "doc_id")
-    return running_sum(ids, ["source_file"], "doc_id", F.lit(1), "position")
+    return written(running_sum(ids, ["source_file"], "doc_id", F.lit(1), "position"), "positions")
 
 
 def seeded_split(spark: SparkSession, sf: str) -> DataFrame:

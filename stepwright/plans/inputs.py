@@ -16,7 +16,7 @@ from stepwright.functions.tokens import eos_mask
 from stepwright.operators.judge import parse_verdicts
 from stepwright.operators.rewards import aligned_scores, step_spans, token_rewards, with_scores
 from stepwright.sources.tables import table
-from stepwright.sources.workspace import materialise
+from stepwright.sources.workspace import written
 
 EOS = "<eos>"
 
@@ -205,7 +205,7 @@ def rewarded(spark: SparkSession, sf: str) -> DataFrame:
 
 def rollouts(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """The rewards, written once: group statistics and the join back to them both read it."""
-    return materialise(rewarded(spark, sf).select("batch_id", "prompt_id", "gen", "rewards", *columns))
+    return written(rewarded(spark, sf).select("batch_id", "prompt_id", "gen", "rewards", *columns), "rollouts")
 
 
 def token_signals(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ from stepwright.functions import prompts
 from stepwright.operators import judge
 from stepwright.plans import inputs
 from stepwright.plans import oracle_inputs as sql
+from stepwright.plans.jobs import judge_requests
 from stepwright.sources import exchange, rubrics
 from stepwright.sources.workspace import new_path
 
@@ -43,28 +44,21 @@ def items_x_rubrics(spark: SparkSession, sf: str) -> DataFrame:
         "item_id", "topic", "metric", "template")
 
 
-def _requests(spark: SparkSession, sf: str, wanted: DataFrame) -> DataFrame:
-    """Rendered prompts of the wanted (item_id, metric) pairs.
+def render_judge_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts of all eight metrics for every item, as asked of a fresh run.
 
-    The hallucination prompt shows the preference the `acknow` verdict quoted,
-    so it waits until that verdict is there.
+    The preference an `acknow` verdict quoted is known for some items only.
     """
-    items = inputs.generation_items(spark, sf).select("item_id", "preference", "question", "response_to_q")
-    quoted = inputs.finished_verdicts(inputs.generation_items(spark, sf)).where(
-        F.col("metric") == "acknow").select("item_id", F.col("extract_pref").alias("restatement"))
-    full = items.where(F.col("response_to_q").isNotNull()).join(wanted, "item_id").join(
-        quoted, "item_id", "left")
-    ready = full.where((F.col("metric") != "hallucinate") | F.col("restatement").isNotNull())
-    templates = rubrics.default_rubrics(spark)
-    return ready.join(F.broadcast(templates), "metric").select("item_id", "metric", prompts.fill_rubric(
-        F.col("template"), F.col("metric"), F.col("preference"), F.col("question"),
-        F.col("response_to_q"), F.col("restatement")).alias("prompt"))
-
-
-def render_judge_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    every = inputs.generation_items(spark, sf).select(
-        "item_id", F.explode(F.array(*[F.lit(m) for m in prompts.METRICS])).alias("metric"))
-    return _requests(spark, sf, every)
+    items = inputs.generation_items(spark, sf)
+    quoted = inputs.finished_verdicts(items).where(F.col("metric") == "acknow").select(
+        "item_id", F.col("extract_pref").alias("restatement"))
+    texts = items.where(F.col("response_to_q").isNotNull()).select(
+        "item_id", "preference", "question", "response_to_q").join(quoted, "item_id", "left")
+    pairs = judge.with_rubrics(texts, rubrics.default_rubrics(spark))
+    return pairs.where((F.col("metric") != "hallucinate") | F.col("restatement").isNotNull()).select(
+        "item_id", "metric", prompts.fill_rubric(
+            F.col("template"), F.col("metric"), F.col("preference"), F.col("question"),
+            F.col("response_to_q"), F.col("restatement")).alias("prompt"))
 
 
 def pending_evaluations(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +68,8 @@ def pending_evaluations(spark: SparkSession, sf: str) -> DataFrame:
 
 def judge_request_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Request bodies of the pending pairs, written out and read back."""
-    requests = _requests(spark, sf, pending_evaluations(spark, sf))
+    items = inputs.generation_items(spark, sf)
+    requests = judge_requests(items, inputs.finished_verdicts(items))
     path = new_path(spark, "requests")
     requests.select("item_id", "metric", judge.request_payload(MODEL, F.col("prompt")).alias("body")).write.json(path)
     body = F.from_json("body", "model string, stream boolean, messages array<struct<role:string,content:string>>, "

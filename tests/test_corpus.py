@@ -45,6 +45,8 @@ def test_shared_child_is_repeated_and_cycle_stops(spark):
     assert [r.ids for r in paths_of(spark, shared)] == [["1", "3"], ["2", "3"]]
     cycle = {"0": node([1]), "1": node([2, 3]), "2": node([1, 0]), "3": node()}
     assert [r.ids for r in paths_of(spark, cycle)] == [["1", "3"]]
+    df = spark.createDataFrame([(1, "q", "p", cycle), (2, "q", "p", shared)], "idx bigint, " + schemas.THOUGHT_TREE)
+    assert [tuple(r) for r in corpus.cyclic_records(df).collect()] == [(1, 2)]
 
 
 def test_process_labels_and_defaults(spark):
