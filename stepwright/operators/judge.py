@@ -25,9 +25,14 @@ def with_rubrics(items: DataFrame, rubrics: DataFrame) -> DataFrame:
     return attach_templates(items.withColumn("metric", every), rubrics)
 
 
+def has_reply(items: DataFrame) -> Column:
+    """Whether an item has a reply: its `replied` flag, which spares reading the text, or the text."""
+    return F.col("replied") if "replied" in items.columns else F.col("response_to_q").isNotNull()
+
+
 def pending(items: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(item_id, metric) pairs still to judge; items without a reply are left out."""
-    wanted = items.where(F.col("response_to_q").isNotNull()).select(
+    wanted = items.where(has_reply(items)).select(
         "item_id", F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric"))
     done = verdicts.select("item_id", "metric").distinct()   # repeats fall away map-side
     return wanted.join(done, ["item_id", "metric"], "left_anti")
@@ -162,5 +167,5 @@ def accuracy_report(counters: DataFrame, by: list[str] | None = None) -> DataFra
 def coverage(items: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Replies against expected items, and whether they match."""
     return items.groupBy(*(by or [])).agg(
-        F.count("response_to_q").alias("responses"), F.count(F.lit(1)).alias("expected")).withColumn(
+        F.count_if(has_reply(items)).alias("responses"), F.count(F.lit(1)).alias("expected")).withColumn(
         "complete", F.col("responses") == F.col("expected"))

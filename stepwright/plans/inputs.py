@@ -116,10 +116,10 @@ def generation_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def generation_items_of(docs: DataFrame) -> DataFrame:
-    return docs.select(
+    return docs.withColumn("replied", F.col("source") != "src13").select(
         F.col("doc_id").alias("item_id"), preference().alias("preference"),
         first_line().alias("question"),
-        F.when(F.col("source") != "src13", F.col("text")).alias("response_to_q"),
+        F.when(F.col("replied"), F.col("text")).alias("response_to_q"), "replied",
         F.col("source").alias("model"), F.col("lang").alias("topic"),
         F.when(F.col("doc_id") % 2 == 0, "cot").otherwise("zero-shot").alias("task"),
         F.lit("explicit").alias("pref_form"))
@@ -127,7 +127,7 @@ def generation_items_of(docs: DataFrame) -> DataFrame:
 
 def judge_replies(items: DataFrame) -> DataFrame:
     """Eight raw judge replies per item with a reply; some carry no tags or a vague answer."""
-    spread = items.where(F.col("response_to_q").isNotNull()).select(
+    spread = items.where(F.col("replied")).select(
         "*", F.posexplode(F.array(*[F.lit(m) for m in METRICS])).alias("k", "metric"))
     i, k = F.col("item_id"), F.col("k")
     z = (i * (k + 1) + F.floor(i / 7) * (2 * k + 3) + k * k) % 11

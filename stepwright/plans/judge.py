@@ -33,7 +33,7 @@ def _verdicts(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
 
 def rubric_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Per metric: the scanned template, and how many items it is asked about."""
-    asked = inputs.generation_items(spark, sf).where(F.col("response_to_q").isNotNull()).select("item_id")
+    asked = inputs.generation_items(spark, sf).where(F.col("replied")).select("item_id")
     pairs = judge.with_rubrics(asked, _rubrics(spark))
     return pairs.groupBy("metric", "template").agg(F.count(F.lit(1)).alias("items"))
 
@@ -52,7 +52,7 @@ def render_judge_prompt(spark: SparkSession, sf: str) -> DataFrame:
     items = inputs.generation_items(spark, sf)
     quoted = inputs.finished_verdicts(items).where(F.col("metric") == "acknow").select(
         "item_id", F.col("extract_pref").alias("restatement"))
-    texts = items.where(F.col("response_to_q").isNotNull()).select(
+    texts = items.where(F.col("replied")).select(
         "item_id", "preference", "question", "response_to_q").join(quoted, "item_id", "left")
     pairs = judge.with_rubrics(texts, rubrics.default_rubrics(spark))
     return pairs.where((F.col("metric") != "hallucinate") | F.col("restatement").isNotNull()).select(

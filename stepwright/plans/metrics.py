@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwright.functions.prompts import METRICS
@@ -15,9 +15,14 @@ from stepwright.sources.workspace import new_path
 from stepwright.streaming import rollup, verdicts
 
 
+def settled(mean: Column, points: Column) -> Column:
+    """A mean to six places, by way of its sum: the order of adding must not decide a tie."""
+    return F.round(F.round(mean * points, 4) / points, 6)
+
+
 def metric_rollup(spark: SparkSession, sf: str) -> DataFrame:
     rolled = metrics.metric_rollup(inputs.metric_points(spark, sf))
-    return rolled.select("mode", "interval", "metric", F.round("value", 6).alias("value"), "points")
+    return rolled.select("mode", "interval", "metric", settled(F.col("value"), F.col("points")).alias("value"), "points")
 
 
 def tokens_seen(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +61,7 @@ def streaming_metric_rollup(spark: SparkSession, sf: str) -> DataFrame:
     rollup.stream_rollup(points, target, checkpoint)
     return rollup.read_rollup(spark, target).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "metric",
-        F.round("value", 6).alias("value"), "points")
+        settled(F.col("value"), F.col("points")).alias("value"), "points")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -65,7 +70,7 @@ QUERIES = {f.__name__: f for f in (
 ORACLES = {
     "metric_rollup": f"""WITH {sql.POINTS}
         SELECT mode, step // 8 AS interval, CASE WHEN mode = 'eval' THEN 'eval_' || metric ELSE metric END AS metric,
-          round(avg(value), 6) AS value, count(value) AS points FROM points GROUP BY ALL""",
+          round(round(avg(value) * count(value), 4) / count(value), 6) AS value, count(value) AS points FROM points GROUP BY ALL""",
     "tokens_seen": f"""WITH t AS (
           SELECT doc_id // 32 AS step, sum(len({sql.words('text')}))::BIGINT AS tokens FROM documents
           WHERE lang <> 'de' GROUP BY ALL)
@@ -74,5 +79,5 @@ ORACLES = {
         SELECT item_id, metric, answer, explanation, extract_pref FROM verdicts""",
     "streaming_metric_rollup": """
         SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS metric,
-          round(avg(value), 6) AS value, count(value) AS points FROM events GROUP BY ALL""",
+          round(round(avg(value) * count(value), 4) / count(value), 6) AS value, count(value) AS points FROM events GROUP BY ALL""",
 }

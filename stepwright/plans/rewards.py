@@ -112,13 +112,14 @@ def _advantages(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 def group_advantage(spark: SparkSession, sf: str) -> DataFrame:
     """Advantages of all tokens, summed per completion plain, squared and by position."""
-    def total(value) -> Column:
-        return F.aggregate(F.transform("advantages", value), F.lit(0.0), lambda a, x: a + x)
+    def total(value, name: str) -> Column:
+        return F.round(F.aggregate(
+            F.transform("advantages", value), F.lit(0.0), lambda a, x: a + x), 4).alias(name)
 
     return _advantages(spark, sf).select(
-        "batch_id", *KEYS, r6(total(lambda a: a), "total"), r6(total(lambda a: a * a), "squares"),
-        r6(total(lambda a, i: a * (i % 17)), "weighted"),
-        r6(F.coalesce(F.array_max("advantages"), F.lit(0.0)), "highest"))
+        "batch_id", *KEYS, total(lambda a: a, "total"), total(lambda a: a * a, "squares"),
+        total(lambda a, i: a * (i % 17), "weighted"),
+        F.round(F.coalesce(F.array_max("advantages"), F.lit(0.0)), 4).alias("highest"))
 
 
 def completion_mean_reward(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,8 +233,8 @@ ORACLES = {
         SELECT batch_id, prompt_id, gen, count(*) AS cells, round(sum(reward * (pos + 1)), 6) AS weighted
         FROM grid GROUP BY ALL""",
     "group_advantage": f"""WITH {sql.GRID}
-        SELECT batch_id, prompt_id, gen, round(sum(adv), 6) AS total, round(sum(adv * adv), 6) AS squares,
-          round(sum(adv * (pos % 17)), 6) AS weighted, round(max(adv), 6) AS highest
+        SELECT batch_id, prompt_id, gen, round(sum(adv), 4) AS total, round(sum(adv * adv), 4) AS squares,
+          round(sum(adv * (pos % 17)), 4) AS weighted, round(max(adv), 4) AS highest
         FROM advantages WHERE pos < (SELECT max(len(tokens)) FROM csteps c WHERE c.prompt_id = advantages.prompt_id)
         GROUP BY ALL""",
     "completion_mean_reward": f"WITH {sql.GRID}, {MEANS} SELECT * FROM means",
