@@ -164,11 +164,12 @@ def loss_span(spark: SparkSession, sf: str) -> DataFrame:
 
 def overlength_flag(spark: SparkSession, sf: str) -> DataFrame:
     texts = chats(spark, sf).select("idx", "step_no", prompts.chat_text(F.col("messages")).alias("text"))
-    head = F.substring_index("text", prompts.RESPONSE_MARKER, 1)
     sizes = texts.select("idx", "step_no", F.size(words(F.col("text"))).alias("tokens"),
-                         F.size(words(head)).alias("head"))
-    return sizes.select("idx", "step_no", "tokens", (F.col("tokens") > MAX_SEQUENCE).cast("int").alias("too_long"),
-                        (F.col("head") >= MAX_SEQUENCE).cast("int").alias("marker_lost"))
+                         F.size(words(prompts.loss_span(F.col("text")))).alias("answer"))
+    # the marker stands between line ends, so it is a token of its own right before the answer
+    return sizes.select(
+        "idx", "step_no", "tokens", (F.col("tokens") > MAX_SEQUENCE).cast("int").alias("too_long"),
+        (F.col("tokens") - F.col("answer") > MAX_SEQUENCE).cast("int").alias("marker_lost"))
 
 
 MAX_SEQUENCE = 8192  # fixed value: longest training sequence, in tokens

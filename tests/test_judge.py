@@ -19,6 +19,11 @@ def test_rubrics_name_the_slots_their_metric_fills():
         assert ("{end_generation}" in template) == (metric != "hallucinate")
 
 
+def test_every_flag_is_counted(spark):
+    flags = judge.taxonomy({m: F.lit(True) for m in METRICS})
+    assert list(flags) == judge.FLAGS and set(judge.ACCURACIES.values()) <= set(flags)
+
+
 def test_taxonomy_over_all_answers(spark):
     rows = []
     combos = list(itertools.product((True, False), repeat=8))
