@@ -9,6 +9,7 @@ from stepwright.functions import prompts, steps, trees
 from stepwright.functions.arrays import as_rows
 from stepwright.functions.text import STEP_SEPARATOR, format_score
 from stepwright.operators.skew import lookup_join
+from stepwright.sources.workspace import written
 
 
 def is_complete() -> Column:
@@ -38,6 +39,47 @@ def tree_paths(records: DataFrame) -> DataFrame:
     )
 
 
+def tree_paths_by_level(nodes: DataFrame) -> DataFrame:
+    """The same paths for trees kept as node rows, of any size: one join per tree level.
+
+    Open paths meet their last node by (record, node), so a record with a third
+    of all nodes is spread over them. Every level is written before the next,
+    which cuts the lineage; leaves leave the loop as (idx, ordinals, ids,
+    process, label, final_score). Missing nodes and cycles end a branch.
+    """
+    at = nodes.withColumn("node", F.struct("children", "thought", "reasoning", "score")).where(
+        ~trees.is_empty_node(F.col("node"))).select(
+        "idx", F.col("node_id").alias("at"), "children",
+        F.struct("thought", "reasoning", "score").alias("step"))
+    nothing = F.array().cast("array<struct<thought:string,reasoning:string,score:double>>")
+    open_paths = at.where(F.col("at") == trees.ROOT).select(
+        "idx", F.array().cast("array<int>").alias("ordinals"), F.array().cast("array<string>").alias("ids"),
+        nothing.alias("steps"), "children")
+    childless = F.col("children").isNull() | (F.size("children") == 0)
+    levels = []
+    while True:
+        branches = open_paths.select(
+            "idx", "ordinals", "ids", "steps", F.posexplode("children").alias("ordinal", "at"))
+        fresh = (F.col("at") != trees.ROOT) & ~F.array_contains("ids", F.col("at"))
+        level = written(branches.where(fresh).join(at, ["idx", "at"]).select(
+            "idx", F.array_append("ordinals", F.col("ordinal")).alias("ordinals"),
+            F.array_append("ids", F.col("at")).alias("ids"),
+            F.array_append("steps", F.col("step")).alias("steps"), "children"), "level")
+        if level.isEmpty():
+            break
+        levels.append(level.where(childless))
+        open_paths = level.where(~childless)
+    done = levels[0] if levels else open_paths.where(F.lit(False))
+    for level in levels[1:]:
+        done = done.unionByName(level)
+    labels = F.transform("steps", lambda s: F.struct(
+        F.coalesce(s["reasoning"], F.lit("")).alias("critique"), F.coalesce(s["score"], F.lit(0.0)).alias("score")))
+    return done.select(
+        "idx", "ordinals", "ids",
+        steps.join_steps(F.transform("steps", lambda s: s["thought"])).alias("process"), labels.alias("label"),
+        F.coalesce(F.element_at("steps", -1)["score"], F.lit(0.0)).alias("final_score"))
+
+
 def cyclic_records(records: DataFrame) -> DataFrame:
     """Records whose tree leads back to a node above, with the number of such edges met."""
     return records.select("idx", trees.walk(F.col("thought_tree"))["cycles"].alias("cycles")).where(

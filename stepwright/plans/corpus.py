@@ -48,8 +48,11 @@ def path_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dfs_order(spark: SparkSession, sf: str) -> DataFrame:
-    return tree_paths(spark, sf).select(
-        "idx", "path_no", F.array_join("ids", ">").alias("node_ids")).orderBy("idx", "path_no")
+    """Paths of the trees as node rows, joined level by level, sorted by their ordinals."""
+    paths = corpus.tree_paths_by_level(corpus.tree_nodes(inputs.tree_records(spark, sf)))
+    return paths.orderBy("idx", "ordinals").select(
+        "idx", F.array_join(F.col("ordinals").cast("array<string>"), ".").alias("ordinals"),
+        F.array_join("ids", ">").alias("node_ids"), F.length("process").alias("chars"))
 
 
 def tree_edge_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,7 +264,8 @@ ORACLES = {
         SELECT idx, path_no, generate_subscripts(ids, 1) - 1 AS step_no, unnest(reasons) AS critique,
           round(unnest(scores), 6) AS score, round(scores[-1], 6) AS final_score FROM leaves""",
     "dfs_order": f"""WITH RECURSIVE {sql.PATHS}
-        SELECT idx, path_no, array_to_string(ids, '>') AS node_ids FROM leaves ORDER BY idx, path_no""",
+        SELECT idx, array_to_string(list_transform(ords, lambda o: o - 1), '.') AS ordinals,
+          array_to_string(ids, '>') AS node_ids, length(process) AS chars FROM leaves ORDER BY idx, path_no""",
     "tree_edge_join": f"""WITH {sql.LINES}, edges AS (
           SELECT idx, i AS parent, unnest(children) AS child, generate_subscripts(children, 1) - 1 AS ordinal FROM nodes)
         SELECT e.idx, e.parent::VARCHAR AS parent_id, e.child::VARCHAR AS child_id, e.ordinal, n.thought,

@@ -95,7 +95,25 @@ def test_random_trees_against_brute_force(spark):
     got = {i: [] for i in range(len(trees))}
     for r in corpus.tree_paths(df).orderBy("idx", "path_no").collect():
         got[r.idx].append(r.ids)
-    assert got == {i: brute_paths(t) for i, t in enumerate(trees)}
+    want = {i: brute_paths(t) for i, t in enumerate(trees)}
+    assert got == want
+    by_level = corpus.tree_paths_by_level(corpus.tree_nodes(df)).orderBy("idx", "ordinals").collect()
+    assert {i: [r.ids for r in by_level if r.idx == i] for i in want} == want
+
+
+def test_paths_by_level_equal_paths_in_the_row(spark):
+    records = [
+        {"0": node([2, 1]), "1": node([3, 9]), "2": node([3], thought=None), "3": node([], "x", None, None)},
+        {"0": node([1]), "1": node([2, 3]), "2": node([1, 0]), "3": node(score=0.5)},
+        {"0": node([])}, {"1": node()}, {"0": node([5])},
+    ]
+    df = spark.createDataFrame([(i, "q", "p", t) for i, t in enumerate(records)], "idx bigint, " + schemas.THOUGHT_TREE)
+    fields = ["idx", "ids", "process", "label", "final_score"]
+    in_row = corpus.tree_paths(df).orderBy("idx", "path_no").select(fields).collect()
+    by_level = corpus.tree_paths_by_level(corpus.tree_nodes(df)).orderBy("idx", "ordinals").select(fields).collect()
+    assert in_row == by_level and len(in_row) == 3
+    nothing = corpus.tree_paths_by_level(corpus.tree_nodes(df.where("idx > 1")))
+    assert nothing.count() == 0
 
 
 def test_clean_process(spark):
