@@ -49,7 +49,8 @@ def path_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def dfs_order(spark: SparkSession, sf: str) -> DataFrame:
     """Paths of the trees as node rows, joined level by level, sorted by their ordinals."""
-    paths = corpus.tree_paths_by_level(corpus.tree_nodes(inputs.tree_records(spark, sf)))
+    nodes = written(corpus.tree_nodes(inputs.tree_records(spark, sf)), "nodes")
+    paths = corpus.tree_paths_by_level(nodes)
     return paths.orderBy("idx", "ordinals").select(
         "idx", F.array_join(F.col("ordinals").cast("array<string>"), ".").alias("ordinals"),
         F.array_join("ids", ">").alias("node_ids"), F.length("process").alias("chars"))

@@ -51,7 +51,7 @@ def incremental_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     target, checkpoint = new_path(spark, "verdicts"), new_path(spark, "verdicts-progress")
     for _ in range(2):
         verdicts.ingest_verdicts(_reply_stream(spark, sf), target, checkpoint)
-    return verdicts.read_verdicts(spark, target).drop("batch_id")
+    return verdicts.read_verdicts(spark, target)
 
 
 def streaming_metric_rollup(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,7 +15,7 @@ def windowed_means(points: DataFrame, width: str = "1 hour") -> DataFrame:
 
 def stream_rollup(points: DataFrame, table: str, checkpoint: str,
                   width: str = "1 hour", late: str = "1 hour") -> None:
-    """Keep the windowed means of a stream in a table; rows later than `late` are ignored.
+    """Keep the windowed means of a stream in its own table; rows later than `late` are ignored.
 
     Every batch writes the windows it changed to its own folder, open ones
     included; `read_rollup` takes each window's newest row.

@@ -11,8 +11,8 @@ KEYS = ["item_id", "metric"]
 VERDICT = "item_id bigint, metric string, answer string, explanation string, extract_pref string"
 
 
-def _partition(table: str, batch_id: int) -> str:
-    return f"{table}/batch_id={batch_id}"
+def _folder(table: str, run: str, batch_id: int) -> str:
+    return f"{table}/run={run}/batch_id={batch_id}"
 
 
 def ingest_verdicts(replies: DataFrame, table: str, checkpoint: str) -> None:
@@ -20,22 +20,30 @@ def ingest_verdicts(replies: DataFrame, table: str, checkpoint: str) -> None:
 
     A pair keeps its first verdict. Repeats inside a batch combine map-side,
     repeats of earlier batches fall to an anti-join. A batch owns one folder of
-    the table and overwrites it, so a batch run again leaves the same rows.
+    the table and overwrites it, so a batch run again leaves the same rows. The
+    folder carries the query's id, which lives in its checkpoint: a query begun
+    anew leaves the rows of earlier ones alone.
     """
     spark = replies.sparkSession
-    spark.createDataFrame([], VERDICT).write.mode("ignore").parquet(_partition(table, -1))
+    spark.createDataFrame([], VERDICT).write.mode("ignore").parquet(_folder(table, "none", -1))
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        done = read_verdicts(batch.sparkSession, table).where(F.col("batch_id") < batch_id).select(*KEYS)
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        own = (F.col("run") == run) & (F.col("batch_id") >= batch_id)
+        done = _read(batch.sparkSession, table).where(~own).select(*KEYS)
         values = [c for c in VERDICT.replace(",", "").split()[::2] if c not in KEYS]
         first = parse_verdicts(batch).groupBy(*KEYS).agg(
             F.min_by(F.struct(*values), F.col("reply_no")).alias("v")).select(*KEYS, "v.*")
-        first.join(done, KEYS, "left_anti").write.mode("overwrite").parquet(_partition(table, batch_id))
+        first.join(done, KEYS, "left_anti").write.mode("overwrite").parquet(_folder(table, run, batch_id))
 
     query = (replies.writeStream.foreachBatch(add)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
 
 
+def _read(spark: SparkSession, table: str) -> DataFrame:
+    return spark.read.schema(VERDICT + ", run string, batch_id bigint").parquet(table)
+
+
 def read_verdicts(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.schema(VERDICT + ", batch_id bigint").parquet(table)
+    return _read(spark, table).drop("run", "batch_id")

@@ -14,9 +14,9 @@ def add_file(spark, folder, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
 
 
-def ingest(spark, tmp_path):
+def ingest(spark, tmp_path, progress="progress"):
     stream = spark.readStream.schema(REPLY).parquet(str(tmp_path / "in"))
-    verdicts.ingest_verdicts(stream, str(tmp_path / "table"), str(tmp_path / "progress"))
+    verdicts.ingest_verdicts(stream, str(tmp_path / "table"), str(tmp_path / progress))
     rows = verdicts.read_verdicts(spark, str(tmp_path / "table")).collect()
     return sorted((r.item_id, r.metric, r.answer) for r in rows)
 
@@ -30,6 +30,8 @@ def test_first_verdict_stays(spark, tmp_path):
     assert ingest(spark, tmp_path) == first   # nothing new
     add_file(spark, folder, [(1, "helpful", 4, "<answer>Yes</answer>"), (2, "helpful", 5, "<answer>Yes</answer>")], REPLY)
     assert ingest(spark, tmp_path) == first + [(2, "helpful", "Yes")]
+    # a query that lost its progress reads all again and changes nothing
+    assert ingest(spark, tmp_path, "progress2") == first + [(2, "helpful", "Yes")]
 
 
 def test_a_hot_pair_leaves_one_verdict_and_equals_the_batch(spark, tmp_path):
