@@ -247,8 +247,9 @@ def _context(closing: str) -> str:
 LINE_SQL = f"{sql.SEP} || chr(10)"
 USER_SQL = f"{INSTRUCTION_SQL} || {PROMPT_SQL} || {_context(LINE_SQL)} || step || {sql.SEP}"
 CRITIQUE_SQL = "label[step_no + 1].critique"
-CHAT_SQL = (f"'<|im_start|>user' || chr(10) || {USER_SQL} || '<|im_end|>' || chr(10) || "
-            f"'<|im_start|>assistant' || chr(10) || {CRITIQUE_SQL} || '<|im_end|>' || chr(10)")
+MARKER_SQL = "'<|im_start|>assistant' || chr(10)"
+ASKED_SQL = f"'<|im_start|>user' || chr(10) || {USER_SQL} || '<|im_end|>' || chr(10)"
+CHAT_SQL = f"{ASKED_SQL} || {MARKER_SQL} || {CRITIQUE_SQL} || '<|im_end|>' || chr(10)"
 CUT_SQL = f"split_part(process, {sql.SEP} || 'Step 6', 1)"
 SCORED_LABEL = ("list_transform(label[1:5], lambda x, j: {'critique': x.critique || CASE WHEN "
                 "j = least(len(label), 5) AND x.critique = 'Final Answer Node.' THEN chr(10) || chr(10) || "
@@ -258,12 +259,13 @@ ORACLES = {
     "thought_tree_paths": f"""WITH RECURSIVE {sql.PATHS}
         SELECT idx, path_no, question, preference, process, array_to_string(list_transform(reasons,
           lambda r, j: r || '|' || round(scores[j] * 10)::BIGINT), chr(10)) AS label,
-          round(scores[-1], 6) AS final_score FROM leaves""",
+          round(scores[-1], 6) AS final_score FROM leaves WHERE question <> ''""",
     "path_to_process": f"""WITH RECURSIVE {sql.PATHS}
-        SELECT idx, path_no, len(ids) AS depth, process FROM leaves""",
+        SELECT idx, path_no, len(ids) AS depth, process FROM leaves WHERE question <> ''""",
     "path_labels": f"""WITH RECURSIVE {sql.PATHS}
         SELECT idx, path_no, generate_subscripts(ids, 1) - 1 AS step_no, unnest(reasons) AS critique,
-          round(unnest(scores), 6) AS score, round(scores[-1], 6) AS final_score FROM leaves""",
+          round(unnest(scores), 6) AS score, round(scores[-1], 6) AS final_score FROM leaves
+        WHERE question <> ''""",
     "dfs_order": f"""WITH RECURSIVE {sql.PATHS}
         SELECT idx, array_to_string(list_transform(ords, lambda o: o - 1), '.') AS ordinals,
           array_to_string(ids, '>') AS node_ids, length(process) AS chars FROM leaves ORDER BY idx, path_no""",
@@ -302,13 +304,13 @@ ORACLES = {
         FROM step_rows""",
     "chat_serialize": f"WITH {sql.STEPS} SELECT idx, step_no, {CHAT_SQL} AS text FROM step_rows",
     "loss_span": f"""WITH {sql.STEPS}
-        SELECT idx, step_no, CASE WHEN step_no > 0 THEN {CRITIQUE_SQL} || '<|im_end|>' || chr(10) END AS span
-        FROM step_rows""",
+        SELECT idx, step_no, CASE WHEN contains(t, {MARKER_SQL}) THEN string_split(t, {MARKER_SQL})[-1] END AS span
+        FROM (SELECT idx, step_no, CASE WHEN step_no = 0 THEN {ASKED_SQL} ELSE {CHAT_SQL} END AS t FROM step_rows)""",
     "overlength_flag": f"""WITH {sql.STEPS}, texts AS (SELECT idx, step_no, {CHAT_SQL} AS t FROM step_rows),
         sizes AS (SELECT idx, step_no, len({sql.words('t')}) AS tokens,
-          len({sql.words("split_part(t, '<|im_start|>assistant' || chr(10), 1)")}) AS head FROM texts)
+          len({sql.words(f"string_split(t, {MARKER_SQL})[-1]")}) AS answer FROM texts)
         SELECT idx, step_no, tokens, (tokens > {MAX_SEQUENCE})::INTEGER AS too_long,
-          (head >= {MAX_SEQUENCE})::INTEGER AS marker_lost FROM sizes""",
+          (tokens - answer > {MAX_SEQUENCE})::INTEGER AS marker_lost FROM sizes""",
     "normalize_content": """
         SELECT conv_id, turn, role, 0 AS part, 'image' AS type, NULL::VARCHAR AS text FROM conversations
         WHERE role = 'user' UNION ALL

@@ -42,13 +42,14 @@ def _damaged_lines(docs: DataFrame) -> DataFrame:
 
 
 def scan_jsonl_tolerant(spark: SparkSession, sf: str) -> DataFrame:
-    """Good lines, and the malformed ones by their raw text."""
+    """Good lines with their text, and the malformed ones by the id that can be made out."""
     path = new_path(spark, "lines")
     _damaged_lines(_documents(spark, sf)).write.text(path)
     rows = json_files.read_json_lines(spark, path, DOCUMENT)
     good = json_files.good_records(rows).select(F.lit("good").alias("kind"), "doc_id", "text")
     bad = json_files.quarantined(rows).select(
-        F.lit("bad").alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.col("raw").alias("text"))
+        F.lit("bad").alias("kind"), F.regexp_extract("raw", r'^\{"doc_id":(\d+),', 1).cast("bigint").alias("doc_id"),
+        F.lit(None).cast("string").alias("text"))
     return good.unionByName(bad)
 
 
@@ -143,11 +144,8 @@ split AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(position |
 
 ORACLES = {
     "scan_json_array_dir": "SELECT doc_id, lang, source, text FROM documents",
-    # a line cut by its last two characters keeps the whole text but not its closing quote
     "scan_jsonl_tolerant": """SELECT 'good' AS kind, doc_id, text FROM documents UNION ALL
-        SELECT 'bad', NULL, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","text":"'
-          || replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n')
-        FROM documents WHERE source = 'src5'""",
+        SELECT 'bad', doc_id, NULL FROM documents WHERE source = 'src5'""",
     "quarantine_corrupt": """SELECT CASE WHEN source = 'src5' THEN 'damaged' ELSE 'sound' END AS folder,
           CASE WHEN source <> 'src5' THEN source END AS source, count(*) FILTER (source <> 'src5') AS good,
           max(CASE WHEN source = 'src5' THEN 1 ELSE 0 END) AS quarantined,

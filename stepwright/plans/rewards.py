@@ -215,7 +215,9 @@ ORACLES = {
           AS kept FROM f GROUP BY doc_id)
         SELECT w.doc_id, array_to_string(t[greatest(len(t) - {PROMPT_TOKENS}, 0) + 1:], ' ') AS tail,
           coalesce(kept, '') AS protected FROM w LEFT JOIN k ON k.doc_id = w.doc_id""",
-    "strip_repeat_tokens": """SELECT doc_id, replace(text, ' ', '<img>') || '<pad>' AS text FROM documents""",
+    "strip_repeat_tokens": """SELECT doc_id, regexp_replace(regexp_replace(
+          repeat('<pad>', doc_id % 4) || replace(text, ' ', '<img><img><img>') || '<pad>', '^(<pad>)+', ''),
+          '(<img>)+', '<img>', 'g') AS text FROM documents""",
     "eos_mask": f"WITH {sql.COMPLETION_STEPS} SELECT prompt_id, gen, {MASK_SQL} AS mask FROM csteps",
     "mask_truncated": f"""WITH {sql.COMPLETION_STEPS}
         SELECT prompt_id, gen, CASE WHEN list_contains(tokens, '{EOS}') THEN {MASK_SQL}
