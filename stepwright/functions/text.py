@@ -12,10 +12,8 @@ WHITESPACE = "".join(map(chr, [
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]))
-WHITESPACE_RUN = (
-    r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
+# The same characters as a pattern; one property test is several times faster than their list.
+WHITESPACE_RUN = r"[\x1c-\x1f\p{IsWhite_Space}]+"
 # Fixed value: the score marker a critique ends with.
 SCORE_PATTERN = r"(?i)\*\*SCORE:\*\*[\s\x0b]*([-+]?\d*\.?\d+)"
 

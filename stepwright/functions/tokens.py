@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stepwright.functions.arrays import bind
+from stepwright.functions.text import WHITESPACE_RUN, strip
 
 
 def tail(tokens: Column, n: int, protected: list[str] | None = None) -> Column:
@@ -47,34 +48,35 @@ def mask_truncated(mask: Column, tokens: Column, eos: Column) -> Column:
         F.array_repeat(F.lit(0), F.size(tokens)))
 
 
-def framed(tokens: Column, separator: str = " ") -> Column:
-    """Tokens as text with a separator, which no token contains, around each."""
-    return F.concat(F.lit(separator), F.array_join(tokens.cast("array<string>"), separator), F.lit(separator))
+# Searches run on framed text: a space before, between and behind the tokens,
+# which themselves hold none. One substring search then finds a token sequence.
 
+def framed(tokens: Column) -> Column:
+    """A token array as framed text; token ids work as well."""
+    return F.concat(F.lit(" "), F.array_join(tokens.cast("array<string>"), " "), F.lit(" "))
 
-def find_framed(text: Column, needle: Column, separator: str = " ") -> Column:
-    """First 0-based position of the `needle` tokens in framed text; 0 if empty, -1 if absent.
 
-    One substring search finds the match, the separators before it its position.
-    """
-    def position(at: Column) -> Column:
-        before = F.substring(text, F.lit(1), at)
-        return F.length(before) - F.length(F.replace(before, F.lit(separator), F.lit(""))) - 1
+def framed_text(text: Column) -> Column:
+    """The whitespace tokens of a text as framed text."""
+    return F.concat(F.lit(" "), F.regexp_replace(strip(text), WHITESPACE_RUN, " "), F.lit(" "))
+
 
-    found = bind(F.instr(text, framed(needle, separator)),
-                 lambda at: F.when(at == 0, -1).otherwise(position(at)))
-    return F.when(F.size(needle) == 0, 0).otherwise(found)
+def framed_size(frame: Column) -> Column:
+    """Number of tokens in framed text."""
+    gaps = F.length(frame) - F.length(F.replace(frame, F.lit(" "), F.lit("")))
+    return F.when(F.length(frame) == 2, 0).otherwise(gaps - 1)
 
 
-def find_tokens(haystack: Column, needle: Column, separator: str = " ") -> Column:
-    """First 0-based position of `needle` in `haystack`; 0 if empty, -1 if absent."""
-    return bind(framed(haystack, separator), lambda text: find_framed(text, needle, separator))
+def find_framed(frame: Column, needle: Column) -> Column:
+    """First 0-based position of one framed token sequence in another; 0 if empty, -1 if absent."""
+    def position(at: Column) -> Column:
+        before = F.substring(frame, F.lit(1), at)
+        return F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))) - 1
 
+    found = bind(F.instr(frame, needle), lambda at: F.when(at == 0, -1).otherwise(position(at)))
+    return F.when(F.length(needle) == 2, 0).otherwise(found)
 
-def find_each(haystack: Column, needles: Column, separator: str = " ") -> Column:
-    """(needle, position) of several token arrays in one haystack."""
-    def located(needle: Column, text: Column) -> Column:
-        return F.struct(needle.alias("needle"), find_framed(text, needle, separator).alias("first"))
 
-    return bind(framed(haystack, separator),
-                lambda text: F.transform(needles, lambda n: located(n, text)))
+def find_tokens(haystack: Column, needle: Column) -> Column:
+    """The same for token arrays."""
+    return find_framed(framed(haystack), framed(needle))

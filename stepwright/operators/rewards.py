@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepwright.functions.arrays import bind
 from stepwright.functions.steps import MAX_STEPS
-from stepwright.functions.text import words
-from stepwright.functions.tokens import find_each
+from stepwright.functions.tokens import find_framed, framed_size
 from stepwright.operators.skew import lookup_join
 
 STD_OFFSET = 1e-8  # fixed value: added to the deviation before dividing
@@ -57,19 +57,20 @@ def aligned_scores(steps: Column, scores: Column) -> Column:
     return F.transform(steps, lambda _, i: F.coalesce(F.get(scores, i), F.lit(0.0)))
 
 
-def step_spans(tokens: Column, steps: Column, scores: Column) -> Column:
-    """(first, after, score) of each step whose tokens occur in the completion."""
-    def span(found: Column, i: Column) -> Column:
-        return F.struct(found["first"].alias("first"),
-                        (found["first"] + F.size(found["needle"])).alias("after"),
-                        F.get(scores, i).alias("score"))
+def step_spans(completion: Column, steps: Column, scores: Column) -> Column:
+    """(first, after, score) of each step whose tokens occur in the completion.
 
-    located = find_each(tokens, F.transform(steps, words))
-    return F.filter(F.transform(located, span), lambda s: s["first"] >= 0)
+    `completion` is framed text, `steps` an array of framed texts.
+    """
+    def span(step: Column, i: Column) -> Column:
+        return bind(find_framed(completion, step), lambda first: F.struct(
+            first.alias("first"), (first + framed_size(step)).alias("after"), F.get(scores, i).alias("score")))
+
+    return F.filter(F.transform(steps, span), lambda s: s["first"] >= 0)
 
 
-def token_rewards(tokens: Column, spans: Column) -> Column:
-    """Each token's reward: the score of the last step covering it, else 0.0.
+def token_rewards(size: Column, spans: Column) -> Column:
+    """The rewards of `size` tokens: the score of the last step covering each, else 0.0.
 
     Step by step, a span's stretch of the array is replaced as a whole.
     """
@@ -79,7 +80,7 @@ def token_rewards(tokens: Column, spans: Column) -> Column:
             F.array_repeat(s["score"], s["after"] - s["first"]),
             F.slice(rewards, s["after"] + 1, F.size(rewards) - s["after"]))
 
-    return F.aggregate(spans, F.array_repeat(F.lit(0.0), F.size(tokens)), put)
+    return F.aggregate(spans, F.array_repeat(F.lit(0.0), size), put)
 
 
 def padded(rewards: Column, length: Column) -> Column:

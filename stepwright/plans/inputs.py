@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepwright.functions.arrays import bind
 from stepwright.functions.prompts import METRICS
 from stepwright.functions.steps import with_completion_steps
 from stepwright.functions.text import STEP_SEPARATOR, parse_score, words
-from stepwright.functions.tokens import eos_mask
+from stepwright.functions.tokens import eos_mask, framed_size, framed_text
 from stepwright.operators.judge import parse_verdicts
 from stepwright.operators.rewards import aligned_scores, step_spans, token_rewards, with_scores
 from stepwright.sources.tables import table
@@ -41,8 +42,8 @@ def tenth(number: Column) -> Column:
 def pieces(count: Column) -> Column:
     """The text cut into `count` pieces of equal length, the last ones maybe shorter or empty."""
     width = F.floor((F.length("text") + count - 1) / count).cast("int")
-    return F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: F.substring(
-        F.col("text"), i * width + 1, width))
+    return bind(width, lambda w: F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: F.substring(
+        F.col("text"), i * w + 1, w)))
 
 
 def numbered(texts: Column) -> Column:
@@ -184,23 +185,21 @@ def critique_replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored_completions(spark: SparkSession, sf: str) -> DataFrame:
-    """Completions with their steps, tokens and aligned step scores."""
+    """Completions with their steps and aligned step scores."""
     scores = critique_replies(spark, sf).select(
         "prompt_id", "gen", "step_no", parse_score(F.col("raw")).alias("score"))
     steps = with_completion_steps(with_scores(completions(spark, sf), scores), "completion")
-    return steps.withColumns({
-        "scores": aligned_scores(F.col("steps"), F.col("scores")),
-        "tokens": words(F.col("completion")),
-    })
+    return steps.withColumn("scores", aligned_scores(F.col("steps"), F.col("scores")))
 
 
 def rewarded(spark: SparkSession, sf: str) -> DataFrame:
     """Scored completions with per-token rewards and the end-token mask."""
-    spans = step_spans(F.col("tokens"), F.col("steps"), F.col("scores"))
-    return scored_completions(spark, sf).select(
+    frame = F.col("frame")
+    spans = step_spans(frame, F.transform("steps", framed_text), F.col("scores"))
+    return scored_completions(spark, sf).withColumn("frame", framed_text(F.col("completion"))).select(
         "batch_id", "prompt_id", "gen", "prompt", "completion",
-        token_rewards(F.col("tokens"), spans).alias("rewards"),
-        eos_mask(F.col("tokens"), F.lit(EOS)).alias("mask"))
+        token_rewards(framed_size(frame), spans).alias("rewards"),
+        eos_mask(words(F.col("completion")), F.lit(EOS)).alias("mask"))
 
 
 def rollouts(spark: SparkSession, sf: str, *columns: str) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from stepwright.functions.prompts import METRICS
-from stepwright.functions.text import WHITESPACE, WHITESPACE_RUN
+from stepwright.functions.text import WHITESPACE
 
 SEP = "repeat(chr(10), 5)"
 EOS = "<eos>"
+WHITESPACE_RUN = (r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
+                  r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
 
 
 def lit(text: str) -> str:

@@ -67,10 +67,10 @@ def mask_truncated(spark: SparkSession, sf: str) -> DataFrame:
 
 def find_subsequence(spark: SparkSession, sf: str) -> DataFrame:
     """Position of every step's tokens in its completion's tokens."""
-    split = with_completion_steps(completion_tokens(spark, sf), "completion")
-    return split.select(*KEYS, F.posexplode(tok.find_each(
-        F.col("tokens"), F.transform("steps", words))).alias("step_no", "found")).select(
-        *KEYS, "step_no", "found.first")
+    split = with_completion_steps(inputs.completions(spark, sf), "completion").withColumn(
+        "frame", tok.framed_text(F.col("completion")))
+    return split.select(*KEYS, F.posexplode(F.transform("steps", lambda s: tok.find_framed(
+        F.col("frame"), tok.framed_text(s)))).alias("step_no", "first"))
 
 
 def replicate_generations(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from stepwright.functions import tokens
 from stepwright.operators import loss, rewards, skew
 
 SCHEMA = "batch_id bigint, prompt_id bigint, gen int, rewards array<double>, mask array<int>"
@@ -97,10 +98,12 @@ def test_completion_means_divide_the_whole_sum_by_the_masked_count(spark):
 
 def test_spans_later_steps_overwrite_and_missing_ones_do_nothing(spark):
     df = spark.createDataFrame([(
-        "Step 1: a b Step 1: a b c".split(), ["Step 1: a b", "b  c", "not there", "a b"], [0.5, 0.7, 0.9, -1.0],
+        "Step 1: a b Step 1: a b c".split(), ["Step 1: a b", "b  c", "not there", "a b", " "],
+        [0.5, 0.7, 0.9, -1.0, 3.0],
     )], "tokens array<string>, steps array<string>, scores array<double>")
-    spans = rewards.step_spans(F.col("tokens"), F.col("steps"), F.col("scores"))
-    row = df.select(rewards.token_rewards(F.col("tokens"), spans).alias("r")).first()
+    frame = tokens.framed(F.col("tokens"))
+    spans = rewards.step_spans(frame, F.transform("steps", tokens.framed_text), F.col("scores"))
+    row = df.select(rewards.token_rewards(tokens.framed_size(frame), spans).alias("r")).first()
     assert row.r == [0.5, 0.5, -1.0, -1.0, 0.0, 0.0, 0.0, 0.7, 0.7]
 
 

@@ -21,6 +21,9 @@ def test_strip_is_unicode_aware(spark):
 
 
 def test_words_split_like_python(spark):
+    every = [f"a{chr(c)}b" for c in [*range(1, 0x3100), 0xFEFF, 0x1F600] if not 0xD800 <= c < 0xE000]
+    assert apply(spark, text.words, every) == [c.split() for c in every]
+    assert apply(spark, text.strip, [c[1:-1] for c in every]) == [c[1:-1].strip() for c in every]
     cases = ["a  b\nc", " lead", "", " \t", "x y　z"]
     assert apply(spark, text.words, cases) == [c.split() for c in cases]
 
