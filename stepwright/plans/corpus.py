@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwright.functions import prompts, steps
-from stepwright.functions.text import STEP_SEPARATOR, format_score, words
+from stepwright.functions.text import STEP_SEPARATOR, words
 from stepwright.operators import corpus
 from stepwright.operators.skew import running_sum
 from stepwright.plans import inputs

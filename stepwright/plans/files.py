@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from stepwright.operators import corpus
 from stepwright.plans import inputs
 from stepwright.plans import oracle_inputs as sql
-from stepwright.plans.corpus import file_positions, label_text
+from stepwright.plans.corpus import CUT_SQL, LABEL_SQL, SCORED_LABEL, file_positions, label_text
+from stepwright.plans.corpus import ORACLES as CORPUS_ORACLES
 from stepwright.sources import json_files, schemas
 from stepwright.sources.tables import table
 from stepwright.sources.workspace import new_path
@@ -157,20 +158,10 @@ ORACLES = {
     "sink_by_source_file": f"""WITH {SPLIT}
         SELECT doc_id, text, position, CASE WHEN train THEN 'train' ELSE 'test' END AS split, lang AS source_file
         FROM split""",
-    "sink_single_collection": None,
+    "sink_jsonl": f"""WITH {sql.PROCESS}
+        SELECT idx, question, preference, {CUT_SQL} AS process, {LABEL_SQL.format(SCORED_LABEL)} AS label,
+          round(final_score, 6) AS final_score FROM process""",
+    "sink_single_collection": f"""SELECT instruction, input, output FROM ({CORPUS_ORACLES['explode_responses']})""",
     "union_sources": """SELECT 'documents' AS origin, doc_id AS key, text FROM documents UNION ALL
         SELECT 'pages', page_id, html FROM pages UNION ALL SELECT 'conversations', conv_id, text FROM conversations""",
 }
-
-
-def _fill_shared() -> None:
-    from stepwright.plans import corpus as plans
-
-    ORACLES["sink_jsonl"] = f"""WITH {sql.PROCESS}
-        SELECT idx, question, preference, {plans.CUT_SQL} AS process,
-          {plans.LABEL_SQL.format(plans.SCORED_LABEL)} AS label, round(final_score, 6) AS final_score FROM process"""
-    ORACLES["sink_single_collection"] = f"""SELECT instruction, input, output FROM (
-        {plans.ORACLES['explode_responses']})"""
-
-
-_fill_shared()
