@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwright.llm import sharding, token_counts, token_files, tokens
+from stepwright.llm import (
+    decontamination, language, mixing, sharding, simhash, substrings, token_counts, token_files, tokens, topk,
+    toxicity)
+from stepwright.llm.common import remainder
 from stepwright.sources.workspace import new_path
 
 MAX_TOKENS = 1024
@@ -36,5 +39,60 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_sharding, op5_token_files)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder(F.col("doc_id"), 5) != 0)
+    lexicon = toxicity.learn(docs, labels)
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits")
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, 5, "vec_id % 50 = 0", scale=256)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir, "lang").withColumn("held_out", remainder(F.col("doc_id"), 3) == 1)
+    found = language.identify(docs, docs.where("not held_out"), F.col("lang"), keep=["held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+#: Weights of the domains that the quality labels make.
+TARGETS = {"good": 0.9, "plain": 0.1}
+
+
+def domain() -> Column:
+    return F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mixing.mix(_docs(spark, sf_dir), labels, domain(), TARGETS).select(
+        "doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(_docs(spark, sf_dir), length=100)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_docs(spark, sf_dir), shingle=3).select(
+        "doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_overlaps(
+        _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"),
+        decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_toxicity, op3_exact_topk, op4_sharding, op5_token_files, op6_language, op7_mixing,
+    op8_suffix_dedup, op9_simhash, op10_decontamination)}
 ORACLES: dict[str, str] = {}

@@ -1,8 +1,9 @@
 """Token counts through a digest cache.
 
 The cache is a Parquet table of (content, tokenizer, n_tokens): the digest of a
-normalised text, the digest of a tokenizer's file, and the count. Documents are
-joined to it by both digests; of the texts not found, one copy each is encoded,
+normalised text, the digest of a tokenizer's file, and the count, each pair of
+digests once: Spark commits an append as a whole, and there is to be one writer
+at a time. Documents are joined to it by both digests; of the texts not found, one copy each is encoded,
 and their counts are appended. Normalising must not change the count, so the
 default only makes a null text empty; a tokenizer that folds case may bring its
 own expression.
@@ -34,9 +35,7 @@ def read_cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], "content binary, n_tokens bigint")
-    # an append that a lost executor made run twice leaves one row per attempt at most: the count is the same
-    return spark.read.schema(CACHE).parquet(path).where(F.col("tokenizer") == tokenizer).groupBy(
-        "content").agg(F.max("n_tokens").alias("n_tokens"))
+    return spark.read.schema(CACHE).parquet(path).where(F.col("tokenizer") == tokenizer).drop("tokenizer")
 
 
 def _digest(text: Column) -> Column:
@@ -73,7 +72,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str,
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     chosen = missing.groupBy("content").agg(F.min(key).alias("key")).hint("shuffle_hash")
     texts = docs.select(_digest(text).alias("content"), key.alias("key"), text.alias("text")).join(
-        chosen, ["content", "key"], "left_semi").select("content", "text")
+        chosen, ["content", "key"], "left_semi").select("content", "text").dropDuplicates(["content"])
     counted = encode_misses(texts, tokenizer_path)
     counted.select("content", F.lit(known).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     return rows.join(read_cache(spark, cache_path, known), "content").select("doc_id", "n_bytes", "n_tokens")
