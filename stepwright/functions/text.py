@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stepwright.functions.arrays import bind
+
 # The separator between reasoning steps, and the characters a
 # Unicode-aware strip removes.
 STEP_SEPARATOR = "\n\n\n\n\n"
@@ -15,7 +17,17 @@ WHITESPACE = "".join(map(chr, [
 # The same characters as a pattern; one property test is several times faster than their list.
 WHITESPACE_RUN = r"[\x1c-\x1f\p{IsWhite_Space}]+"
 # Fixed value: the score marker a critique ends with.
-SCORE_PATTERN = r"(?i)\*\*SCORE:\*\*[\s\x0b]*([-+]?\d*\.?\d+)"
+SCORE_PATTERN = r"(?i)\*\*SCORE:\*\*[\x1c-\x1f\p{IsWhite_Space}]*([-+]?\d*\.?\d+)"
+# Named character references that replies use, by what they stand for.
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "nbsp": " ", "copy": "©", "reg": "®",
+    "trade": "™", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
+    "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•", "middot": "·",
+    "deg": "°", "plusmn": "±", "times": "×", "divide": "÷", "le": "≤", "ge": "≥",
+    "ne": "≠", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "sect": "§",
+    "rarr": "→", "larr": "←", "eacute": "é", "egrave": "è", "agrave": "à", "uuml": "ü",
+    "ouml": "ö", "auml": "ä", "szlig": "ß", "ccedil": "ç", "ntilde": "ñ",
+}
 
 
 def strip(text: Column) -> Column:
@@ -35,9 +47,31 @@ def tag_text(raw: Column, tag: str) -> Column:
     """Text of the first `<tag>`; '' when missing, to the end when unclosed."""
     inner = F.regexp_extract(raw, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|\z)", 1)
     bare = F.regexp_replace(inner, r"</?[A-Za-z][^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.coalesce(strip(bare), F.lit(""))
+    return F.coalesce(strip(unescape(bare)), F.lit(""))
+
+
+def unescape(text: Column) -> Column:
+    """Character references as the characters they stand for: decimal, hexadecimal, and those of ENTITIES.
+
+    The text is cut at every `&`, so what a reference gives is not read again.
+    Others stay as they are; a number that is no character gives U+FFFD.
+    """
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z]+);", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10)).otherwise(
+            F.substring(name, 2, 9)).try_cast("bigint")
+        known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        char = F.when(name.startswith("#"), F.when(known, F.decode(
+            F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))).otherwise(
+            F.try_element_at(names, name))
+        return F.coalesce(F.concat(char, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece))
+
+    parts = F.split(text, "&", -1)
+    whole = bind(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(
+        F.transform(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), decoded), "")))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def parse_score(reply: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from stepwright.functions import prompts, steps, trees
 from stepwright.functions.arrays import as_rows
 from stepwright.functions.text import STEP_SEPARATOR, format_score
-from stepwright.operators.skew import lookup_join
 from stepwright.sources.workspace import written
 
 
@@ -29,8 +28,8 @@ def tree_paths(records: DataFrame) -> DataFrame:
     Incomplete records have no paths; a filter would be pushed below whatever
     computes the tree, and compute it twice.
     """
-    paths = F.when(is_complete(), trees.path_records(
-        F.col("thought_tree"), trees.leaf_paths(F.col("thought_tree"))))
+    raw = records.schema["thought_tree"].dataType.valueType["score"].dataType.typeName() == "string"
+    paths = F.when(is_complete(), trees.path_records(trees.leaf_paths(F.col("thought_tree")), raw))
     return (
         records
         .select("idx", F.col("initial_question").alias("question"),
@@ -43,41 +42,40 @@ def tree_paths_by_level(nodes: DataFrame) -> DataFrame:
     """The same paths for trees kept as node rows, of any size: one join per tree level.
 
     Open paths meet their last node by (record, node), so a record with a third
-    of all nodes is spread over them. Every level is written before the next,
-    which cuts the lineage; leaves leave the loop as (idx, ordinals, ids,
-    process, label, final_score). Missing nodes and cycles end a branch.
+    of all nodes is spread over them. Levels carry places and ids only, and each
+    is written before the next, which cuts the lineage; thoughts and labels are
+    joined once at the end. Gives (idx, ordinals, ids, process, label,
+    final_score). Missing nodes and cycles end a branch.
     """
     at = nodes.withColumn("node", F.struct("children", "thought", "reasoning", "score")).where(
-        ~trees.is_empty_node(F.col("node"))).select(
-        "idx", F.col("node_id").alias("at"), "children",
-        F.struct("thought", "reasoning", "score").alias("step"))
-    nothing = F.array().cast("array<struct<thought:string,reasoning:string,score:double>>")
-    open_paths = at.where(F.col("at") == trees.ROOT).select(
-        "idx", F.array().cast("array<int>").alias("ordinals"), F.array().cast("array<string>").alias("ids"),
-        nothing.alias("steps"), "children")
+        ~trees.is_empty_node(F.col("node"))).select("idx", F.col("node_id").alias("at"), "children", "node")
+    links = written(at.select("idx", "at", "children"), "tree-links")
+    open_paths = links.where(F.col("at") == trees.ROOT).select(
+        "idx", F.array().cast("array<int>").alias("ordinals"), F.array().cast("array<string>").alias("ids"), "children")
     childless = F.col("children").isNull() | (F.size("children") == 0)
     levels = []
     while True:
-        branches = open_paths.select(
-            "idx", "ordinals", "ids", "steps", F.posexplode("children").alias("ordinal", "at"))
+        branches = open_paths.select("idx", "ordinals", "ids", F.posexplode("children").alias("ordinal", "at"))
         fresh = (F.col("at") != trees.ROOT) & ~F.array_contains("ids", F.col("at"))
-        level = written(branches.where(fresh).join(at, ["idx", "at"]).select(
+        level = written(branches.where(fresh).join(links, ["idx", "at"]).select(
             "idx", F.array_append("ordinals", F.col("ordinal")).alias("ordinals"),
-            F.array_append("ids", F.col("at")).alias("ids"),
-            F.array_append("steps", F.col("step")).alias("steps"), "children"), "level")
+            F.array_append("ids", F.col("at")).alias("ids"), "children"), "level")
         if level.isEmpty():
             break
-        levels.append(level.where(childless))
+        levels.append(level.where(childless).select("idx", "ordinals", "ids"))
         open_paths = level.where(~childless)
-    done = levels[0] if levels else open_paths.where(F.lit(False))
+    done = levels[0] if levels else open_paths.where(F.lit(False)).select("idx", "ordinals", "ids")
     for level in levels[1:]:
         done = done.unionByName(level)
-    labels = F.transform("steps", lambda s: F.struct(
-        F.coalesce(s["reasoning"], F.lit("")).alias("critique"), F.coalesce(s["score"], F.lit(0.0)).alias("score")))
-    return done.select(
-        "idx", "ordinals", "ids",
-        steps.join_steps(F.transform("steps", lambda s: s["thought"])).alias("process"), labels.alias("label"),
-        F.coalesce(F.element_at("steps", -1)["score"], F.lit(0.0)).alias("final_score"))
+    steps_of = done.select("idx", "ordinals", "ids", F.posexplode("ids").alias("place", "at")).join(
+        at.select("idx", "at", "node"), ["idx", "at"])
+    raw = nodes.schema["score"].dataType.typeName() == "string"
+    # a group is one path, whose texts are its output anyway
+    return steps_of.groupBy("idx", "ordinals", "ids").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda s: s["node"]).alias("on")).select(
+        "idx", "ordinals", "ids", steps.join_steps(F.transform("on", lambda n: n["thought"])).alias("process"),
+        F.transform("on", trees.label_of).alias("label"),
+        trees.final_score(F.element_at("on", -1), raw).alias("final_score"))
 
 
 def cyclic_records(records: DataFrame) -> DataFrame:
@@ -216,12 +214,10 @@ def seeded_split(df: DataFrame, file: str, position: str, seed: int = 42,
         (F.col("_train") > F.col("_upto") - F.col("_n")) & (F.col("_train") <= F.col("_upto"))
     ).select(file, "_prefix", (F.col("_train") - F.col("_upto") + F.col("_n")).alias("_take"))
 
-    at_cut = lookup_join(hashed.select(file, position, "_hash", "_prefix"), cuts,
-                         [file, "_prefix"], [position], how="inner")
+    at_cut = hashed.select(file, position, "_hash", "_prefix").join(cuts, [file, "_prefix"])
     rank = F.row_number().over(Window.partitionBy(file).orderBy("_hash", position))
     last = at_cut.withColumn("_rank", rank).where(F.col("_rank") == F.col("_take")).select(
         file, order.alias("_last"))
-    marked = lookup_join(hashed, last, [file], [position])
-    return marked.withColumn(
+    return hashed.join(last, file, "left").withColumn(
         "split", F.when(F.coalesce(order <= F.col("_last"), F.lit(False)), "train").otherwise("test")
     ).drop("_hash", "_prefix", "_last")

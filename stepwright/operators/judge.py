@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwright.functions import prompts
@@ -13,10 +13,36 @@ MAX_JUDGE_TOKENS = 1024  # fixed value: reply budget of a judge call
 CRITIQUE_STOP = prompts.TURN_END
 
 
+def checked_templates(rubrics: DataFrame) -> DataFrame:
+    """The eight templates; a metric without one, or with two different ones, is an error."""
+    known = rubrics.where(F.col("metric").isin(METRICS)).select("metric", "template").distinct()
+    found = [r.metric for r in known.limit(2 * len(METRICS)).collect()]
+    wrong = [m for m in METRICS if found.count(m) != 1]
+    if wrong:
+        raise ValueError(f"not exactly one template for: {', '.join(wrong)}")
+    return known
+
+
 def attach_templates(pairs: DataFrame, rubrics: DataFrame) -> DataFrame:
-    """Pairs with their metric's template, of which there are at most eight to broadcast."""
-    eight = rubrics.where(F.col("metric").isin(METRICS)).dropDuplicates(["metric"])
-    return pairs.join(F.broadcast(eight), "metric")
+    """Pairs with their metric's template, of which there are eight to broadcast."""
+    return pairs.join(F.broadcast(checked_templates(rubrics)), "metric")
+
+
+def verdict_order(verdicts: DataFrame) -> Column:
+    """What decides between verdicts of one pair: the smallest `reply_no`, or without one the least hash."""
+    values = [c for c in ("answer", "explanation", "extract_pref") if c in verdicts.columns]
+    return F.col("reply_no").cast("bigint") if "reply_no" in verdicts.columns else F.xxhash64(*values)
+
+
+def first_verdicts(verdicts: DataFrame) -> DataFrame:
+    """One verdict for each (item_id, metric), the first by `verdict_order`.
+
+    Rows are dealt out by item, so that what groups by item next needs no other shuffle.
+    """
+    values = [c for c in ("answer", "explanation", "extract_pref") if c in verdicts.columns]
+    order = Window.partitionBy("item_id", "metric").orderBy("_order", F.xxhash64(*values))
+    return verdicts.withColumn("_order", verdict_order(verdicts)).repartition("item_id").withColumn(
+        "_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_order")
 
 
 def with_rubrics(items: DataFrame, rubrics: DataFrame) -> DataFrame:
@@ -66,14 +92,40 @@ def parse_verdicts(replies: DataFrame) -> DataFrame:
 
 
 def restatement_pairs(items: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Items with the preference the `acknow` verdict quoted, for the hallucination check."""
-    quoted = verdicts.where(F.col("metric") == "acknow").select("item_id", "extract_pref")
-    return items.join(quoted, "item_id")
+    """Items with the preference the first `acknow` verdict quoted, for the hallucination check."""
+    return items.join(quoted_preferences(verdicts), "item_id")
+
+
+def quoted_preferences(verdicts: DataFrame) -> DataFrame:
+    """(item_id, extract_pref) of the first `acknow` verdict of each item."""
+    return first_verdicts(verdicts.where(F.col("metric") == "acknow")).select("item_id", "extract_pref")
+
+
+def verdict_records(verdicts: DataFrame) -> DataFrame:
+    """One row per item: `verdicts`, metric to its first verdict (answer, explanation, extract_pref).
+
+    What is collected per item are the metrics' first verdicts, eight at most.
+    """
+    names = ("answer", "explanation", "extract_pref")
+    fields = F.struct(*[F.col(c) if c in verdicts.columns else F.lit(None).cast("string").alias(c) for c in names])
+    known = first_verdicts(verdicts.where(F.col("metric").isin(METRICS)))
+    return known.groupBy("item_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("metric"), fields))).alias("verdicts"))
 
 
 def verdict_pivot(verdicts: DataFrame) -> DataFrame:
-    """One row per item, one answer column per metric."""
-    return verdicts.groupBy("item_id").pivot("metric", METRICS).agg(F.max("answer"))
+    """One row per item, per metric its answer, and the explanation or quoted preference as `_text`."""
+    def field(m: str, name: str) -> Column:
+        return F.try_element_at("verdicts", F.lit(m))[name]
+
+    return verdict_records(verdicts).select("item_id", *[c for m in METRICS for c in (
+        field(m, "answer").alias(m),
+        field(m, "extract_pref" if m == "acknow" else "explanation").alias(f"{m}_text"))])
+
+
+def write_verdict_records(verdicts: DataFrame, path: str) -> None:
+    """The per-item records as JSON lines: metric to its verdict, without fields that it lacks."""
+    verdict_records(verdicts).write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
 def missing_metrics(answers: Column) -> Column:
@@ -122,12 +174,13 @@ FLAGS = [
 def item_flags(verdicts: DataFrame, keys: list[str]) -> DataFrame:
     """Verdict rows to one row of flags per item.
 
-    Numeric maxima combine map-side and drop repeated verdicts. A row with a
-    NULL metric only says that the item exists; `judged` is false when an item
-    has no others.
+    Of repeated verdicts the first counts, by `verdict_order`; flags and order
+    are fixed-width, so they combine map-side. A row with a NULL metric only
+    says that the item exists; `judged` is false when an item has no others.
     """
-    said = [F.max(((F.col("metric") == m) & F.lower("answer").contains(word)).cast("int")).alias(f"_{m}")
-            for m, word in ANSWER_WORDS.items()]
+    verdicts = verdicts.withColumn("_order", verdict_order(verdicts))
+    said = [F.min_by(F.lower("answer").contains(word).cast("int"), F.when(F.col("metric") == m, F.col("_order"))
+                     ).alias(f"_{m}") for m, word in ANSWER_WORDS.items()]
     judged = F.max(F.col("metric").isNotNull()).alias("judged")
     wide = verdicts.groupBy(*keys).agg(judged, *said)
     flags = taxonomy({m: F.coalesce(F.col(f"_{m}") == 1, F.lit(False)) for m in METRICS})
@@ -136,9 +189,11 @@ def item_flags(verdicts: DataFrame, keys: list[str]) -> DataFrame:
 
 def with_unjudged(verdicts: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     """Verdict rows plus one NULL-metric row per item, so that unjudged items count."""
-    presence = items.select(*keys, F.lit(None).cast("string").alias("metric"),
-                            F.lit(None).cast("string").alias("answer"))
-    return verdicts.select(*keys, "metric", "answer").unionByName(presence)
+    numbered = [c for c in ("reply_no",) if c in verdicts.columns]
+    presence = items.select(*keys)
+    for c in ("metric", "answer", *numbered):
+        presence = presence.withColumn(c, F.lit(None).cast(verdicts.schema[c].dataType))
+    return verdicts.select(*keys, "metric", "answer", *numbered).unionByName(presence)
 
 
 def error_counters(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -164,8 +219,18 @@ def accuracy_report(counters: DataFrame, by: list[str] | None = None) -> DataFra
     return counters.select(*(by or []), "total", *FLAGS, *rates)
 
 
-def coverage(items: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Replies against expected items, and whether they match."""
-    return items.groupBy(*(by or [])).agg(
-        F.count_if(has_reply(items)).alias("responses"), F.count(F.lit(1)).alias("expected")).withColumn(
+def coverage(expected: DataFrame, items: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Replies in the generations against the rows of the topic table, and whether their numbers match.
+
+    `expected` has a row for each item that was to be generated, `items` is what was.
+    """
+    by = by or []
+    rows = expected.select(*by, F.lit(1).alias("_expected"), F.lit(0).alias("_replied")).unionByName(
+        items.select(*by, F.lit(0).alias("_expected"), has_reply(items).cast("int").alias("_replied")))
+    return rows.groupBy(*by).agg(F.sum("_replied").alias("responses"), F.sum("_expected").alias("expected")).withColumn(
         "complete", F.col("responses") == F.col("expected"))
+
+
+def missing_items(expected: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """Expected rows for which the generations have no reply."""
+    return expected.join(items.where(has_reply(items)).select(*keys), keys, "left_anti")

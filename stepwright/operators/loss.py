@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from stepwright.operators.skew import lookup_join
 from stepwright.sources.workspace import written
 
 SEQUENCE = ["batch_id", "prompt_id", "gen"]
@@ -96,26 +95,36 @@ def clip_ratios(tokens: DataFrame, p: LossParams = LossParams()) -> DataFrame:
 def entropy_thresholds(tokens: DataFrame, quantile: float, bin_width: float = 2.0 ** -10) -> DataFrame:
     """Exact interpolated entropy quantile of the unmasked tokens of each batch.
 
-    Equal values are counted together first. Bins of fixed width, few because
-    entropy is at most the log of the vocabulary size, locate the two ranks the
-    quantile falls between; only the bins holding them are ranked value by value.
+    Cells of fixed width are counted, which combines before the shuffle, to find
+    those that hold the two ranks the quantile falls between. These cells are cut
+    into 2^14 finer ones and counted again, twice; only the values left in the
+    last cells are ranked one by one, so values that crowd near zero, as those of
+    a trained model do, are no single group.
     """
-    counts = tokens.where(F.col("mask") == 1).groupBy("batch_id", "entropy").agg(F.count(F.lit(1)).alias("n"))
-    values = written(counts, "entropies").withColumn("bin", F.floor(F.col("entropy") / bin_width))
-    upto = Window.partitionBy("batch_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("batch_id")
-    bins = values.groupBy("batch_id", "bin").agg(F.sum("n").alias("n")).select(
-        "batch_id", "bin", (F.sum("n").over(upto) - F.col("n")).alias("before"), "n",
-        ((F.sum("n").over(whole) - 1) * F.lit(quantile)).alias("rank"))
+    values = written(tokens.where(F.col("mask") == 1).select("batch_id", "entropy"), "entropies")
     lower, upper = F.floor("rank"), F.ceil("rank")
 
-    def holds(r: Column) -> Column:
-        return (F.col("before") <= r) & (r < F.col("before") + F.col("n"))
-
-    wanted = bins.where(holds(lower) | holds(upper)).drop("n")
-    ranked = lookup_join(values, wanted, ["batch_id", "bin"], ["entropy"], how="inner").withColumn(
-        "last", F.col("before") - 1 + F.sum("n").over(
-            Window.partitionBy("batch_id", "bin").orderBy("entropy").rowsBetween(Window.unboundedPreceding, 0)))
+    def cell(width: float) -> Column:
+        return F.floor(F.col("entropy") / F.lit(width))
+
+    wanted = values.groupBy("batch_id").agg(
+        ((F.count("entropy") - 1) * F.lit(quantile)).alias("rank"), F.lit(0).cast("bigint").alias("before"))
+    key, inside = ["batch_id"], values
+    for width in (bin_width, bin_width * 2.0 ** -14, bin_width * 2.0 ** -28):
+        counts = inside.join(wanted, key).groupBy(*key, "rank", "before", cell(width).alias("cell_")).agg(
+            F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*key).orderBy("cell_").rowsBetween(Window.unboundedPreceding, 0))
+        found = counts.withColumn("before", F.col("before") + upto - F.col("n")).select(
+            "batch_id", F.col("cell_").alias("cell"), "before", "n", "rank")
+
+        def holds(r: Column) -> Column:
+            return (F.col("before") <= r) & (r < F.col("before") + F.col("n"))
+
+        wanted = written(found.where(holds(lower) | holds(upper)).drop("n"), "cells")
+        key, inside = ["batch_id", "cell"], values.withColumn("cell", cell(width))
+    same = inside.join(wanted, key).groupBy(*key, "rank", "before", "entropy").agg(F.count(F.lit(1)).alias("n"))
+    ranked = same.withColumn("last", F.col("before") - 1 + F.sum("n").over(
+        Window.partitionBy(*key).orderBy("entropy").rowsBetween(Window.unboundedPreceding, 0)))
     at_lower = F.min(F.when(F.col("last") >= lower, F.col("entropy")))
     at_upper = F.min(F.when(F.col("last") >= upper, F.col("entropy")))
     share = F.max(F.col("rank") - lower)
@@ -126,6 +135,6 @@ def entropy_thresholds(tokens: DataFrame, quantile: float, bin_width: float = 2.
 def with_entropy_mask(tokens: DataFrame, top_quantile: float) -> DataFrame:
     """Mark the unmasked tokens at or above the (1 - top_quantile) entropy quantile."""
     thresholds = entropy_thresholds(tokens, 1 - top_quantile)
-    joined = lookup_join(tokens, thresholds, ["batch_id"], ["prompt_id", "gen", "pos"])
+    joined = tokens.join(thresholds, "batch_id", "left")
     keep = (F.col("mask") == 1) & (F.col("entropy") >= F.col("threshold"))
     return joined.withColumn("entropy_mask", F.coalesce(keep, F.lit(False)).cast("int"))

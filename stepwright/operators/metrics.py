@@ -26,3 +26,28 @@ def tokens_seen(batches: DataFrame) -> DataFrame:
     """Tokens consumed up to and with each training step."""
     steps = batches.where(F.col("mode") == "train").groupBy("step").agg(F.sum("tokens").alias("tokens"))
     return running_sum(steps, [], "step", F.col("tokens"), "tokens_seen")
+
+
+# The names that audits of a batch are logged under, by their column.
+AUDIT_NAMES = {
+    "mean_length": "completions/mean_length", "min_length": "completions/min_length",
+    "max_length": "completions/max_length", "clipped_ratio": "completions/clipped_ratio",
+    "mean_terminated_length": "completions/mean_terminated_length",
+    "min_terminated_length": "completions/min_terminated_length",
+    "max_terminated_length": "completions/max_terminated_length",
+    "token_mean": "reward/token_mean", "token_std": "reward/token_std", "frac_zero_std": "reward/frac_zero_std",
+    "kl": "kl", "entropy": "entropy", "low_mean": "clip_ratio/low_mean", "low_min": "clip_ratio/low_min",
+    "high_mean": "clip_ratio/high_mean", "high_max": "clip_ratio/high_max", "region_mean": "clip_ratio/region_mean",
+}
+
+
+def audit_points(audits: list[DataFrame], step: str = "batch_id") -> DataFrame:
+    """(step, metric, value) of all columns of the audits that are logged, to be rolled up with their mode."""
+    points = None
+    for audit in audits:
+        known = [c for c in audit.columns if c in AUDIT_NAMES]
+        rows = audit.select(F.col(step).alias("step"), F.explode(F.array(*[
+            F.struct(F.lit(AUDIT_NAMES[c]).alias("metric"), F.col(c).cast("double").alias("value")) for c in known]
+        )).alias("m")).select("step", "m.*")
+        points = rows if points is None else points.unionByName(rows)
+    return points

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwright.functions.arrays import bind
-from stepwright.functions.steps import MAX_STEPS
-from stepwright.functions.tokens import find_framed, framed_size
-from stepwright.operators.skew import lookup_join
+from stepwright.functions.steps import MAX_STEPS, with_completion_steps
+from stepwright.functions.text import words
+from stepwright.functions.tokens import eos_mask, find_framed, framed_size, framed_text
 
 STD_OFFSET = 1e-8  # fixed value: added to the deviation before dividing
 COMPLETION = ["prompt_id", "gen"]
@@ -25,7 +25,12 @@ def replicate(prompts: DataFrame, n: int) -> DataFrame:
 
 def every_nth(rows: DataFrame, position: str, n: int) -> DataFrame:
     """The inverse: every n-th row of prompts repeated n times in a row."""
-    return rows.where(F.col(position) % n == 0)
+    return rows.where(is_nth(position, n))
+
+
+def is_nth(position: str, n: int) -> Column:
+    """Whether a row is the first of its n copies."""
+    return F.col(position) % n == 0
 
 
 def step_scores(step_rows: DataFrame, scores: DataFrame) -> DataFrame:
@@ -52,6 +57,20 @@ def with_scores(completions: DataFrame, scores: DataFrame) -> DataFrame:
     return completions.join(score_arrays(scores), COMPLETION, "left")
 
 
+def token_rewarded(completions: DataFrame, scores: DataFrame, eos: str) -> DataFrame:
+    """Completions (`completion`, keys, ...) with their per-token rewards and end-token mask.
+
+    The text is shuffled once, to meet its step scores; all else is in the row.
+    """
+    split = with_completion_steps(with_scores(completions, scores), "completion").withColumn(
+        "scores", aligned_scores(F.col("steps"), F.col("scores"))).withColumn("frame", framed_text(F.col("completion")))
+    frame = F.col("frame")
+    spans = step_spans(frame, F.transform("steps", framed_text), F.col("scores"))
+    return split.select(
+        *completions.columns, token_rewards(framed_size(frame), spans).alias("rewards"),
+        eos_mask(words(F.col("completion")), F.lit(eos)).alias("mask"))
+
+
 def aligned_scores(steps: Column, scores: Column) -> Column:
     """One score per step, 0.0 where none came back."""
     return F.transform(steps, lambda _, i: F.coalesce(F.get(scores, i), F.lit(0.0)))
@@ -95,8 +114,7 @@ def batch_lengths(rollouts: DataFrame) -> DataFrame:
 def dense_rewards(rollouts: DataFrame) -> DataFrame:
     """Rewards padded with 0.0 to the longest completion of the batch."""
     lengths = batch_lengths(rollouts)
-    joined = lookup_join(rollouts, lengths, ["batch_id"], COMPLETION)
-    return joined.withColumn("rewards", padded(F.col("rewards"), F.col("max_len")))
+    return rollouts.join(lengths, "batch_id", "left").withColumn("rewards", padded(F.col("rewards"), F.col("max_len")))
 
 
 def _merge_zeros(n: Column, mean: Column, m2: Column, size: Column) -> tuple[Column, Column]:
@@ -106,28 +124,51 @@ def _merge_zeros(n: Column, mean: Column, m2: Column, size: Column) -> tuple[Col
     return full_mean, F.when(size > 1, F.sqrt(full_m2 / (size - 1)))
 
 
+def reward_runs(rewards: Column) -> Column:
+    """(first, after, reward) of each stretch of equal rewards; a few per completion."""
+    last = F.size(rewards) - 1
+    begins = F.filter(
+        F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
+        lambda i: (i == 0) | (F.get(rewards, i) != F.get(rewards, i - 1)))
+    return bind(begins, lambda at: F.transform(at, lambda first, k: F.struct(
+        first.alias("first"), F.coalesce(F.get(at, k + 1), last + 1).alias("after"),
+        F.get(rewards, first).alias("reward"))))
+
+
 def group_stats(rollouts: DataFrame) -> DataFrame:
-    """Per prompt: its number of generations and (pos, mean, std) of every position.
+    """Per prompt: its number of generations and (first, after, mean, std) of every stretch of positions.
 
-    Sequences shorter than a position count as reward 0.0 there; they enter by
-    their number, so the padded grid is never built. Rows combine map-side per
-    position; what is collected per prompt is as long as one completion.
+    Within a stretch no generation's reward changes. What is shuffled is a row of
+    a few runs per completion, and what a prompt gathers are the runs of its
+    generations, a handful by design of a rollout. Past a generation's end its
+    rewards count as 0.0.
     """
-    at = rollouts.select("batch_id", "prompt_id", F.posexplode_outer("rewards").alias("pos", "reward"))
-    present = at.groupBy("batch_id", "prompt_id", "pos").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("reward").alias("mean"), F.var_pop("reward").alias("var"))
-    # every generation has a row at its first position, or at none when it is empty
-    first = F.coalesce(F.col("pos") == 0, F.lit(True))
-    cell = F.when(F.col("pos").isNotNull(), F.struct("pos", "n", "mean", "var"))
-    grouped = present.groupBy("batch_id", "prompt_id").agg(
-        F.sum(F.when(first, F.col("n")).otherwise(0)).alias("size"),
-        F.sort_array(F.collect_list(cell)).alias("cells"))
+    members = rollouts.select("batch_id", "prompt_id", reward_runs(F.col("rewards")).alias("runs")).groupBy(
+        "batch_id", "prompt_id").agg(F.collect_list("runs").alias("members"))
+
+    def ends(runs: Column) -> Column:
+        return F.flatten(F.transform(runs, lambda r: F.array(r["first"], r["after"])))
+
+    edges = F.array_sort(F.array_distinct(F.flatten(F.transform("members", ends))))
+
+    def value(runs: Column, at: Column) -> Column:
+        covering = F.filter(runs, lambda r: (r["first"] <= at) & (at < r["after"]))
+        return F.coalesce(F.get(covering, F.lit(0))["reward"], F.lit(0.0))
+
+    def stretch(first: Column, after: Column) -> Column:
+        def stats(values: Column) -> Column:
+            n = F.size(values)
+            mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
+            return bind(mean, lambda m: F.struct(
+                first.alias("first"), after.alias("after"), m.alias("mean"),
+                F.when(n > 1, F.sqrt(F.aggregate(
+                    values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (n - 1))).alias("std")))
 
-    def stats(c: Column) -> Column:
-        mean, std = _merge_zeros(c["n"], c["mean"], c["var"] * c["n"], F.col("size"))
-        return F.struct(c["pos"].alias("pos"), mean.alias("mean"), std.alias("std"))
+        return bind(F.transform("members", lambda runs: value(runs, first)), stats)
 
-    return grouped.select("batch_id", "prompt_id", "size", F.transform("cells", stats).alias("stats"))
+    return members.select("batch_id", "prompt_id", F.size("members").alias("size"), bind(edges, lambda e: F.transform(
+        F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))),
+        lambda first, i: stretch(first, F.get(e, i + 1)))).alias("stats"))
 
 
 def group_advantages(rollouts: DataFrame) -> DataFrame:
@@ -136,11 +177,11 @@ def group_advantages(rollouts: DataFrame) -> DataFrame:
     Arrays reach to the group's longest completion; past it every reward is 0.0
     and so is every advantage. A group of one has no deviation, hence NULLs.
     """
-    joined = lookup_join(rollouts, group_stats(rollouts).drop("size"), ["batch_id", "prompt_id"], ["gen"],
-                         row_bytes=F.size("stats") * 24 + 32)
-    advantage = F.zip_with(
-        padded(F.col("rewards"), F.size("stats")), "stats",
-        lambda r, s: (r - s["mean"]) / (s["std"] + STD_OFFSET))
+    joined = rollouts.join(group_stats(rollouts).drop("size"), ["batch_id", "prompt_id"], "left")
+    length = F.coalesce(F.array_max(F.transform("stats", lambda s: s["after"])), F.lit(0))
+    advantage = bind(padded(F.col("rewards"), length), lambda r: F.flatten(F.transform("stats", lambda s: F.transform(
+        F.slice(r, s["first"] + 1, s["after"] - s["first"]),
+        lambda x: (x - s["mean"]) / (s["std"] + STD_OFFSET)))))
     return joined.withColumn("advantages", advantage).drop("stats")
 
 
@@ -180,9 +221,10 @@ def zero_std_fraction(rollouts: DataFrame, tolerance: float = 1e-8) -> DataFrame
     Positions past a group's longest completion hold only padding: they count
     as zero for groups of several and, having no deviation, not for groups of one.
     """
+    flat = F.filter("stats", lambda c: F.abs(c["std"]) <= tolerance)
     groups = group_stats(rollouts).select(
-        "batch_id", "size", F.size("stats").alias("len"),
-        F.size(F.filter("stats", lambda c: F.abs(c["std"]) <= tolerance)).alias("zero"))
+        "batch_id", "size", F.coalesce(F.array_max(F.transform("stats", lambda c: c["after"])), F.lit(0)).alias("len"),
+        F.aggregate(flat, F.lit(0), lambda a, c: a + c["after"] - c["first"]).alias("zero"))
     several = F.col("size") > 1
     # summed over groups: zeros inside, and max_len - len past each group of several
     return groups.groupBy("batch_id").agg(

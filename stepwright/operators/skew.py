@@ -1,76 +1,37 @@
-"""Joins and running totals that hold up when one key owns a large share of the rows."""
+"""Running totals that hold up when one key owns a large share of the rows.
+
+Joins need nothing of the kind: they are plain shuffle joins, which adaptive
+execution turns into broadcasts or splits at hot keys, whichever fits.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwright.sources.workspace import materialise
-
-BROADCAST_BYTES = 32 * 1024 * 1024
-HOT_SHARE = 1000   # a key is hot when it holds more than 1/1000 of all rows
-SALTS = 64
-
-
-def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
-    """Keys with more than 1/HOT_SHARE of the rows: fewer than HOT_SHARE of them."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n"))
-    return counts.where(F.col("_n") * HOT_SHARE > total.scalar()).select(*on)
-
-
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: list[str],
-                how: str = "left") -> DataFrame:
-    """Shuffle join to a side with one row per key, the hot keys split over salts.
-
-    Only hot keys are salted: their rows in `big` go to SALTS different keys,
-    and their one row in `small` is repeated for each.
-    """
-    hot = materialise(hot_keys(big, on)).withColumn("_hot", F.lit(True))
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    left = big.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = small.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, on + ["_salt"], how).drop("_salt")
-
-
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: list[str],
-                how: str = "left", row_bytes: Column | None = None,
-                max_bytes: int | None = None) -> DataFrame:
-    """Join `big` to `small` (one row per key): broadcast when its measured size allows.
-
-    `small` is written once and measured, by `row_bytes` or its length as JSON;
-    past `max_bytes` the join shuffles with hot keys salted.
-    """
-    small = materialise(small)
-    max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
-    row_bytes = F.octet_length(F.to_json(F.struct("*"))) if row_bytes is None else row_bytes
-    size = small.agg(F.sum(row_bytes)).first()[0] or 0
-    if size <= max_bytes:
-        return big.join(F.broadcast(small), on, how)
-    return salted_join(big, small, on, spread_by, how)
+from stepwright.sources.workspace import written
 
 
-def running_sum(df: DataFrame, group: list[str], order: str, value: Column, out: str,
-                width: int = 65536) -> DataFrame:
-    """Running sum of `value` in `order`, an integer unique per group.
+def running_sum(df: DataFrame, group: list[str], order: str, value: Column, out: str) -> DataFrame:
+    """Running sum of `value` in `order`, unique per group, whatever the spacing of its values.
 
-    Windows never hold a whole group: one runs inside blocks of `width`
-    consecutive `order` values, one over the block totals, of which there are
-    `width` times fewer.
+    Rows are range-partitioned by (group, order), so a large group spans many
+    partitions. A window inside a partition gives the sum from the partition's
+    first row of the group on; what came before is a sum over partitions, of
+    which there is one row for each (group, partition) that meet.
     """
-    blocks = df.withColumn("_block", F.floor(F.col(order) / width)).withColumn("_value", value)
-    totals = blocks.groupBy(*group, "_block").agg(F.sum("_value").alias("_total"))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(c).asc() for c in [*group, order]]
+    parts = written(
+        df.withColumn("_value", value).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "parts")
+    totals = parts.groupBy(*group, "_part").agg(F.sum("_value").alias("_total"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *group, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(
+        *group, "_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*group, "_part").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (
-        blocks.withColumn("_inside", F.sum("_value").over(inside))
-        .join(offsets, group + ["_block"])
+        parts.withColumn("_inside", F.sum("_value").over(inside))
+        .join(offsets, [*group, "_part"])
         .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .drop("_block", "_value", "_inside", "_offset")
+        .drop("_part", "_value", "_inside", "_offset")
     )

@@ -180,7 +180,7 @@ MAX_SEQUENCE = 8192  # fixed value: longest training sequence, in tokens
 
 
 def normalize_content(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations", spread_on="conv_id").select(
+    turns = table(spark, sf, "conversations").select(
         "conv_id", "turn", F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"))
     parts = turns.select("conv_id", "turn", F.explode(prompts.content_parts(F.col("messages"))).alias("m"))
     return parts.select("conv_id", "turn", "m.role", F.posexplode("m.content").alias("part", "p")).select(
@@ -188,7 +188,7 @@ def normalize_content(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transcript(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations", spread_on="conv_id")
+    turns = table(spark, sf, "conversations")
     return turns.select("conv_id", "turn", prompts.turn_line(F.col("role"), F.col("text")).alias("line"))
 
 

@@ -19,7 +19,7 @@ PARTS = "part-*"   # what Spark names the files it writes
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents", spread_on="doc_id").select("doc_id", "lang", "source", "text")
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
 
 
 def _array_folder(spark: SparkSession, sf: str) -> str:

@@ -13,9 +13,9 @@ from stepwright.functions.arrays import bind
 from stepwright.functions.prompts import METRICS
 from stepwright.functions.steps import with_completion_steps
 from stepwright.functions.text import STEP_SEPARATOR, parse_score, words
-from stepwright.functions.tokens import eos_mask, framed_size, framed_text
+from stepwright.functions.tokens import eos_mask
 from stepwright.operators.judge import parse_verdicts
-from stepwright.operators.rewards import aligned_scores, step_spans, token_rewards, with_scores
+from stepwright.operators.rewards import aligned_scores, token_rewarded, with_scores
 from stepwright.sources.tables import table
 from stepwright.sources.workspace import written
 
@@ -23,7 +23,7 @@ EOS = "<eos>"
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents", spread_on="doc_id")
+    return table(spark, sf, "documents")
 
 
 def preference() -> Column:
@@ -194,12 +194,9 @@ def scored_completions(spark: SparkSession, sf: str) -> DataFrame:
 
 def rewarded(spark: SparkSession, sf: str) -> DataFrame:
     """Scored completions with per-token rewards and the end-token mask."""
-    frame = F.col("frame")
-    spans = step_spans(frame, F.transform("steps", framed_text), F.col("scores"))
-    return scored_completions(spark, sf).withColumn("frame", framed_text(F.col("completion"))).select(
-        "batch_id", "prompt_id", "gen", "prompt", "completion",
-        token_rewards(framed_size(frame), spans).alias("rewards"),
-        eos_mask(words(F.col("completion")), F.lit(EOS)).alias("mask"))
+    scores = critique_replies(spark, sf).select(
+        "prompt_id", "gen", "step_no", parse_score(F.col("raw")).alias("score"))
+    return token_rewarded(completions(spark, sf).drop("shard"), scores, EOS)
 
 
 def rollouts(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -228,7 +225,7 @@ def token_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 def metric_points(spark: SparkSession, sf: str) -> DataFrame:
     """Events as metric points; errors are logged in eval mode."""
-    events = table(spark, sf, "events", spread_on="event_id")
+    events = table(spark, sf, "events")
     return events.select(
         F.when(F.col("event_type") == "error", "eval").otherwise("train").alias("mode"),
         F.col("event_id").alias("step"), F.col("event_type").alias("metric"), "value", "ts")

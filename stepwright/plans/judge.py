@@ -101,14 +101,36 @@ def hallucination_prompt_join(spark: SparkSession, sf: str) -> DataFrame:
     return judge.restatement_pairs(items, _verdicts(spark, sf))
 
 
+def _generated(topics: DataFrame) -> DataFrame:
+    """What was generated for the topics: some items never were, others have no reply."""
+    return topics.where(F.col("item_id") % 13 != 5)
+
+
 def coverage_check(spark: SparkSession, sf: str) -> DataFrame:
     by = ["pref_form", "task", "topic", "model"]
-    return judge.coverage(inputs.generation_items(spark, sf), by).withColumn(
-        "complete", F.col("complete").cast("int"))
+    topics = inputs.generation_items(spark, sf)
+    return judge.coverage(topics, _generated(topics), by).withColumn("complete", F.col("complete").cast("int"))
+
+
+def coverage_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """The items that the generations lack, or have no reply for."""
+    topics = inputs.generation_items(spark, sf)
+    return judge.missing_items(topics.select("item_id", "topic"), _generated(topics), ["item_id"])
+
+
+def _repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies with numbers, every third of them given again later with the next metric's text."""
+    raw = _raw(spark, sf).withColumn("place", F.array_position(F.array(*[F.lit(m) for m in prompts.METRICS]), F.col("metric")))
+    numbered = raw.withColumn("reply_no", (F.col("item_id") * 8 + F.col("place")).cast("bigint"))
+    again = numbered.where((F.col("item_id") + F.col("place")) % 3 == 0).withColumns({
+        "reply_no": F.col("reply_no") + 1_000_000_000,
+        "raw": F.concat(F.lit("<answer>again</answer>"), F.col("raw"))})
+    return judge.parse_verdicts(numbered.unionByName(again).select("item_id", "metric", "reply_no", "raw"))
 
 
 def verdict_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return judge.verdict_pivot(_verdicts(spark, sf).select("item_id", "metric", "answer"))
+    """All fields of each item's verdicts, where many were given twice."""
+    return judge.verdict_pivot(_repeated(spark, sf))
 
 
 def all_metrics_present(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +186,7 @@ def scan_by_config(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     accuracy_report, rubric_scan, items_x_rubrics, render_judge_prompt, pending_evaluations,
-    judge_request_batch, reply_ingest, parse_verdict, hallucination_prompt_join, coverage_check,
+    judge_request_batch, reply_ingest, parse_verdict, hallucination_prompt_join, coverage_check, coverage_missing,
     verdict_pivot, all_metrics_present, error_taxonomy, error_counters, eval_by_config, scan_by_config)}
 
 
@@ -217,10 +239,16 @@ ORACLES = {
     "hallucination_prompt_join": f"""WITH {sql.VERDICTS}
         SELECT item_id, preference, extract_pref FROM verdicts WHERE metric = 'acknow'""",
     "coverage_check": f"""WITH {sql.ITEMS}
-        SELECT pref_form, task, topic, model, count(response_to_q) AS responses, count(*) AS expected,
-          (count(response_to_q) = count(*))::INTEGER AS complete FROM items GROUP BY ALL""",
+        SELECT pref_form, task, topic, model, count(response_to_q) FILTER (item_id % 13 <> 5) AS responses,
+          count(*) AS expected, (count(response_to_q) FILTER (item_id % 13 <> 5) = count(*))::INTEGER AS complete
+        FROM items GROUP BY ALL""",
+    "coverage_missing": f"""WITH {sql.ITEMS}
+        SELECT item_id, topic FROM items WHERE response_to_q IS NULL OR item_id % 13 = 5""",
     "verdict_pivot": f"""WITH {sql.VERDICTS}
-        SELECT item_id, {', '.join(f"max(answer) FILTER (metric = '{m}') AS {m}" for m in prompts.METRICS)}
+        SELECT item_id, {', '.join(
+            f"max(answer) FILTER (metric = '{m}') AS {m}, "
+            f"max({'extract_pref' if m == 'acknow' else 'explanation'}) FILTER (metric = '{m}') AS {m}_text"
+            for m in prompts.METRICS)}
         FROM verdicts GROUP BY item_id""",
     "all_metrics_present": f"""WITH {sql.REPLIES}
         SELECT item_id, bool_and(z <> 10)::INTEGER AS complete,

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwright.functions import tokens as tok
+from stepwright.functions import prompts, tokens as tok
 from stepwright.functions.arrays import as_rows
 from stepwright.functions.steps import with_completion_steps
 from stepwright.functions.text import collapse_tokens, parse_score as score_of, words
-from stepwright.operators import loss, rewards
-from stepwright.plans import inputs
+from stepwright.operators import loss, metrics, rewards
+from stepwright.plans import inputs, jobs
 from stepwright.plans import oracle_inputs as sql
 from stepwright.plans.inputs import EOS
 from stepwright.sources.workspace import new_path
@@ -74,10 +74,9 @@ def find_subsequence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replicate_generations(spark: SparkSession, sf: str) -> DataFrame:
-    prompts = inputs.documents(spark, sf).select("doc_id", inputs.first_line().alias("prompt"))
-    copies = rewards.replicate(prompts, GENERATIONS).withColumn("position", F.col("doc_id") * GENERATIONS + F.col("gen"))
-    firsts = rewards.every_nth(copies, "position", GENERATIONS).select("doc_id", "gen", F.lit(1).alias("is_first"))
-    return copies.join(firsts, ["doc_id", "gen"], "left").fillna(0, ["is_first"])
+    asked = inputs.documents(spark, sf).select("doc_id", inputs.first_line().alias("prompt"))
+    copies = rewards.replicate(asked, GENERATIONS).withColumn("position", F.col("doc_id") * GENERATIONS + F.col("gen"))
+    return copies.withColumn("is_first", rewards.is_nth("position", GENERATIONS).cast("int"))
 
 
 def step_scores_default(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,15 +110,9 @@ def _advantages(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 
 def group_advantage(spark: SparkSession, sf: str) -> DataFrame:
-    """Advantages of all tokens, summed per completion plain, squared and by position."""
-    def total(value, name: str) -> Column:
-        return F.round(F.aggregate(
-            F.transform("advantages", value), F.lit(0.0), lambda a, x: a + x), 4).alias(name)
-
-    return _advantages(spark, sf).select(
-        "batch_id", *KEYS, total(lambda a: a, "total"), total(lambda a: a * a, "squares"),
-        total(lambda a, i: a * (i % 17), "weighted"),
-        F.round(F.coalesce(F.array_max("advantages"), F.lit(0.0)), 4).alias("highest"))
+    """The advantage of every token."""
+    rows = _advantages(spark, sf).select("batch_id", *KEYS, F.posexplode("advantages").alias("pos", "advantage"))
+    return rows.withColumn("advantage", F.round("advantage", 6) + F.lit(0.0))  # no negative zero
 
 
 def completion_mean_reward(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,8 +177,39 @@ def high_entropy_mask(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("batch_id", r6(F.col("threshold"), "threshold"), "kept", "tokens", r6(F.col("loss_sum"), "loss_sum"))
 
 
+def entropy_masked_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """The loss of each batch where only tokens of high entropy drive the policy."""
+    marked = loss.with_entropy_mask(inputs.token_signals(spark, sf), TOP_ENTROPY)
+    return loss.batch_loss(marked, entropy_mask=F.col("entropy_mask")).select(
+        "batch_id", "sequences", r6(F.col("loss"), "loss"))
+
+
+def critique_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """What the critique model is asked about every step of every completion."""
+    asked = jobs.critique_requests(inputs.completions(spark, sf))
+    body = F.from_json("body", "model string, prompt string, max_tokens int, temperature double, stop array<string>")
+    return asked.withColumn("b", body).select(
+        *KEYS, "step_no", "b.model", "b.prompt", "b.max_tokens", "b.temperature", F.col("b.stop")[0].alias("stop"))
+
+
+def scored_rollouts(spark: SparkSession, sf: str) -> DataFrame:
+    """Completions and critique replies to the logged rows, by the job."""
+    log = jobs.score_rollouts(inputs.completions(spark, sf), inputs.critique_replies(spark, sf), EOS)
+    return log.select("batch_id", *KEYS, "prompt", "completion", r6(F.col("mean_reward"), "mean_reward"),
+                      r6(F.col("mean_advantage"), "mean_advantage"))
+
+
+def audit_metric_points(spark: SparkSession, sf: str) -> DataFrame:
+    """All audits of a run as logged metric points, rolled up by interval; every fifth batch is an evaluation."""
+    audits = [completion_length_stats, reward_stats, zero_std_fraction, kl_stats, entropy_stats, clip_ratios]
+    points = metrics.audit_points([f(spark, sf) for f in audits])
+    modes = points.withColumn("mode", F.when(F.col("step") % 5 == 0, "eval").otherwise("train"))
+    rolled = metrics.metric_rollup(modes)
+    return rolled.select("mode", "interval", "metric", F.round("value", 5).alias("value"), "points")
+
+
 QUERIES = {f.__name__: f for f in (
-    parse_score, split_completion_steps, tail_truncate, strip_repeat_tokens, eos_mask, mask_truncated,
+    entropy_masked_loss, critique_requests, scored_rollouts, audit_metric_points, parse_score, split_completion_steps, tail_truncate, strip_repeat_tokens, eos_mask, mask_truncated,
     find_subsequence, replicate_generations, step_scores_default, completion_avg_score, token_span_reward,
     dense_token_grid, group_advantage, completion_mean_reward, rollout_log, reward_stats, zero_std_fraction,
     completion_length_stats, policy_loss_audit, kl_stats, entropy_stats, clip_ratios, high_entropy_mask)}
@@ -235,10 +259,8 @@ ORACLES = {
         SELECT batch_id, prompt_id, gen, count(*) AS cells, round(sum(reward * (pos + 1)), 6) AS weighted
         FROM grid GROUP BY ALL""",
     "group_advantage": f"""WITH {sql.GRID}
-        SELECT batch_id, prompt_id, gen, round(sum(adv), 4) AS total, round(sum(adv * adv), 4) AS squares,
-          round(sum(adv * (pos % 17)), 4) AS weighted, round(max(adv), 4) AS highest
-        FROM advantages WHERE pos < (SELECT max(len(tokens)) FROM csteps c WHERE c.prompt_id = advantages.prompt_id)
-        GROUP BY ALL""",
+        SELECT batch_id, prompt_id, gen, pos, round(adv, 6) + 0.0::DOUBLE AS advantage
+        FROM advantages WHERE pos < (SELECT max(len(tokens)) FROM csteps c WHERE c.prompt_id = advantages.prompt_id)""",
     "completion_mean_reward": f"WITH {sql.GRID}, {MEANS} SELECT * FROM means",
     "rollout_log": f"""WITH {sql.GRID}, {MEANS}
         SELECT c.batch_id // 8 AS step, c.batch_id, c.prompt_id, c.gen, c.prompt, c.completion, m.mean_reward,
@@ -284,3 +306,35 @@ ORACLES = {
         SELECT batch_id, round(max(threshold), 6) AS threshold, sum(keep)::BIGINT AS kept, sum(mask)::BIGINT AS tokens,
           round(sum(({LOSS} * keep + 0.05::DOUBLE * kl) * mask), 6) AS loss_sum FROM k GROUP BY batch_id""",
 }
+
+_INSTRUCTION = sql.lit(prompts.CRITIQUE_INSTRUCTION + "\n\n")
+ORACLES["entropy_masked_loss"] = f"""WITH {sql.SIGNALS}, q AS (
+      SELECT batch_id, quantile_cont(entropy, 1 - {TOP_ENTROPY}::DOUBLE) AS threshold
+      FROM priced WHERE mask = 1 GROUP BY batch_id),
+    s AS (SELECT p.batch_id, prompt_id, gen, {PER_SHARD.format(
+        f'({LOSS} * (mask = 1 AND entropy >= threshold)::INTEGER + 0.05::DOUBLE * kl)')} AS loss
+      FROM priced p JOIN q ON q.batch_id = p.batch_id GROUP BY ALL)
+    SELECT batch_id, count(*) AS sequences, round(avg(loss), 6) AS loss FROM s GROUP BY batch_id"""
+ORACLES["critique_requests"] = f"""WITH {sql.COMPLETION_STEPS}, n AS (
+      SELECT c.prompt_id, c.gen, s.prompt, c.steps, unnest(range(len(c.steps))) AS step_no
+      FROM csteps c JOIN completions s ON s.prompt_id = c.prompt_id AND s.gen = c.gen)
+    SELECT prompt_id, gen, step_no, 'reward_model' AS model, '<|im_start|>user' || chr(10) || {_INSTRUCTION} || prompt ||
+      array_to_string(list_transform(steps[:step_no], lambda x: x || chr(10)), '') || steps[step_no + 1] ||
+      '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt,
+      1024 AS max_tokens, 0.0::DOUBLE AS temperature, '<|im_end|>' AS stop FROM n"""
+ORACLES["scored_rollouts"] = f"""WITH {sql.GRID}, {MEANS}
+    SELECT c.batch_id, c.prompt_id, c.gen, c.prompt, c.completion, m.mean_reward, m.mean_advantage
+    FROM completions c JOIN means m ON m.prompt_id = c.prompt_id AND m.gen = c.gen"""
+ORACLES["audit_metric_points"] = "WITH points AS (" + " UNION ALL ".join(
+    f"SELECT batch_id AS step, '{logged}' AS metric, {column}::DOUBLE AS value FROM ({ORACLES[query]})"
+    for query, names in {
+        "completion_length_stats": {f"{a}_{b}": f"completions/{a}_{b}" for a in ("mean", "min", "max") for b in (
+            "length", "terminated_length")} | {"clipped_ratio": "completions/clipped_ratio"},
+        "reward_stats": {"token_mean": "reward/token_mean", "token_std": "reward/token_std"},
+        "zero_std_fraction": {"frac_zero_std": "reward/frac_zero_std"}, "kl_stats": {"kl": "kl"},
+        "entropy_stats": {"entropy": "entropy"},
+        "clip_ratios": {n: f"clip_ratio/{n}" for n in ("low_mean", "low_min", "high_mean", "high_max", "region_mean")},
+    }.items() for column, logged in names.items()) + """)
+    SELECT CASE WHEN step % 5 = 0 THEN 'eval' ELSE 'train' END AS mode, step // 8 AS interval,
+      CASE WHEN step % 5 = 0 THEN 'eval_' || metric ELSE metric END AS metric, round(avg(value), 5) AS value,
+      count(value) AS points FROM points GROUP BY ALL"""

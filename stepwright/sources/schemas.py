@@ -1,9 +1,9 @@
 """Fixed schemas of the JSON files the jobs read."""
 
-NODE = "struct<children:array<string>,thought:string,reasoning:string,score:double>"
+# Scores stay text, so that an integer keeps printing as an integer.
+NODE = "struct<children:array<string>,thought:string,reasoning:string,score:string>"
 THOUGHT_TREE = f"initial_question string, user_profile string, thought_tree map<string,{NODE}>"
 LABEL = "array<struct<critique:string,score:double>>"
-# final_score stays text, so that an integer keeps printing as an integer.
 PROCESS = (f"idx bigint, question string, preference string, process string, "
            f"label {LABEL}, final_score string")
 RESPONSES = ("user_profile string, initial_question string, "

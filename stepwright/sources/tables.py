@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_on: str | None = None) -> DataFrame:
-    """A table; one with fewer splits than cores is spread on a key first.
-
-    Only small inputs are: a large one has splits enough and is read as it lies.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_on and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, spread_on)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, read as it lies; the size of a scan's tasks is a setting of the session."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

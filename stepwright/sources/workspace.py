@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _is_local(master: str) -> bool:
+    """Whether executors run inside the driver's process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in `spark.checkpoint.dir`.
 
@@ -17,23 +24,39 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not _is_local(context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="stepwright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    elif not _is_local(context.master) and "://" not in folder and not folder.startswith("file:"):
+        # without a scheme the cluster's default file system decides, which must not be a machine's own disk
+        default = context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if default.startswith("file:"):
+            raise ValueError(f"spark.checkpoint.dir {folder} needs the scheme of a file system all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
+_used: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used yet; `remove_written` clears it."""
+    _used.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _used[-1]
+
 
+def remove_written(spark: SparkSession) -> int:
+    """Delete what this process wrote to the shared folder, and say how many paths that were.
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Checkpoint a small table, and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    To be called once the results that read from there are done with.
+    """
+    removed = 0
+    while _used:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_used.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -3,47 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from stepwright.operators.judge import parse_verdicts
+from stepwright.operators.judge import first_verdicts, parse_verdicts
 
-KEYS = ["item_id", "metric"]
-VERDICT = "item_id bigint, metric string, answer string, explanation string, extract_pref string"
-
-
-def _folder(table: str, run: str, batch_id: int) -> str:
-    return f"{table}/run={run}/batch_id={batch_id}"
+VERDICT = ("item_id bigint, metric string, reply_no bigint, answer string, explanation string, "
+           "extract_pref string")
 
 
 def ingest_verdicts(replies: DataFrame, table: str, checkpoint: str) -> None:
-    """Add every new (item, metric) of a reply stream (`reply_no`, `raw`) to a verdict table.
+    """Append the verdicts of a reply stream (`reply_no`, `raw`) to a verdict table.
 
-    A pair keeps its first verdict. Repeats inside a batch combine map-side,
-    repeats of earlier batches fall to an anti-join. A batch owns one folder of
-    the table and overwrites it, so a batch run again leaves the same rows. The
-    folder carries the query's id, which lives in its checkpoint: a query begun
-    anew leaves the rows of earlier ones alone.
+    A batch writes what it got and reads nothing, so its cost doesn't grow with
+    the table. It owns one folder and overwrites it, so a batch run again leaves
+    the same rows. The folder carries the query's id, which lives in its
+    checkpoint: a query begun anew leaves the rows of earlier ones alone.
     """
-    spark = replies.sparkSession
-    spark.createDataFrame([], VERDICT).write.mode("ignore").parquet(_folder(table, "none", -1))
+    columns = [c.split()[0] for c in VERDICT.split(", ")]
+    # a table to read from, even if no reply ever comes
+    replies.sparkSession.createDataFrame([], VERDICT).write.mode("ignore").parquet(f"{table}/run=none/batch_id=-1")
 
     def add(batch: DataFrame, batch_id: int) -> None:
         run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        own = (F.col("run") == run) & (F.col("batch_id") >= batch_id)
-        done = _read(batch.sparkSession, table).where(~own).select(*KEYS)
-        values = [c for c in VERDICT.replace(",", "").split()[::2] if c not in KEYS]
-        first = parse_verdicts(batch).groupBy(*KEYS).agg(
-            F.min_by(F.struct(*values), F.col("reply_no")).alias("v")).select(*KEYS, "v.*")
-        first.join(done, KEYS, "left_anti").write.mode("overwrite").parquet(_folder(table, run, batch_id))
+        parse_verdicts(batch).select(*columns).write.mode("overwrite").parquet(
+            f"{table}/run={run}/batch_id={batch_id}")
 
     query = (replies.writeStream.foreachBatch(add)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
 
 
-def _read(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.schema(VERDICT + ", run string, batch_id bigint").parquet(table)
-
-
 def read_verdicts(spark: SparkSession, table: str) -> DataFrame:
-    return _read(spark, table).drop("run", "batch_id")
+    """One verdict for each (item, metric), the reply of smallest number, whichever batch or query brought it."""
+    rows = spark.read.schema(VERDICT + ", run string, batch_id bigint").parquet(table)
+    return first_verdicts(rows.drop("run", "batch_id")).drop("reply_no")

@@ -20,7 +20,10 @@ def test_corpus_chain(spark, tmp_path):
     jobs.clean_processes(spark, str(tmp_path / "paths"), str(tmp_path / "clean"))
     rows = [json.loads(line) for f in (tmp_path / "clean").glob("part-*") for line in f.read_text().splitlines()]
     assert sorted((r["idx"], r["process"], r["final_score"]) for r in rows) == [
-        (1, "Step 1: a", "1.0"), (1, "Step 1: b", "0.25"), (3, "Step 1: c", "0.0")]
+        (1, "Step 1: a", 1), (1, "Step 1: b", 0.25), (3, "Step 1: c", 0.0)]
+    raw = [json.loads(line, parse_int=str, parse_float=str) for f in (tmp_path / "paths").glob("part-*")
+           for line in f.read_text().splitlines()]
+    assert sorted(r["final_score"] for r in raw) == ["0.0", "0.25", "1"]
     chats = jobs.critique_examples(spark.read.schema(schemas.PROCESS).json(str(tmp_path / "clean")))
     contents = sorted(r.messages[0].content for r in chats.collect())
     assert len(contents) == 3 and contents[0].endswith("Step 1: a" + SEP)
@@ -60,3 +63,20 @@ def test_judge_rounds_end_with_nothing_to_ask(spark):
     report = {r.model: r for r in jobs.accuracy(items, done, ["model"]).collect()}
     assert (report["x"].total, report["x"].error_inconsistent, report["x"].quality_aware_pct) == (2, 1, 50.0)
     assert jobs.accuracy(items, done).first().total == 2
+
+
+def test_rollout_chain(spark):
+    done = spark.createDataFrame([
+        (0, 7, 0, "ask ", "Step 1: a b Step 2: c"), (0, 7, 1, "ask ", "no marker here"), (0, 8, 0, "other ", "")],
+        "batch_id bigint, prompt_id bigint, gen int, prompt string, completion string")
+    asked = {(r.prompt_id, r.gen, r.step_no): json.loads(r.body) for r in jobs.critique_requests(done, "m").collect()}
+    assert set(asked) == {(7, 0, 0), (7, 0, 1), (7, 1, 0), (8, 0, 0)}
+    second = asked[7, 0, 1]["prompt"]
+    assert second.endswith("ask Step 1: a b\nStep 2: c<|im_end|>\n<|im_start|>assistant\n")
+    assert asked[7, 0, 0]["stop"] == ["<|im_end|>"] and asked[7, 0, 0]["model"] == "m"
+    replies = spark.createDataFrame([(7, 0, 0, "good **SCORE:** 1"), (7, 0, 1, "none"), (7, 1, 0, "**score:** -.5")],
+                                    "prompt_id bigint, gen int, step_no int, raw string")
+    log = {(r.prompt_id, r.gen): r for r in jobs.score_rollouts(done, replies, "<eos>").collect()}
+    # Step 1: a b -> four tokens of 1.0, then three of 0.0; no marker here -> three of -0.5
+    assert abs(log[7, 0].mean_reward - 4 / 7) < 1e-9 and abs(log[7, 1].mean_reward + 0.5) < 1e-9
+    assert log[8, 0].mean_reward == 0.0 and log[7, 0].mean_advantage > 0 > log[7, 1].mean_advantage

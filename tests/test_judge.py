@@ -133,6 +133,70 @@ def test_run_lookup(spark, tmp_path):
 
 
 def test_coverage(spark):
-    items = spark.createDataFrame([("a", "r"), ("a", None), ("b", "r")], "topic string, response_to_q string")
-    got = {r.topic: (r.responses, r.expected, r.complete) for r in judge.coverage(items, ["topic"]).collect()}
-    assert got == {"a": (1, 2, False), "b": (1, 1, True)}
+    topics = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "item_id int, topic string")
+    items = spark.createDataFrame([(1, "a", "r"), (2, "a", None), (3, "b", "r")],
+                                  "item_id int, topic string, response_to_q string")
+    got = {r.topic: (r.responses, r.expected, r.complete) for r in judge.coverage(topics, items, ["topic"]).collect()}
+    assert got == {"a": (1, 2, False), "b": (1, 1, True), "c": (0, 1, False)}
+    assert sorted(r.item_id for r in judge.missing_items(topics, items, ["item_id"]).collect()) == [2, 4]
+
+
+REPEATED = [
+    (1, "acknow", 5, "No", None, "second"), (1, "acknow", 2, "Yes", None, "first"),
+    (1, "helpful", 9, "No", "later", None), (1, "helpful", 3, "Yes", "earlier", None),
+    (1, "violate", 1, "Yes", "why", None), (77, "helpful", 1, "No", "of no item", None)]
+NUMBERED = ("item_id bigint, metric string, reply_no bigint, answer string, explanation string, extract_pref string")
+
+
+def test_one_rule_for_repeated_verdicts(spark, tmp_path):
+    df = spark.createDataFrame(REPEATED, NUMBERED)
+    wide = {r.item_id: r for r in judge.verdict_pivot(df).collect()}[1]
+    assert (wide.acknow, wide.acknow_text, wide.helpful, wide.helpful_text) == ("Yes", "first", "Yes", "earlier")
+    flags = {r.item_id: r for r in judge.item_flags(df, ["item_id"]).collect()}[1]
+    assert flags.acknowledgement and not flags.error_unhelpful and flags.violation
+    items = spark.createDataFrame([(1, "p", "q", "r")],
+                                  "item_id bigint, preference string, question string, response_to_q string")
+    assert [r.extract_pref for r in judge.restatement_pairs(items, df).collect()] == ["first"]
+    from stepwright.plans import jobs
+    asked = [r.metric for r in jobs.judge_requests(items, df).collect()]
+    assert sorted(asked) == sorted(set(METRICS) - {"acknow", "helpful", "violate"})
+    # without numbers any order of the rows gives the same choice
+    plain = df.drop("reply_no")
+    picks = [{(r.item_id, r.metric): r.answer for r in judge.first_verdicts(p).collect()}
+             for p in (plain, plain.orderBy(F.desc("answer")), plain.repartition(5))]
+    assert picks[0] == picks[1] == picks[2]
+    judge.write_verdict_records(df, str(tmp_path / "records"))
+    record = [r for f in (tmp_path / "records").glob("part-*") for r in map(json.loads, f.read_text().splitlines())
+              if r["item_id"] == 1][0]
+    assert record["verdicts"]["acknow"] == {"answer": "Yes", "extract_pref": "first"}
+
+
+def test_verdicts_of_other_items_do_not_count(spark):
+    from stepwright.plans import jobs
+    items = spark.createDataFrame([(1, "r", "m")], "item_id bigint, response_to_q string, model string")
+    df = spark.createDataFrame(REPEATED, NUMBERED)
+    assert jobs.accuracy(items, df).first().total == 1
+    assert jobs.accuracy(items, df, ["model"]).first().total == 1
+
+
+def test_templates_must_be_eight(spark):
+    whole = [(m, f"t {m}") for m in METRICS]
+    items = spark.createDataFrame([(1,)], "item_id bigint")
+    assert judge.with_rubrics(items, spark.createDataFrame(whole * 2, "metric string, template string")).count() == 8
+    for wrong in (whole[1:], whole + [(METRICS[0], "another")]):
+        try:
+            judge.with_rubrics(items, spark.createDataFrame(wrong, "metric string, template string"))
+            raise AssertionError("a metric without exactly one template must be an error")
+        except ValueError as e:
+            assert METRICS[0] in str(e)
+
+
+def test_readable_and_early_replies_win(spark):
+    requests = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    replies = spark.createDataFrame([
+        (1, 1, "{"), (1, 2, '{"choices":[{"text":"b"}]}'), (1, 3, '{"choices":[{"text":"c"}]}'),
+        (2, 1, "{")], "k int, reply_no int, body string")
+    got = {r.k: r.raw for r in exchange.ingest_replies(requests, replies, ["k"]).collect()}
+    assert got == {1: "b", 2: "", 3: ""}
+    plan = exchange.ingest_replies(requests, replies, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepwright.functions import tokens
-from stepwright.operators import loss, rewards, skew
+from stepwright.operators import loss, rewards
 
 SCHEMA = "batch_id bigint, prompt_id bigint, gen int, rewards array<double>, mask array<int>"
 
@@ -68,9 +68,12 @@ def test_group_advantages(spark):
     check_advantages(spark)
 
 
-def test_group_advantages_past_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
-    check_advantages(spark)
+def test_runs_and_plan_move_no_token_rows(spark):
+    df = spark.createDataFrame([([0.0, 0.0, 1.5, 1.5, 0.0],), ([],), ([2.0],)], "rewards array<double>")
+    got = [[tuple(r) for r in row.r] for row in df.select(rewards.reward_runs(F.col("rewards")).alias("r")).collect()]
+    assert got == [[(0, 2, 0.0), (2, 4, 1.5), (4, 5, 0.0)], [], [(0, 1, 2.0)]]
+    plan = rewards.group_advantages(spark.createDataFrame(ROWS, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
 
 
 def test_dense_rewards_and_stats(spark):
@@ -166,14 +169,19 @@ def test_entropy_threshold_is_the_exact_quantile(spark, width):
         assert got[b] == pytest.approx(want, abs=1e-12)
 
 
-def test_entropy_mask_past_the_broadcast_bound(spark, monkeypatch):
+def test_entropies_that_crowd_near_zero(spark):
+    rng = random.Random(3)
+    values = [rng.random() * 2.0 ** -rng.choice([1, 12, 26, 45]) for _ in range(3000)] + [0.0] * 50
+    df = spark.createDataFrame([(0, 0, 0, 0, i, 1, 0.0, 0.0, 0.0, 0.0, v) for i, v in enumerate(values)], TOKENS)
+    for q in (0.0, 0.013, 0.5, 0.8, 1.0):
+        assert loss.entropy_thresholds(df, q).first().threshold == pytest.approx(quantile(values, q), rel=1e-12)
+
+
+def test_entropy_mask(spark):
     rows = make_tokens()
     df = spark.createDataFrame(rows, TOKENS)
     kept = loss.with_entropy_mask(df, 0.2).agg(F.sum("entropy_mask")).first()[0]
-    monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
-    salted = loss.with_entropy_mask(df, 0.2)
-    assert salted.count() == len(rows)
-    assert salted.agg(F.sum("entropy_mask")).first()[0] == kept
+    assert loss.with_entropy_mask(df, 0.2).count() == len(rows)
     want = 0
     for b in (0, 1):
         cut = quantile([r[10] for r in rows if r[0] == b and r[5]], 0.8)

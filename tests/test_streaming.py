@@ -69,3 +69,43 @@ def test_rollup_equals_the_batch_and_drops_only_rows_past_the_watermark(spark, t
     assert run()["2024-01-01T00:00:00", "m"] == (4.0, 3)
     add_file(spark, folder, [point(3, 99.0)], POINT)   # two days late
     assert run()["2024-01-01T00:00:00", "m"] == (4.0, 3)
+
+
+def test_rollup_begun_anew_replaces_the_old_run(spark, tmp_path):
+    folder, table = str(tmp_path / "in"), str(tmp_path / "table")
+    width = "10 minutes"
+
+    def run(progress):
+        stream = spark.readStream.schema(POINT).parquet(folder)
+        rollup.stream_rollup(stream, table, str(tmp_path / progress), width, "1 hour")
+        return {(r.window_start.isoformat(), r.metric): (r.value, r.points)
+                for r in rollup.read_rollup(spark, table).collect()}
+
+    rows = []
+    for i in range(3):  # three batches, so that the first run has high batch numbers
+        rows.append(point(i, float(i)))
+        add_file(spark, folder, rows[-1:], POINT)
+        run("first")
+    rows.append(point(4, 9.0))
+    add_file(spark, folder, rows[-1:], POINT)
+    batch = {(r.window_start.isoformat(), r.metric): (r.value, r.points) for r in rollup.windowed_means(
+        spark.createDataFrame(rows, POINT), width).collect()}
+    assert run("second") == batch
+    assert run("second") == batch
+
+
+def test_a_batch_does_not_read_the_table(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    for i in range(3):
+        add_file(spark, folder, [(1, "helpful", 10 - i, f"<answer>{i}</answer>"), (i, "violate", i, "x")], REPLY)
+        got = ingest(spark, tmp_path)
+    assert (1, "helpful", "2") in got and len(got) == 4  # the smallest number, though it came last
+    for part in (tmp_path / "table").glob("run=*/batch_id=0/*.parquet"):
+        part.unlink()
+    add_file(spark, folder, [(9, "helpful", 1, "<answer>Yes</answer>")], REPLY)
+    assert (9, "helpful", "Yes") in ingest(spark, tmp_path)
+
+
+def test_a_table_without_replies_is_empty(spark, tmp_path):
+    spark.createDataFrame([], REPLY).write.parquet(str(tmp_path / "in"))
+    assert ingest(spark, tmp_path) == []

@@ -172,3 +172,23 @@ def test_masks_and_tail(spark):
     assert [r.z for r in rows] == [[1, 1, 0, 0], [1], [0, 0], []]
     assert [r.tail for r in rows] == [["E", "b", "E"], ["E"], ["a", "b"], []]
     assert [r.kept for r in rows] == [["a", "E"], ["E"], ["a", "b"], []]
+
+
+def test_score_after_unicode_space(spark):
+    for gap in ("\u00a0", "\u3000", "\u2009 ", "\x1c", "\x85", "\n\t"):
+        assert one(spark, text.parse_score, f"**SCORE:**{gap}0.5") == 0.5
+
+
+def test_character_references(spark):
+    cases = {
+        "a &amp;lt; b": "a &lt; b", "&apos;x&#x27;&#39;": "'x''", "&nbsp;": "\u00a0", "&#8364;&#X20AC;": "€€",
+        "&#128512;!": "\U0001F600!", "&unknown; & &;": "&unknown; & &;", "&#xD800;&#0;&#1114112;": "\ufffd\ufffd\ufffd",
+        "no reference": "no reference", "&lt;b&gt;": "<b>", "tail &": "tail &", "&eacute;t&eacute; &mdash; &hellip;": "été — …"}
+    for raw, wanted in cases.items():
+        assert one(spark, text.unescape, raw) == wanted, raw
+    assert one(spark, lambda c: text.tag_text(c, "preference"), "<preference>tea &#x26; &quot;milk&quot;</preference>") \
+        == 'tea & "milk"'
+
+
+def one(spark, function, value):
+    return spark.createDataFrame([(value,)], "v string").select(function(F.col("v")).alias("r")).first().r
