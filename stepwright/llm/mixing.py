@@ -8,9 +8,10 @@ squares sense, from equal rates on:
 
     rate <- max(0, rate - posterior . g),   g = A^-1 (totals - targets),
 
-where A is the sum of tokens * posterior posterior' over all documents. Residuals
-are thus weighted by the inverse of A, so one step matches any targets that need
-no rate below zero, and more steps settle the rest. One step costs one pass over
+where A is the sum of tokens * posterior posterior' over the documents in use, those
+of a rate above zero (over all documents where that step would not come closer).
+One step matches any targets that need no rate below zero, and more steps settle
+the rest. One step costs one pass over
 (tokens, posterior) rows, which are written once, and moves as many numbers as
 there are domains; rates follow from the steps so far, so nothing is kept between
 passes that a lost executor could take away.
@@ -57,14 +58,13 @@ def word_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, label: Column, domains: list[str], keep: list[str] = (),
-               sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, *keep, n_tokens, p) of every row; `p` in the order of `domains`.
+def classifier(docs: DataFrame, labels: DataFrame, label: Column, domains: list[str],
+               sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+    """Weights (features and a bias, by domain) of a multinomial logistic model over hashed grams.
 
-    The classifier is a multinomial logistic model over hashed grams, learned on
-    the driver from at most 2 * sample_rows texts that `labels` (doc_id and what
-    `label` needs) knows. Domains are about equally frequent in that sample; their
-    shares of the whole labelled table turn its answers back into posteriors.
+    Learned on the driver from at most 2 * sample_rows texts that `labels` (doc_id
+    and what `label` needs) knows. Domains are about equally frequent in that
+    sample; their shares of the whole labelled table turn answers into posteriors.
     """
     known = labels.where(label.isin(domains))
     found, x = joined_sample(docs, known, label, sample_rows)
@@ -77,22 +77,26 @@ def posteriors(docs: DataFrame, labels: DataFrame, label: Column, domains: list[
         prior = np.array([share.get(d, 0) for d in domains], float) / max(1, sum(share.values()))
         sampled = np.bincount(y, minlength=len(domains)) / len(y)
         weights[-1] += np.where(sampled > 0, np.log(np.maximum(prior, 1e-12) / np.maximum(sampled, 1e-12)), -30.0)
+    return weights
 
+
+def posteriors(docs: DataFrame, weights: np.ndarray, keep: Column | None = None) -> DataFrame:
+    """(row, n_tokens, p) of every row: `keep`, by default the id; words; and posteriors by domain."""
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, high, data, at in in_slices(b):
-                part = b.slice(low, high - low)
                 p = softmax(with_bias(frequencies(data, at)) @ weights)
                 flat = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part[c] for c in ("doc_id", *keep)] + [pa.array(word_counts(data, at)), flat],
-                    names=["doc_id", *keep, "n_tokens", "p"])
+                    [b["row"].slice(low, high - low), pa.array(word_counts(data, at)), flat],
+                    names=["row", "n_tokens", "p"])
 
-    chosen = docs.select("doc_id", *keep, F.col("text").cast("binary").alias("raw"))
-    kinds = dict(chosen.dtypes)
-    fields = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep))
-    return chosen.mapInArrow(predict, f"{fields}, n_tokens bigint, p array<double>")
+    chosen = docs.select((F.col("doc_id") if keep is None else keep).alias("row"),
+                         F.col("text").cast("binary").alias("raw"))
+    return chosen.mapInArrow(predict, T.StructType(
+        [chosen.schema["row"], T.StructField("n_tokens", T.LongType()),
+         T.StructField("p", T.ArrayType(T.DoubleType()))]))
 
 
 def _matrix(b: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,20 +141,37 @@ def fit_rates(table: DataFrame, targets: list[float], steps: int = STEPS) -> tup
     goal = everything * np.array(targets) / sum(targets)
     inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
     done: list[np.ndarray] = []
-    totals = gram.sum(axis=1)
+    totals, active = gram.sum(axis=1), gram
+
+    def distance(reached: np.ndarray) -> float:
+        return float((reached - goal) @ inverse @ (reached - goal))
+
     for _ in range(steps):
         residual = totals - goal
         if np.abs(residual).max(initial=0.0) <= TOLERANCE * max(everything, 1.0):
             break
-        done.append(inverse @ residual)
-        now = _sums(table, d, lambda n, p, to=tuple(done): ((rates_after(p, list(to), 1.0) * n) @ p))
-        stuck = np.abs(now - totals).max() <= 1e-7 * max(everything, 1.0)
-        totals = now
-        if stuck:  # what is left can't be matched
+        better = False
+        # the metric of the documents still in use goes further; that of all documents never goes astray
+        for metric in (active, gram):
+            step = np.linalg.pinv(metric, rcond=1e-10, hermitian=True) @ residual
+            found = _sums(table, d, lambda n, p, to=(*done, step): _state(rates_after(p, list(to), 1.0), n, p))
+            now = found[:d]
+            if distance(now) < distance(totals) * (1 - 1e-9):
+                better = distance(now) < distance(totals) * (1 - 1e-6)
+                done.append(step)
+                totals, active = now, found[d:].reshape(d, d)
+                break
+        if not better:  # what is left can't be matched
             break
     return done, 1.0, totals
 
 
+def _state(rate: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected tokens by domain at these rates, and the matrix A of the documents in use."""
+    used = p * (n * (rate > 0))[:, None]
+    return np.concatenate(((rate * n) @ p, (used.T @ p).ravel()))
+
+
 def with_rates(table: DataFrame, steps: list[np.ndarray], start: float) -> DataFrame:
     """`table` with the column `rate`."""
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +182,24 @@ def with_rates(table: DataFrame, steps: list[np.ndarray], start: float) -> DataF
     return table.mapInArrow(rate, T.StructType([*table.schema.fields, T.StructField("rate", T.DoubleType())]))
 
 
-def mix(docs: DataFrame, labels: DataFrame, label: Column, targets: dict[str, float],
-        keep: list[str] = ()) -> DataFrame:
-    """(doc_id, *keep, n_tokens, p, rate) of every row."""
-    table = written(posteriors(docs, labels, label, list(targets), keep), "posteriors")
+def mix(docs: DataFrame, labels: DataFrame, label: Column, targets: dict[str, float]) -> DataFrame:
+    """(doc_id, n_tokens, p, rate) of every row."""
+    table = written(posteriors(docs, classifier(docs, labels, label, list(targets))), "posteriors")
     steps, start, _ = fit_rates(table, list(targets.values()))
-    return with_rates(table, steps, start)
+    return with_rates(table, steps, start).withColumnRenamed("row", "doc_id")
+
+
+def mix_rows(docs: DataFrame, labels: DataFrame, label: Column, targets: dict[str, float]) -> DataFrame:
+    """(row, n_tokens, p, rate, doc_id, text): `row` holds all columns of `docs`.
+
+    Rates are fitted on rows without texts; a second scan gives every document its
+    own, so that texts are neither written nor shuffled.
+    """
+    weights = classifier(docs, labels, label, list(targets))
+    steps, start, _ = fit_rates(written(posteriors(docs, weights), "posteriors"), list(targets.values()))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_rates(posteriors(docs, weights, whole), steps, start).withColumns(
+        {"doc_id": F.col("row.doc_id"), "text": F.col("row.text")})
 
 
 def copies(rate: Column, *seed: Column) -> Column:

@@ -53,7 +53,8 @@ LOOKALIKES = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 
 _LETTERS = {ord(c): latin for latin, others in LOOKALIKES.items() for c in others}
-_STANDING_IN = re.compile(r"(?<=[^\W\d_])[0134578@$]+(?=[^\W\d_])|\b[0134578@$]+(?=[^\W\d_])")
+_STANDING_IN = re.compile(
+    r"(?<=[^\W\d_])(?:[0134578@$]+(?=[^\W\d_])|[0134578]\b)|\b[0134578@$]+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -1,0 +1,160 @@
+"""Toxicity, language and mixing: held-out accuracy, odd rows, targets met."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stepwright.llm import language, mixing, toxicity
+from stepwright.llm.common import remainder
+from tests.llm.odd import by_text, empty, odd
+
+MIDDLE = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def middle(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    return docs, spark.read.parquet(f"{MIDDLE}/labels.parquet")
+
+
+def test_folding():
+    assert toxicity.fold("An 1d10t, іdiоt & ＩＤＩＯＴ id!ot h3ll0 2024 3rd a$$") == [
+        "an", "idiot", "idiot", "idiot", "id", "ot", "hello", "2024", "erd", "a"]
+
+
+def test_exceptions_and_length():
+    lexicon = toxicity.Lexicon({" trash ": 5.0, " clow": 4.0}, ["trash can"], -2.0, 1.0)
+    m = lexicon.matcher()
+    assert [w for _, w in m.hits(toxicity.fold("Take the trash can, clowns. Trash!"))] == [4.0, 5.0]
+    assert m.hits([]) == [] and m.density([])[1] == 0
+    short, long = (m.density(["trash"] + ["word"] * n)[0] for n in (3, 3000))
+    assert short > long > 0
+    assert 0 < m.score(0.0) < m.score(long) < m.score(short) < 1
+
+
+def test_toxicity_on_held_out_rows(middle):
+    docs, labels = middle
+    lexicon = toxicity.learn(docs, labels.where(remainder(F.col("doc_id"), 5) != 0))
+    scored = toxicity.score(docs.select("doc_id", "text"), lexicon).join(labels, "doc_id").where(
+        remainder(F.col("doc_id"), 5) == 0).where("toxic is not null").collect()
+    right = np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in scored])
+    assert len(scored) > 50 and right > 0.95
+
+
+def test_toxicity_of_odd_rows(spark, odd_docs):
+    labels = spark.createDataFrame([(8, 1, 0), (2, 0, 1), (None, 1, 1), (7, None, 0), (10, 0, 0), (12, 0, 0)],
+                                   "doc_id bigint, toxic int, text int")
+    lexicon = toxicity.learn(odd_docs, labels)
+    found = toxicity.score(odd_docs, lexicon, ("odd_score", "odd_hits"))
+    assert found.columns == [*odd_docs.columns, "odd_score", "odd_hits"]
+    rows = found.collect()
+    assert len(rows) == len(by_text()) and all(0 <= r.odd_score <= 1 for r in rows)
+    assert {r.odd_score for r in rows if not r.text} == {lexicon.matcher().score(0.0)}
+    nothing = toxicity.learn(empty(spark), labels)
+    assert {r.odd_score for r in toxicity.score(odd_docs, nothing, ("odd_score", "x")).collect()} == {0.0}
+    assert toxicity.learn(odd_docs, labels.limit(0)).entries == {}
+    assert toxicity.score(empty(spark), lexicon, ("a", "b")).count() == 0
+
+
+def test_language_of_held_out_rows(middle):
+    docs, _ = middle
+    held = remainder(F.col("doc_id"), 3) == 1
+    found = language.identify(docs, docs.where(~held), F.col("lang")).join(docs.where(held), "doc_id").where(
+        F.length("text") > 40).collect()
+    assert len(found) > 250
+    assert np.mean([r.lang_pred == r.lang for r in found]) > 0.97
+    assert all(0 <= r.score <= 1 for r in found)
+
+
+def test_families_and_pairs():
+    rng = np.random.default_rng(0)
+    centres = {lang: rng.random(20) for lang in ("en", "de", "fr", "es", "it", "xx")}
+    labels = [lang for lang in centres for _ in range(30)]
+    x = np.stack([centres[lang] + rng.normal(0, 0.05, 20) for lang in labels])
+    model = language.train(labels, x)
+    assert model.families == ["germanic", "romance", "xx"]
+    assert [len(m) for m in model.members] == [2, 3, 1] and len(model.pairs) == 4
+    assert (model.predict(x)[0] == np.array(labels, object)).mean() > 0.98
+    one = language.train(["en"] * 3, x[:3])
+    assert set(one.predict(x)[0]) == {"en"} and language.train([], x[:0]) is None
+
+
+def test_language_of_odd_rows(spark, odd_docs):
+    found = language.identify(odd_docs, odd_docs, F.col("lang")).collect()
+    assert len(found) == len(by_text())
+    pred = {r.doc_id: (r.lang_pred, r.score) for r in found}
+    assert pred[3] == pred[4] == pred[5] == pred[-3] == ("und", 0.0)
+    assert pred[9][0] != "und" and pred[10][0] in ("en", "de", "fr", "ja")
+    assert {r.lang_pred for r in language.identify(odd_docs, empty(spark), F.col("lang")).collect()} == {"und"}
+    assert language.identify(empty(spark), odd_docs, F.col("lang")).count() == 0
+
+
+def table(spark, n, p):
+    return spark.createDataFrame([(i, int(a), [float(x) for x in b]) for i, (a, b) in enumerate(zip(n, p))],
+                                 "row bigint, n_tokens bigint, p array<double>")
+
+
+def totals(df, d):
+    rows = df.collect()
+    return np.array([sum(r.rate * r.n_tokens * r.p[i] for r in rows) for i in range(d)]), [r.rate for r in rows]
+
+
+def test_rates_meet_targets(spark):
+    rng = np.random.default_rng(3)
+    n, p = rng.integers(0, 500, 300), rng.dirichlet([0.5, 0.5, 0.5], 300)
+    rows = table(spark, n, p)
+    for goal in ([0.5, 0.3, 0.2], [0.85, 0.1, 0.05]):
+        steps, start, reached = mixing.fit_rates(rows, goal)
+        found, rates = totals(mixing.with_rates(rows, steps, start), 3)
+        assert min(rates) >= 0
+        assert np.allclose(found, reached)
+        assert np.allclose(found / n.sum(), goal, atol=1e-3)
+
+
+def test_targets_beyond_reach(spark):
+    n, p = [10, 10, 10], [[0.6, 0.4], [0.5, 0.5], [0.7, 0.3]]
+    steps, start, _ = mixing.fit_rates(table(spark, n, p), [0.0, 1.0])
+    found, rates = totals(mixing.with_rates(table(spark, n, p), steps, start), 2)
+    assert min(rates) >= 0
+    # the best of a fine search over nonnegative rates, in the same weighted distance
+    inverse = np.linalg.inv(sum(a * np.outer(b, b) for a, b in zip(n, np.array(p))))
+
+    def distance(total):
+        return (total - [0, 30]) @ inverse @ (total - [0, 30])
+
+    best = min(distance(x * 10 * np.array(p[0]) + y * 10 * np.array(p[1]) + z * 10 * np.array(p[2]))
+               for x in np.linspace(0, 2, 21) for y in np.linspace(0, 5, 101) for z in np.linspace(0, 2, 21))
+    assert distance(found) <= best * 1.02 + 1e-9
+
+
+def test_empty_domain_and_no_rows(spark):
+    rows = table(spark, [5, 6], [[1.0, 0.0], [1.0, 0.0]])
+    steps, start, _ = mixing.fit_rates(rows, [0.5, 0.5])
+    found, _ = totals(mixing.with_rates(rows, steps, start), 2)
+    assert np.allclose(found, [5.5, 0])
+    assert mixing.fit_rates(rows.limit(0), [0.5, 0.5])[0] == []
+    assert mixing.with_rates(rows.limit(0), [], 1.0).count() == 0
+
+
+def test_mixing_of_odd_rows(spark, odd_docs):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (8, 0), (10, 0), (7, None), (None, 1)], "doc_id bigint, quality int")
+    label = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+    targets = {"good": 0.6, "plain": 0.4}
+    found = mixing.mix(odd_docs, labels, label, targets).collect()
+    assert len(found) == len(by_text())
+    words = {i: len(t.split()) for i, t in by_text()}
+    assert all(r.n_tokens == words[r.doc_id] for r in found if r.doc_id not in (None, 7, 9))
+    assert all(abs(sum(r.p) - 1) < 1e-9 and r.rate >= 0 for r in found)
+    whole = mixing.mix_rows(odd_docs, labels, label, targets)
+    assert whole.select("row.*").columns == odd_docs.columns and whole.count() == len(found)
+    assert sorted(r.rate for r in whole.collect()) == pytest.approx(sorted(r.rate for r in found))
+    unlabelled = mixing.mix(odd_docs, labels.limit(0), label, targets).collect()
+    assert {tuple(r.p) for r in unlabelled} == {(0.5, 0.5)}
+    assert mixing.mix(empty(spark), labels, label, targets).count() == 0
+
+
+def test_copies_have_the_rate_as_mean(spark):
+    df = spark.range(20_000).select(mixing.copies(F.lit(1.3), F.col("id")).alias("n"))
+    found = {r[0]: r[1] for r in df.groupBy("n").count().collect()}
+    assert set(found) == {1, 2} and abs(found[2] / 20_000 - 0.3) < 0.02
+    assert odd(spark).select(mixing.copies(F.lit(0.0), F.col("doc_id"), F.col("text")).alias("n")).distinct().collect()[0].n == 0
