@@ -95,4 +95,36 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_toxicity, op3_exact_topk, op4_sharding, op5_token_files, op6_language, op7_mixing,
     op8_suffix_dedup, op9_simhash, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+
+def _words(text: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+            "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+
+ORACLES = {
+    "op3_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+          FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+        i AS (SELECT item_id::VARCHAR AS item, {_words('text')} AS w, least(len({_words('text')}), 13) AS n FROM benchmark),
+        iw AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS t
+          FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM i WHERE n > 0)),
+        dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS t
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+            FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+        h AS (SELECT DISTINCT doc_id, dw.n, k, item FROM dw JOIN iw ON dw.n = iw.n AND dw.t = iw.t),
+        c AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
+        s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+          sha256(coalesce(items, '')) AS items_sha256,
+          coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id""",
+}
