@@ -3,17 +3,18 @@
 A byte goes if it is covered by a string of LENGTH bytes that also starts
 earlier: in a document of smaller id, or further left in the same one.
 
-Equal strings have to meet in one shard. Every string of LENGTH bytes has anchors:
-the places of the least hash among its grams of GRAM bytes. Equal strings have
-equal anchors, so the LENGTH-strings around an anchor, its region, are dealt out
-by the anchor's hash, and each shard finds its repeats by a suffix array built
-with induced sorting and permuted common prefixes (`suffixes`).
+Equal strings have to meet in one shard. The anchor of a string of LENGTH bytes is
+the least hash among its grams of GRAM bytes, which equal strings have in common.
+Neighbouring strings mostly share it: a region is a run of strings of one anchor,
+RUN at most. Regions are dealt out by their anchor, and each shard finds its
+repeats by a suffix array built with induced sorting and permuted common prefixes
+(`suffixes`). Every string is in one region.
 
 What reaches the shards is kept small. Anchors that occur once repeat nothing.
 Of regions that are equal byte for byte (hashes of 64 bits each for anchor and
 region) the earliest stands for all, and the others are repeated from end to end.
-An anchor all of whose regions are equal is settled by that. The regions of an
-anchor form one group of a shard; an anchor with more than GROUP_REGIONS different
+An anchor all of whose regions are equal is settled by that, unless it occurs twice
+in the region, as in periodic text. The regions of an anchor form one group of a shard; an anchor with more than GROUP_REGIONS different
 ones, as at the edge of a passage that a large part of the corpus shares, is
 no single group: its strings are counted by their hashes instead, which combine
 before they are shuffled, and compared with the earliest of their kind.
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwright.llm.common import SpanHash, slices, sliding_min, text_of
@@ -44,6 +45,7 @@ from stepwright.sources.workspace import written
 
 LENGTH = 100
 GRAM = 16
+RUN = 128   # strings of a region; only periodic text reaches it
 GROUP_REGIONS = 20_000
 CHUNK_BYTES = 1 << 20   # segments that one suffix array is built over
 NO_ID = -(1 << 63)
@@ -56,44 +58,71 @@ def _documents(docs: DataFrame) -> DataFrame:
                        F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, SpanHash]:
-    """Places of all anchors, their hashes, the text each is in, and hashes of spans."""
+def regions_of(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Anchor, first byte, end and text of every region, whether it may repeat itself; and hashes of spans."""
     spans = SpanHash(data)
-    n = len(data) - GRAM + 1
+    n, width = len(data) - GRAM + 1, length - GRAM + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, np.zeros(0, np.uint64), none, spans
+        return none.astype(np.uint64), none, none, none, none.astype(bool), spans
     begin = np.arange(n)
     grams = spans.of(begin, begin + GRAM)
-    least = sliding_min(grams, length - GRAM + 1)          # by first byte of each string
+    least = sliding_min(grams, width)                                   # by first byte of each string
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    least[owner[:len(least)] != owner[length - 1:]] = 0     # strings that leave their text
-    # the greatest of the minima of the strings around a gram: its own hash, if it is one's minimum
-    edge = np.zeros(length - GRAM, np.uint64)
-    around = ~sliding_min(~np.concatenate((edge, least, edge)), length - GRAM + 1)
-    places = np.flatnonzero((around == grams) & (around > 0))
-    return places, grams[places], owner[places], spans
+    whole = owner[:len(least)] == owner[length - 1:]                    # those within one text
+    string = np.flatnonzero(whole)
+    if not len(string):
+        return none.astype(np.uint64), none, none, none, none.astype(bool), spans
+    anchor, of, place = least[string], owner[string], np.arange(len(string))
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1]))
+    new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % RUN == 0
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(string)) - 1
+    start, end = string[first], string[last] + length
+
+    # a string that occurs twice in a region has its anchor there twice, with no other anchor between
+    edge = np.zeros(width - 1, np.uint64)
+    around = ~sliding_min(~np.concatenate((edge, np.where(whole, least, 0), edge)), width)
+    anchors = np.flatnonzero(around == grams)
+    twice = np.flatnonzero(grams[anchors[1:]] == grams[anchors[:-1]])
+    low = np.searchsorted(end, anchors[twice + 1] + GRAM, "left")
+    high = np.searchsorted(start, anchors[twice], "right")
+    marks = np.zeros(len(start) + 1, np.int64)
+    held = low < high
+    np.add.at(marks, low[held], 1)
+    np.add.at(marks, high[held], -1)
+    return anchor[first], start, end, of[first], np.cumsum(marks[:-1]) > 0, spans
 
 
 def _instances(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, region, did, place): place holds the region's start, and in its last ten bits its length."""
+    """(anchor, region, did, place): place is the region's start, whether it may repeat itself, and its length."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b["did"].to_numpy()
             data, at = text_of(b["raw"])
             for low, high in slices(at):
                 part, cut = data[at[low]:at[high]], at[low:high + 1] - at[low]
-                places, hashes, owner, spans = anchors(part, cut, length)
-                start = np.maximum(places - (length - GRAM), cut[owner])
-                end = np.minimum(places + length, cut[owner + 1])
+                hashes, start, end, owner, twice, spans = regions_of(part, cut, length)
+                place = (start - cut[owner]) << 11 | twice.astype(np.int64) << 10 | (end - start)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes.view(np.int64)), pa.array(spans.of(start, end).view(np.int64)),
-                     pa.array(ids[low + owner]), pa.array((start - cut[owner]) << 10 | (end - start))],
-                    names=["anchor", "region", "did", "place"])
+                     pa.array(ids[low + owner]), pa.array(place)], names=["anchor", "region", "did", "place"])
 
     return docs.select("did", "raw").mapInArrow(find, "anchor bigint, region bigint, did bigint, place bigint")
 
 
+def _start(place) -> Column:
+    return F.shiftright(place, 11)
+
+
+def _size(place) -> Column:
+    return F.col(place).bitwiseAND(1023)
+
+
+def _twice(place) -> Column:
+    return F.col(place).bitwiseAND(1024) != 0
+
+
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(anchor, did, start, bytes) for wanted (anchor, region, did, place)."""
     lists = wanted.groupBy("did").agg(F.collect_list(F.struct("anchor", "region", "place")).alias("wanted"))
@@ -105,7 +134,7 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 data = np.frombuffer(raw, np.uint8) if raw.size else np.zeros(0, np.uint8)
                 items = items.values
                 place = items.field("place").to_numpy()
-                start, size = place >> 10, place & 1023
+                start, size = place >> 11, place & 1023
                 fits = start + size <= len(data)
                 hashes = SpanHash(data)
                 same = fits.copy()  # another text of the same id may not have the region
@@ -133,34 +162,43 @@ def _merged(owner: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndar
     return owner[first], offset[first], offset[last] + length
 
 
-def _spans_of(segments: list[bytes], dids: list[int], start: list[int], length: int) -> pa.RecordBatch:
-    ids, begin = np.array(dids, np.int64), np.array(start, np.int64)
-    # regions in the order of (did, start), spaced so that offsets don't reach the next document's
+def _spans_of(segments: list[bytes], ids: np.ndarray, begin: np.ndarray, length: int) -> pa.RecordBatch:
+    """Repeated spans among segments that begin at `begin` of documents `ids`."""
+    # segments in the order of (did, start), spaced so that offsets don't reach the next document's
     rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
     owner, offset = repeated_starts(segments, (rank << np.int64(42)) + begin, length)
     owner, low, high = _merged(owner, offset, length)
-    hashes = [SpanHash(np.frombuffer(segments[o][a:e], np.uint8)).of(np.array([0]), np.array([e - a]))[0]
-              for o, a, e in zip(owner.tolist(), low.tolist(), high.tolist())]
+    at = np.cumsum([0] + [len(s) for s in segments])[owner]
+    hashes = SpanHash(np.frombuffer(b"".join(segments), np.uint8)).of(at + low, at + high)
     return pa.RecordBatch.from_arrays(
         [pa.array(ids[owner]), pa.array(begin[owner] + low), pa.array(begin[owner] + high),
-         pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["did", "start", "end", "hash"])
+         pa.array(hashes.view(np.int64))], names=["did", "start", "end", "hash"])
 
 
 def _by_suffix_arrays(regions: DataFrame, length: int) -> DataFrame:
     """Repeated spans among regions dealt out by anchor; a task sorts them in chunks of whole groups."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []  # the rows of a chunk, cut between groups
+
+        def spans() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held)
+            return _spans_of(whole["bytes"].to_pylist(), whole["did"].to_numpy(), whole["start"].to_numpy(), length)
+
         size, group = 0, None
         for b in batches:
-            for row in zip(b["anchor"].to_pylist(), b["did"].to_pylist(), b["start"].to_pylist(),
-                           b["bytes"].to_pylist()):
-                if size >= CHUNK_BYTES and row[0] != group:
-                    yield _spans_of([r[3] for r in held], [r[1] for r in held], [r[2] for r in held], length)
-                    held, size = [], 0
-                held.append(row)
-                group, size = row[0], size + len(row[3])
+            anchor = b["anchor"].to_numpy()
+            heads = np.flatnonzero(np.append(group is None or anchor[0] != group, anchor[1:] != anchor[:-1]))
+            total = np.concatenate(([0], np.cumsum([len(x.as_buffer()) for x in b["bytes"]])))
+            cut = 0
+            for head in heads.tolist():
+                if size + total[head] - total[cut] >= CHUNK_BYTES:
+                    held.append(b.slice(cut, head - cut))
+                    yield spans()
+                    held, size, cut = [], 0, head
+            held.append(b.slice(cut))
+            size, group = size + total[-1] - total[cut], anchor[-1]
         if held:
-            yield _spans_of([r[3] for r in held], [r[1] for r in held], [r[2] for r in held], length)
+            yield spans()
 
     return regions.repartition("anchor").sortWithinPartitions("anchor", "did", "start").mapInArrow(find, SPAN)
 
@@ -203,25 +241,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_regions: int = G
     Spans overlap; their union is what repeats. `hash` is that of the span's bytes.
     """
     found = _instances(docs, length)
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max(_twice("place")).alias("twice")).where(
+        "n > 1 or twice").select("anchor")
     shared = _step(found.join(often, "anchor"), "anchors")
+    del found, often
 
-    here = F.struct("did", F.shiftright("place", 10).alias("start"))
+    here = F.struct("did", _start("place").alias("start"))
     kinds = _step(shared.groupBy("anchor", "region").agg(
-        F.min(F.struct(here.alias("at"), "place")).alias("first"), F.count(F.lit(1)).alias("n")), "regions")
-    earliest = kinds.where("n > 1").select("anchor", "region", F.col("first.at").alias("at"))
-    copies = shared.join(earliest, ["anchor", "region"]).where(
-        (here > F.col("at")) & (F.col("place").bitwiseAND(1023) >= length)).select(
-        "did", F.shiftright("place", 10).alias("start"),
-        (F.shiftright("place", 10) + F.col("place").bitwiseAND(1023)).alias("end"), F.col("region").alias("hash"))
-
-    groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("regions")).where("regions > 1")
-    wanted = kinds.join(groups, "anchor").where(F.col("first.place").bitwiseAND(1023) >= length).select(
-        "anchor", "region", "regions", F.col("first.at.did").alias("did"), F.col("first.place").alias("place"))
-    crowded = _cut(docs, wanted.where(F.col("regions") > group_regions))
-    others = _cut(docs, wanted.where(F.col("regions") <= group_regions))
-    spans = _by_suffix_arrays(others, length).union(_by_strings(crowded, length)).union(copies)
-    return _step(spans.distinct(), "spans")
+        F.min(F.struct("did", "place")).alias("first"), F.count(F.lit(1)).alias("n")).select(
+        "anchor", "region", "first.did", "first.place", "n"), "regions")
+    earliest = kinds.where("n > 1").select(
+        "anchor", "region", F.struct("did", _start("place").alias("start")).alias("at"))
+    copies = _step(shared.join(earliest, ["anchor", "region"]).where(here > F.col("at")).select(
+        "did", _start("place").alias("start"), (_start("place") + _size("place")).alias("end"),
+        F.col("region").alias("hash")), "copies")
+
+    groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("regions"), F.max(_twice("place")).alias("twice")).where(
+        "regions > 1 or twice").select("anchor", "regions")
+    wanted = _step(kinds.join(groups, "anchor").select("anchor", "region", "regions", "did", "place"), "wanted")
+    spans = _by_suffix_arrays(_cut(docs, wanted.where(F.col("regions") <= group_regions)), length)
+    crowded = wanted.where(F.col("regions") > group_regions)
+    if not crowded.isEmpty():
+        spans = spans.union(_by_strings(_cut(docs, crowded), length))
+    return _step(spans, "spans").union(copies)
 
 
 def _removed(raw: bytes, items: pa.StructScalar | None) -> tuple[int, int, bytes]:

@@ -68,7 +68,7 @@ def _names(t: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
     everything = np.arange(m)
     first = chunk(everything, 0)
     separator = t[lms] == 0
-    order = np.argsort(first, kind="stable")  # separators come first, in order of place
+    order = np.argsort(first)
     key = first[order]
     rank = _ranks(order, np.append(True, key[1:] != key[:-1]))
     rank[separator] = np.arange(int(separator.sum()))
@@ -77,21 +77,21 @@ def _names(t: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
     while len(open_):
         # of those that are equal so far, tell longer ones apart by their next symbols
         key = chunk(open_, k)
-        order = np.lexsort((key, rank[open_]))
-        rank[open_] = _refined(rank[open_], key, order)
+        rank[open_] = _refined(rank[open_], np.unique(key, return_inverse=True)[1])
         k += 1
         open_ = open_[length[open_] > k * _PACK]
     return rank
 
 
-def _refined(rank: np.ndarray, key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """New ranks of items sorted by (rank, key): the items of one rank fan out from it."""
-    r, k = rank[order], key[order]
+def _refined(rank: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """New ranks of items by (rank, key), both below 2^31: the items of one rank fan out from it."""
+    both = (rank << 32) | key
+    order = np.argsort(both)
+    both = both[order]
+    r = both >> 32
     place = np.arange(len(order))
-    new_rank = np.append(True, r[1:] != r[:-1])
-    new_key = new_rank | np.append(True, k[1:] != k[:-1])
-    group = np.maximum.accumulate(np.where(new_rank, place, 0))
-    part = np.maximum.accumulate(np.where(new_key, place, 0))
+    group = np.maximum.accumulate(np.where(np.append(True, r[1:] != r[:-1]), place, 0))
+    part = np.maximum.accumulate(np.where(np.append(True, both[1:] != both[:-1]), place, 0))
     out = np.empty(len(order), np.int64)
     out[order] = r + (part - group)
     return out
@@ -103,10 +103,8 @@ def _order_names(rank: np.ndarray) -> np.ndarray:
     count = np.bincount(rank, minlength=m)
     open_ = np.flatnonzero(count[rank] > 1)
     while len(open_):
-        key = rank[open_ + step]
-        order = np.lexsort((key, rank[open_]))
-        # all keys were read before any rank moves
-        rank[open_] = _refined(rank[open_], key, order)
+        # all keys are read before any rank moves
+        rank[open_] = _refined(rank[open_], rank[open_ + step])
         count = np.bincount(rank[open_], minlength=m)
         open_ = open_[count[rank[open_]] > 1]
         step *= 2
