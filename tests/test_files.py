@@ -40,7 +40,7 @@ def test_numbering_counts_dropped_records_and_restarts(spark, tmp_path):
         ("q1", 1, ["1"]), ("q1", 1, ["2"]), ("q1", 3, ["1"]), ("q1", 3, ["2"]),
         ("q3", 1, ["7"]), ("q3", 3, ["7"])]
     scores = {r.ids[0]: r.final_score for r in paths}
-    assert scores == {"1": 1.0, "2": 0.25, "7": 0.0}
+    assert scores == {"1": "1", "2": "0.25", "7": "0.0"}
 
 
 def test_json_lines_skip_blank_and_keep_malformed(spark, tmp_path):
@@ -77,3 +77,15 @@ def test_split_files_and_folders(spark, tmp_path):
     both = json_files.read_splits(spark, {"train": str(tmp_path / "train"), "eval": str(tmp_path / "test")},
                                   "id bigint, source_file string")
     assert sorted((r.split, r.id) for r in both.collect()) == [("eval", 2), ("train", 1), ("train", 3)]
+
+
+def test_json_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"score": 1, "thought": "x"}]')
+    (tmp_path / "b.jsonl").write_text('{"score": 1}\n{')
+    schema = "score double, thought string"
+    arrays = json_files.read_json_arrays(spark, str(tmp_path), schema)
+    lines = json_files.read_json_lines(spark, str(tmp_path / "b.jsonl"), schema)
+    for df, rows in ((json_files.good_records(arrays), 1), (json_files.good_records(lines), 1),
+                     (json_files.quarantined(lines), 1)):
+        assert df.count() == rows
+        assert df._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
