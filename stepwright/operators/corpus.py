@@ -221,3 +221,15 @@ def seeded_split(df: DataFrame, file: str, position: str, seed: int = 42,
     return hashed.join(last, file, "left").withColumn(
         "split", F.when(F.coalesce(order <= F.col("_last"), F.lit(False)), "train").otherwise("test")
     ).drop("_hash", "_prefix", "_last")
+
+
+def transcripts(turns: DataFrame) -> DataFrame:
+    """(conv_id, transcript): the turns of each conversation (conv_id, turn, role, text) as one text, in order.
+
+    What is gathered is the text that the row is to hold; for conversations
+    beyond that, write `turn_line`s range-partitioned by (conv_id, turn).
+    """
+    line = prompts.turn_line(F.col("role"), F.col("text")).alias("line")
+    lines = F.array_sort(F.collect_list(F.struct(F.col("turn"), line)))
+    return turns.groupBy("conv_id").agg(lines.alias("lines")).select(
+        "conv_id", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("transcript"))

@@ -192,6 +192,11 @@ def transcript(spark: SparkSession, sf: str) -> DataFrame:
     return turns.select("conv_id", "turn", prompts.turn_line(F.col("role"), F.col("text")).alias("line"))
 
 
+def transcript_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation as one text."""
+    return corpus.transcripts(table(spark, sf, "conversations"))
+
+
 def cap_responses(spark: SparkSession, sf: str) -> DataFrame:
     rows = inputs.multi_responses(spark, sf).select(
         "doc_id", F.posexplode(corpus.cap_responses(F.col("response_list"))).alias("response_no", "r"))
@@ -236,7 +241,7 @@ QUERIES = {f.__name__: f for f in (
     thought_tree_paths, path_to_process, path_labels, dfs_order, tree_edge_join, dangling_children,
     required_fields, truncate_at_step6, cap_labels, append_final_score, render_prompt, split_steps,
     step_label_match, prefix_context_explode, running_context, critique_messages, critique_input,
-    chat_serialize, loss_span, overlength_flag, normalize_content, transcript, cap_responses,
+    chat_serialize, loss_span, overlength_flag, normalize_content, transcript, transcript_text, cap_responses,
     explode_responses, join_response_lines, best_response, seeded_split, token_length_profile)}
 
 
@@ -317,6 +322,8 @@ ORACLES = {
         SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 1 ELSE 0 END, 'text', text FROM conversations""",
     "transcript": """SELECT conv_id, turn, upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text
         || chr(10) || chr(10) AS line FROM conversations""",
+    "transcript_text": """SELECT conv_id, string_agg(upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text
+        || chr(10) || chr(10), '' ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""",
     "cap_responses": f"""WITH {sql.RESPONSES}
         SELECT doc_id, response_no, least(len(response), 5) AS steps,
           CASE WHEN len(response) > 5 THEN substr(response[5], 9) ELSE answer END AS answer,

@@ -230,3 +230,10 @@ def test_deep_and_wide_trees(spark):
         else:
             childless = {i for i, n in tree.items() if not n[0]}
             assert {r.ids[-1] for r in got} == childless and len(got) == len(childless)
+
+
+def test_transcripts(spark):
+    turns = spark.createDataFrame([(1, 2, "ASSISTANT", "b"), (1, 1, "user", "a"), (2, 1, "user", None), (1, 10, "user", "c")],
+                                  "conv_id int, turn int, role string, text string")
+    got = {r.conv_id: r.transcript for r in corpus.transcripts(turns.repartition(3)).collect()}
+    assert got == {1: "User: a\n\nAssistant: b\n\nUser: c\n\n", 2: ""}
