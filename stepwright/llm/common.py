@@ -59,14 +59,17 @@ class SpanHash:
 
     _BASE = 0x9E3779B97F4A7C15 | 1
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _codes: dict[int, np.ndarray] = {}
 
     def __init__(self, data: np.ndarray, seed: int = 0):
         n = len(data)
         with np.errstate(over="ignore"):
             up, down = self._table(seed, n)
-            code = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
+            if seed not in self._codes:
+                self._codes[seed] = mix64(
+                    np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
             self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(code[data] * up[:n], out=self.sums[1:])
+            np.cumsum(self._codes[seed][data] * up[:n], out=self.sums[1:])
             self.down = down
 
     @classmethod

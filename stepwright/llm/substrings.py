@@ -41,12 +41,12 @@ from pyspark.sql import functions as F
 
 from stepwright.llm.common import SpanHash, slices, sliding_min, text_of
 from stepwright.llm.suffixes import repeated_starts
-from stepwright.sources.workspace import written
+from stepwright.sources.workspace import new_path
 
 LENGTH = 100
 GRAM = 16
 RUN = 128   # strings of a region; only periodic text reaches it
-GROUP_REGIONS = 20_000
+GROUP_REGIONS = 4096   # so that a group fits a chunk
 CHUNK_BYTES = 1 << 20   # segments that one suffix array is built over
 NO_ID = -(1 << 63)
 
@@ -129,24 +129,23 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for did, raw, items in zip(b["did"].to_pylist(), b["raw"], b["wanted"]):
-                raw = raw.as_buffer()
-                data = np.frombuffer(raw, np.uint8) if raw.size else np.zeros(0, np.uint8)
-                items = items.values
-                place = items.field("place").to_numpy()
-                start, size = place >> 11, place & 1023
-                fits = start + size <= len(data)
-                hashes = SpanHash(data)
-                same = fits.copy()  # another text of the same id may not have the region
-                same[fits] = hashes.of(start[fits], start[fits] + size[fits]).view(np.int64) == \
-                    items.field("region").to_numpy()[fits]
-                whole = data.tobytes()
-                keep = np.flatnonzero(same)
+            ids, (data, at), lists = b["did"].to_numpy(), text_of(b["raw"]), b["wanted"]
+            first = lists.offsets.to_numpy()
+            anchor, region, place = (lists.values.field(c).to_numpy() for c in ("anchor", "region", "place"))
+            for low, high in slices(at):
+                part, items = data[at[low]:at[high]], slice(first[low], first[high])
+                owner = np.repeat(np.arange(low, high), np.diff(first[low:high + 1]))
+                start, size = place[items] >> 11, place[items] & 1023
+                begin, limit = at[owner] - at[low] + start, at[owner + 1] - at[low]
+                # another text of the same id may not have the region
+                keep = np.flatnonzero(begin + size <= limit)
+                begin, end = begin[keep], (begin + size)[keep]
+                same = SpanHash(part).of(begin, end).view(np.int64) == region[items][keep]
+                keep, begin, end, raw = keep[same], begin[same], end[same], part.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(items.field("anchor").to_numpy()[keep]), pa.array(np.full(len(keep), did, np.int64)),
-                     pa.array(start[keep]),
-                     pa.array([whole[s:s + n] for s, n in zip(start[keep].tolist(), size[keep].tolist())],
-                              pa.binary())], names=["anchor", "did", "start", "bytes"])
+                    [pa.array(anchor[items][keep]), pa.array(ids[owner[keep]]), pa.array(start[keep]),
+                     pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.binary())],
+                    names=["anchor", "did", "start", "bytes"])
 
     return docs.select("did", "raw").join(lists, "did").mapInArrow(
         cut, "anchor bigint, did bigint, start bigint, bytes binary")
@@ -225,14 +224,23 @@ def _by_strings(regions: DataFrame, length: int) -> DataFrame:
         "did", "start", (F.col("start") + length).alias("end"), "hash")
 
 
-def _step(df: DataFrame, name: str) -> DataFrame:
-    """Write a step's result; then the shuffle files of the steps before it may go."""
-    out = written(df, name)
-    del df
-    gc.collect()
-    df = out
-    df.sparkSession._jvm.System.gc()
-    return out
+class _Step:
+    """A step's result, written; then the shuffle files of the steps before it may go."""
+
+    def __init__(self, df: DataFrame, name: str):
+        spark, schema = df.sparkSession, df.schema
+        self.path = new_path(spark, name)
+        df.write.parquet(self.path)
+        del df
+        gc.collect()
+        spark._jvm.System.gc()
+        self.table = spark.read.schema(schema).parquet(self.path)
+
+    def remove(self) -> None:
+        """To be called when all that was made of it is written."""
+        spark = self.table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group_regions: int = GROUP_REGIONS) -> DataFrame:
@@ -243,43 +251,45 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_regions: int = G
     found = _instances(docs, length)
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max(_twice("place")).alias("twice")).where(
         "n > 1 or twice").select("anchor")
-    shared = _step(found.join(often, "anchor"), "anchors")
-    del found, often
+    anchors = _Step(found.join(often, "anchor"), "anchors")
+    shared = anchors.table
 
     here = F.struct("did", _start("place").alias("start"))
-    kinds = _step(shared.groupBy("anchor", "region").agg(
+    regions = _Step(shared.groupBy("anchor", "region").agg(
         F.min(F.struct("did", "place")).alias("first"), F.count(F.lit(1)).alias("n")).select(
         "anchor", "region", "first.did", "first.place", "n"), "regions")
+    kinds = regions.table
     earliest = kinds.where("n > 1").select(
         "anchor", "region", F.struct("did", _start("place").alias("start")).alias("at"))
-    copies = _step(shared.join(earliest, ["anchor", "region"]).where(here > F.col("at")).select(
+    copies = _Step(shared.join(earliest, ["anchor", "region"]).where(here > F.col("at")).select(
         "did", _start("place").alias("start"), (_start("place") + _size("place")).alias("end"),
         F.col("region").alias("hash")), "copies")
+    anchors.remove()
 
     groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("regions"), F.max(_twice("place")).alias("twice")).where(
         "regions > 1 or twice").select("anchor", "regions")
-    wanted = _step(kinds.join(groups, "anchor").select("anchor", "region", "regions", "did", "place"), "wanted")
+    grouped = _Step(kinds.join(groups, "anchor").select("anchor", "region", "regions", "did", "place"), "wanted")
+    regions.remove()
+    wanted = grouped.table
     spans = _by_suffix_arrays(_cut(docs, wanted.where(F.col("regions") <= group_regions)), length)
     crowded = wanted.where(F.col("regions") > group_regions)
     if not crowded.isEmpty():
         spans = spans.union(_by_strings(_cut(docs, crowded), length))
-    return _step(spans, "spans").union(copies)
+    found = _Step(spans, "spans")
+    grouped.remove()
+    return found.table.union(copies.table)
 
 
-def _removed(raw: bytes, items: pa.StructScalar | None) -> tuple[int, int, bytes]:
-    if items is None:
-        return 0, 0, raw
-    data = np.frombuffer(raw, np.uint8)
-    start, end = items.field("start").to_numpy(), items.field("end").to_numpy()
-    fits = end <= len(data)
-    start, end, hashes = start[fits], end[fits], items.field("hash").to_numpy()[fits]
-    same = SpanHash(data).of(start, end).view(np.int64) == hashes
-    change = np.zeros(len(data) + 1, np.int64)
-    np.add.at(change, start[same], 1)
-    np.add.at(change, end[same], -1)
-    gone = np.cumsum(change[:-1]) > 0
-    runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-    return int(gone.sum()), runs, data[~gone].tobytes()
+def _gone(data: np.ndarray, at: np.ndarray, first: np.ndarray, spans: list[np.ndarray]) -> np.ndarray:
+    """Which bytes of the texts their spans cover; `first` says where each text's spans begin."""
+    start, end, wanted = spans
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    start, end = at[owner] + start, at[owner] + end
+    fits = np.flatnonzero(end <= at[owner + 1])  # those of another text of the same id may not
+    start, end = start[fits], end[fits]
+    same = SpanHash(data).of(start, end).view(np.int64) == wanted[fits]
+    change = np.bincount(start[same], minlength=len(data) + 1) - np.bincount(end[same], minlength=len(data) + 1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, group_regions: int = GROUP_REGIONS) -> DataFrame:
@@ -300,13 +310,25 @@ def _finished(docs: DataFrame, length: int, group_regions: int, column: str, val
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_removed(raw.as_py(), items.values if items.is_valid else None)
-                     for raw, items in zip(b["raw"], b["spans"])]
-            sizes = [len(raw.as_buffer()) if raw.is_valid else 0 for raw in b["raw"]]
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(sizes, pa.int64()), pa.array([f[0] for f in found], pa.int64()),
-                 pa.array([f[1] for f in found], pa.int64()), value([f[2] for f in found])],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", column.split()[0]])
+            (data, at), lists = text_of(b["raw"]), b["spans"]
+            first = lists.offsets.to_numpy()
+            spans = [lists.values.field(c).to_numpy() for c in ("start", "end", "hash")]
+            for low, high in slices(at):
+                part, cut = data[at[low]:at[high]], at[low:high + 1] - at[low]
+                own = slice(first[low], first[high])
+                gone = _gone(part, cut, first[low:high + 1], [c[own] for c in spans])
+                total = np.concatenate(([0], np.cumsum(gone)))
+                begins = gone.copy()
+                begins[1:] &= ~gone[:-1]
+                heads = cut[:-1][cut[:-1] < len(part)]
+                begins[heads] = gone[heads]  # a run ends with its text
+                runs = np.concatenate(([0], np.cumsum(begins)))
+                kept = [part[x:y][~gone[x:y]].tobytes() if total[y] > total[x] else part[x:y].tobytes()
+                        for x, y in zip(cut.tolist(), cut[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [b["doc_id"].slice(low, high - low), pa.array(np.diff(cut)), pa.array(np.diff(total[cut])),
+                     pa.array(np.diff(runs[cut])), value(kept)],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", column.split()[0]])
 
     kind = dict(rows.dtypes)["doc_id"]
     return rows.join(lists, "did", "left").select("doc_id", "raw", "spans").mapInArrow(
