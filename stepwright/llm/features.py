@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stepwright.llm.common import LOWER, slices, text_of
 
 DIMENSIONS = 1 << 11
+SLICE_ROWS = 512   # of a dense matrix
 
 
 def frequencies(data: np.ndarray, at: np.ndarray, grams: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
@@ -43,8 +44,8 @@ def in_slices(b: pa.RecordBatch, column: str = "raw") -> Iterator[tuple[int, int
     """First row, last row + 1, bytes and offsets of runs of rows small enough for dense matrices."""
     data, at = text_of(b[column])
     for low, high in slices(at):
-        for first in range(low, high, 2048):
-            last = min(first + 2048, high)
+        for first in range(low, high, SLICE_ROWS):
+            last = min(first + SLICE_ROWS, high)
             yield first, last, data[at[first]:at[last]], at[first:last + 1] - at[first]
 
 

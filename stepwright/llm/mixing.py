@@ -80,23 +80,29 @@ def classifier(docs: DataFrame, labels: DataFrame, label: Column, domains: list[
     return weights
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray, keep: Column | None = None) -> DataFrame:
-    """(row, n_tokens, p) of every row: `keep`, by default the id; words; and posteriors by domain."""
+def posteriors(docs: DataFrame, weights: np.ndarray, keep: Column | None = None,
+               steps: list[np.ndarray] | None = None, start: float = 1.0) -> DataFrame:
+    """(row, n_tokens, p) of every row: `keep`, by default the id; words; and posteriors by domain.
+
+    With gradient steps also `rate`, as `with_rates` would add it.
+    """
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, high, data, at in in_slices(b):
                 p = softmax(with_bias(frequencies(data, at)) @ weights)
                 flat = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [b["row"].slice(low, high - low), pa.array(word_counts(data, at)), flat],
-                    names=["row", "n_tokens", "p"])
+                columns = [b["row"].slice(low, high - low), pa.array(word_counts(data, at)), flat]
+                if steps is not None:
+                    columns.append(pa.array(rates_after(p, steps, start)))
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "p", "rate"][:len(columns)])
 
     chosen = docs.select((F.col("doc_id") if keep is None else keep).alias("row"),
                          F.col("text").cast("binary").alias("raw"))
     return chosen.mapInArrow(predict, T.StructType(
         [chosen.schema["row"], T.StructField("n_tokens", T.LongType()),
-         T.StructField("p", T.ArrayType(T.DoubleType()))]))
+         T.StructField("p", T.ArrayType(T.DoubleType()))]
+        + ([] if steps is None else [T.StructField("rate", T.DoubleType())])))
 
 
 def _matrix(b: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +204,7 @@ def mix_rows(docs: DataFrame, labels: DataFrame, label: Column, targets: dict[st
     weights = classifier(docs, labels, label, list(targets))
     steps, start, _ = fit_rates(written(posteriors(docs, weights), "posteriors"), list(targets.values()))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return with_rates(posteriors(docs, weights, whole), steps, start).withColumns(
+    return posteriors(docs, weights, whole, steps, start).withColumns(
         {"doc_id": F.col("row.doc_id"), "text": F.col("row.text")})
 
 

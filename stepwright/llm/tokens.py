@@ -18,7 +18,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words that are kept at hand in a worker; past this it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 # Letters that the Unicode versions in use agree on, are composed, and have one lower-case form.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž"

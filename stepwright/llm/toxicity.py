@@ -42,6 +42,7 @@ LEAST_SHARE = 0.02
 LEAST_TEXTS = 5
 LEAST_WEIGHT = 4.0
 PREFIXES = (4, 5, 6)
+HELD_MARKS = 100_000   # that a task counts before it passes them on
 
 #: Letters of other scripts by the Latin letter they look like.
 LOOKALIKES = {
@@ -129,16 +130,25 @@ def _marks(words: list[str]) -> set[str]:
 
 
 def _counts(sample: DataFrame, marks) -> DataFrame:
-    """(mark, toxic, harmless): sampled texts with each mark; counted per batch, then shuffled."""
+    """(mark, toxic, harmless): sampled texts with each mark; counted in each task, then shuffled."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, label in zip(b["text"].to_pylist(), b["toxic"].to_pylist()):
-                seen[label].update(marks(fold(text)))
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counted() -> pa.RecordBatch:
             names = list(seen[0] | seen[1])
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()), pa.array([seen[1][m] for m in names], pa.int64()),
                  pa.array([seen[0][m] for m in names], pa.int64())], names=["mark", "toxic", "harmless"])
+            seen[0].clear()
+            seen[1].clear()
+            return out
+
+        for b in batches:
+            for text, label in zip(b["text"], b["toxic"].to_pylist()):
+                seen[label].update(marks(fold(text.as_py())))
+                if len(seen[0]) + len(seen[1]) > HELD_MARKS:
+                    yield counted()
+        yield counted()
 
     return sample.mapInArrow(count, "mark string, toxic bigint, harmless bigint").groupBy("mark").agg(
         F.sum("toxic").alias("toxic"), F.sum("harmless").alias("harmless"))
