@@ -3,10 +3,10 @@
 The cache is a Parquet table of (content, tokenizer, n_tokens): the digest of a
 normalised text, the digest of a tokenizer's file, and the count, each pair of
 digests once: Spark commits an append as a whole, and there is to be one writer
-at a time. Documents are joined to it by both digests; of the texts not found, one copy each is encoded,
-and their counts are appended. Normalising must not change the count, so the
-default only makes a null text empty; a tokenizer that folds case may bring its
-own expression.
+at a time. Documents are joined to it by both digests; of the texts not found,
+one copy each is encoded, and their counts are appended. Normalising must not
+change the count, so the default only makes a null text empty; a tokenizer that
+folds case may bring its own expression.
 
 Nulls and odd rows: a null text counts as the empty text (0 tokens, 0 bytes); a
 null id is kept; repeated rows each get a row. An empty table gives no rows and
