@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick over folded text.
 
 Folding lower-cases, maps letters of other scripts that look like Latin ones to
-these, and digits and signs that stand for letters inside a word; what is no
-letter or digit separates words. Lexicon entries are whole words (" idiot ") or
+these, and digits and signs that stand for letters: runs of both before or between
+letters, runs of digits after the last one (signs there are taken for punctuation);
+what is no letter or digit separates words. Lexicon entries are whole words (" idiot ") or
 beginnings of words (" idio"), exceptions are words or phrases in which an entry
 doesn't count. One automaton finds both in one pass over the text.
 
@@ -55,7 +56,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 _LETTERS = {ord(c): latin for latin, others in LOOKALIKES.items() for c in others}
 _STANDING_IN = re.compile(
-    r"(?<=[^\W\d_])(?:[0134578@$]+(?=[^\W\d_])|[0134578]\b)|\b[0134578@$]+(?=[^\W\d_])")
+    r"(?<=[^\W\d_])(?:[0134578@$]+(?=[^\W\d_])|[0134578]+(?![^\W_]))|(?<![^\W_])[0134578@$]+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
 

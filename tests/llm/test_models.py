@@ -22,6 +22,13 @@ def test_folding():
         "an", "idiot", "idiot", "idiot", "id", "ot", "hello", "2024", "erd", "a"]
 
 
+def test_folding_at_both_ends_of_a_word():
+    assert toxicity.fold("$hit @sshole a55 ($h1t) 4$$hole as5, id1075 $100 @ 55 a559") == [
+        "shit", "asshole", "ass", "shit", "asshole", "ass", "idiots", "100", "55", "a559"]
+    matcher = toxicity.Lexicon({" shit ": 5.0, " assho": 5.0, " ass ": 5.0}, [], -2.0, 1.0).matcher()
+    assert [len(matcher.hits(toxicity.fold(t))) for t in ("$hit", "@sshole", "a55")] == [1, 1, 1]
+
+
 def test_exceptions_and_length():
     lexicon = toxicity.Lexicon({" trash ": 5.0, " clow": 4.0}, ["trash can"], -2.0, 1.0)
     m = lexicon.matcher()
