@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepwright.llm import (
     decontamination, language, mixing, sharding, simhash, substrings, token_counts, token_files, tokens, topk,
-    toxicity)
+    toxicity, whitening)
 from stepwright.llm.common import remainder
 from stepwright.sources.workspace import new_path
 
@@ -92,9 +92,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's offset of a million cancels in every column, so the operator needs none."""
+    white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16, scale=64)
+    longest = F.lit(2**63 - 1).cast("decimal(38,0)")
+    return white.select(
+        "vec_id", "n", F.least("deviation", longest).cast("bigint").alias("deviation"), "identity_error", "explained",
+        F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+        F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_toxicity, op3_exact_topk, op4_sharding, op5_token_files, op6_language, op7_mixing,
-    op8_suffix_dedup, op9_simhash, op10_decontamination)}
+    op8_suffix_dedup, op9_simhash, op10_decontamination, op13_whitening)}
+
 
 def _words(text: str) -> str:
     return (f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
