@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.sources.workspace import new_path
+from stepwright.sources.workspace import new_path, written
 
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
 SLICE_BYTES = 1 << 20
@@ -131,3 +131,18 @@ def starts(counts: list[int]) -> list[int]:
     for n in counts:
         out.append(out[-1] + int(n))
     return out
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, most: int = 4096) -> DataFrame:
+    """Inner join of rows with a table that has one row for each key, whatever keys are frequent.
+
+    Keys with more than 1 / most of all rows, of which there are fewer than `most`,
+    are sent to the rows; all other keys are too rare to crowd a task. `rows` is
+    read more than once, so it had better be a written table. Keys are to be short.
+    """
+    least = rows.count() // most
+    frequent = rows.groupBy(key).count().where(F.col("count") > least).select(key).limit(most)
+    frequent = F.broadcast(written(frequent, "frequent-keys"))
+    hot = rows.join(F.broadcast(table.join(frequent, key, "left_semi")), key)
+    rest = rows.join(frequent, key, "left_anti").join(table, key)
+    return hot.unionByName(rest)

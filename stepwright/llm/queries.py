@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepwright.llm import (
     decontamination, language, mixing, sharding, simhash, substrings, token_counts, token_files, tokens, topk,
-    toxicity, whitening)
+    toxicity, url_filter, whitening)
 from stepwright.llm.common import remainder
 from stepwright.sources.workspace import new_path
 
@@ -92,6 +92,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+#: Host, path, verdict: the rules of the contract.
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words are counted in all texts of `documents`; the urls that a rule decides are the labelled ones."""
+    words = url_filter.word_counts(_docs(spark, sf_dir))
+    return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, words)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's offset of a million cancels in every column, so the operator needs none."""
     white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16, scale=64)
@@ -105,7 +116,8 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_toxicity, op3_exact_topk, op4_sharding, op5_token_files, op6_language, op7_mixing,
-    op8_suffix_dedup, op9_simhash, op10_decontamination, op13_whitening)}
+    op8_suffix_dedup, op9_simhash, op10_decontamination, op12_url_filter,
+    op13_whitening)}
 
 
 def _words(text: str) -> str:
