@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwright.llm import (
-    decontamination, language, mixing, sharding, simhash, substrings, token_counts, token_files, tokens, topk,
+    decontamination, language, lexical, mixing, sharding, simhash, substrings, token_counts, token_files, tokens, topk,
     toxicity, url_filter, whitening)
 from stepwright.llm.common import remainder
 from stepwright.sources.workspace import new_path
@@ -92,6 +92,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 #: Host, path, verdict: the rules of the contract.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -116,8 +120,8 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_toxicity, op3_exact_topk, op4_sharding, op5_token_files, op6_language, op7_mixing,
-    op8_suffix_dedup, op9_simhash, op10_decontamination, op12_url_filter,
-    op13_whitening)}
+    op8_suffix_dedup, op9_simhash, op10_decontamination, op11_lexical_search,
+    op12_url_filter, op13_whitening)}
 
 
 def _words(text: str) -> str:
@@ -125,6 +129,11 @@ def _words(text: str) -> str:
             "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
 
 
+def _terms(text: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+            "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')")
+
+
 ORACLES = {
     "op3_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -134,6 +143,23 @@ ORACLES = {
           FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_lexical_search": f"""
+        WITH dt AS (SELECT row_number() OVER () AS row, doc_id, {_terms('text')} AS t FROM documents),
+        it AS (SELECT row_number() OVER () AS item, item_id, {_terms('text')} AS t FROM benchmark),
+        s AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM dt WHERE len(t) > 0),
+        tf AS (SELECT row, any_value(doc_id) AS doc_id, term, count(*) AS tf, any_value(n) AS n
+          FROM (SELECT row, doc_id, unnest(t) AS term, len(t) AS n FROM dt) GROUP BY row, term),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+          FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+        q AS (SELECT item, any_value(item_id) AS item_id, term, count(*) AS times
+          FROM (SELECT item, item_id, unnest(t) AS term FROM it) GROUP BY item, term),
+        r AS (SELECT item, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id,
+            sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+          FROM q JOIN w USING (term) JOIN tf USING (term), s GROUP BY item, row),
+        k AS (SELECT item_id, doc_id, score,
+            row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank
+          FROM r WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
     "op10_decontamination": f"""
         WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
         i AS (SELECT item_id::VARCHAR AS item, {_words('text')} AS w, least(len({_words('text')}), 13) AS n FROM benchmark),
