@@ -5,43 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepwright.functions.text import strip
-
-CORRUPT = "_corrupt_record"
-
-
-# Python's JSON reader takes no single quotes
-STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "columnNameOfCorruptRecord": CORRUPT}
-
-
-def read_json_arrays(spark: SparkSession, folder: str, schema: str, glob: str = "*.json") -> DataFrame:
-    """Records of all JSON array files directly in `folder`, with `source_file` and `idx`.
-
-    `idx` is the 1-based position in the file, given before any filter. An
-    undecodable file gives one row with only `_corrupt_record` set; see
-    `good_records` and `quarantined`. A file is parsed once and in one piece, as
-    its array is one value.
-    """
-    fields = T._parse_datatype_string(schema)
-    files = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).withColumns({
-        "source_file": F.col("_metadata.file_name")})
-    folders = [c for c in files.columns if c not in ("value", "source_file")]
-    parsed = files.select(*folders, "source_file", "value", _once(
-        F.from_json("value", T.ArrayType(fields), STRICT)).alias("_p"))
-    rows = parsed.select(
-        *folders, "source_file", F.when(F.col("_p._v").isNull(), F.col("value")).alias(CORRUPT),
-        F.posexplode_outer("_p._v").alias("_pos", "_r"))
-    return rows.where(F.col("_r").isNotNull() | F.col(CORRUPT).isNotNull()).select(
-        *folders, "source_file", (F.col("_pos") + 1).cast("bigint").alias("idx"), "_r.*", CORRUPT)
-
-
-def _once(value: Column) -> Column:
-    """A value as a generator's only row (`_v`): a filter on it isn't pushed below, which would compute it twice."""
-    return F.explode(F.array(F.struct(value.alias("_v"))))
+from stepwright.sources.json_arrays import CORRUPT, STRICT, once, read_json_arrays  # noqa: F401
 
 
 def good_records(scan: DataFrame) -> DataFrame:
@@ -59,7 +28,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
         F.col("_metadata.file_name").alias("source_file"), F.col("value")).where(
         strip(F.col("value")) != "")
     parsed = F.from_json("value", T._parse_datatype_string(schema).add(CORRUPT, "string"), STRICT)
-    return lines.select("source_file", _once(parsed).alias("r")).select("r._v.*", "source_file")
+    return lines.select("source_file", once(parsed).alias("r")).select("r._v.*", "source_file")
 
 
 def read_splits(spark: SparkSession, files: dict[str, str], schema: str) -> DataFrame:
@@ -91,7 +60,7 @@ def write_by_file(df: DataFrame, path: str, *by: str) -> None:
 def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 20000) -> None:
     """JSON array files of at most `rows_per_file` elements, one element per line.
 
-    A reader parses such a file in one piece, so files are kept small. Rows
+    Other readers parse such a file in one piece, so files are kept small. Rows
     stream through; one line is held back until it is known to be a file's last.
     """
     def as_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,0 +1,101 @@
+"""JSON arrays cut into small blocks, against Python's reader."""
+
+import json
+import random
+
+import pytest
+
+from stepwright.sources import json_files
+
+SCHEMA = "id bigint, text string, inner struct<a:array<bigint>,b:string>"
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are split every few bytes, and Arrow batches hold few pieces."""
+    names = {"spark.sql.files.maxPartitionBytes": "900", "spark.sql.files.openCostInBytes": "1",
+             "spark.sql.execution.arrow.maxRecordsPerBatch": "2"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def element(rng, i):
+    text = "".join(rng.choice(['{', '}', '[', ']', ',', '"', '\\', '\\"', ' ', 'ü', '\n', 'ab', '{"id":1},'])
+                   for _ in range(rng.randrange(40)))
+    return {"id": i, "text": text, "inner": {"a": list(range(rng.randrange(4))), "b": text[::-1]}}
+
+
+def read(spark, folder, schema=SCHEMA):
+    rows = json_files.read_json_arrays(spark, str(folder), schema).collect()
+    good = sorted((r.source_file, r.idx, r.id, r.text, r.inner and (r.inner.a, r.inner.b)) for r in rows
+                  if r[json_files.CORRUPT] is None)
+    bad = {}
+    for r in rows:
+        if r[json_files.CORRUPT] is not None:
+            bad.setdefault(r.source_file, []).append(r[json_files.CORRUPT])
+    return good, bad
+
+
+def test_blocks_give_what_the_whole_file_gives(spark, tmp_path, small_blocks):
+    rng = random.Random(5)
+    expected = []
+    for f in range(6):
+        rows = [element(rng, i) for i in range(rng.randrange(1, 30))]
+        if f == 5:
+            rows[0]["text"] = "{" * 900  # one element over many blocks
+        text = json.dumps(rows, indent=[None, 2][f % 2], ensure_ascii=f % 3 == 0)
+        (tmp_path / f"f{f}.json").write_text(" \n" * (f % 2) + text + "\n" * (f % 3))
+        expected += [(f"f{f}.json", n, r["id"], r["text"], (r["inner"]["a"], r["inner"]["b"]))
+                     for n, r in enumerate(rows, 1)]
+    good, bad = read(spark, tmp_path)
+    assert good == sorted(expected) and not bad
+
+
+WRONG = {
+    "cut.json": lambda t: t[:-3], "open.json": lambda t: t[:-1], "string.json": lambda t: t[:-1] + ',"a', "two.json": lambda t: t + t,
+    "behind.json": lambda t: t + " x", "before.json": lambda t: "x" + t, "object.json": lambda t: '{"id":1}',
+    "comma.json": lambda t: t[:-1] + ",]", "first.json": lambda t: "[," + t[1:], "middle.json": lambda t: t.replace("},", "},,", 1),
+    "blank.json": lambda t: " \n ", "quote.json": lambda t: t.replace('"id"', "'id'", 1),
+    "missing.json": lambda t: t.replace("},", "}", 1), "number.json": lambda t: "17", "nothing.json": lambda t: "{",
+    "closed.json": lambda t: "]" + t, "again.json": lambda t: t + "\n[]"}
+
+
+@pytest.mark.parametrize("split", [True, False])
+def test_wrong_files_are_kept_as_text(spark, tmp_path, request, split):
+    if split:
+        request.getfixturevalue("small_blocks")
+    text = json.dumps([{"id": i, "text": "t" * i, "inner": {"a": [i], "b": "{"}} for i in range(30)])
+    (tmp_path / "good.json").write_text(text)
+    (tmp_path / "none.json").write_text(" [ \n] ")
+    for name, change in WRONG.items():
+        (tmp_path / name).write_text(change(text))
+    good, bad = read(spark, tmp_path)
+    assert {g[0] for g in good} == {"good.json"} and [g[1] for g in good] == list(range(1, 31))
+    assert set(bad) == set(WRONG)
+    for name, change in WRONG.items():
+        # a brace that ends a file can't be told from none
+        assert sorted("".join(bad[name])) == sorted(change(text).removesuffix("{"))
+        assert len(bad[name]) > 1 or len(change(text)) < 1000 or not split
+
+
+def test_null_elements_are_counted_and_left_out(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[null, {"id": 5, "more": {"x": [1, {}]}}, {}, null]')
+    assert read(spark, tmp_path) == ([("a.json", 2, 5, None, None), ("a.json", 3, None, None, None)], {})
+
+
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    rows = [{"id": i, "text": "x" * 200, "inner": {"a": [], "b": ""}} for i in range(40_000)]
+    (tmp_path / "large.json").write_text(json.dumps(rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        scan = json_files.read_json_arrays(spark, str(tmp_path), SCHEMA)
+        found = scan.selectExpr("count(*) AS n", "count_if(idx - 1 = id) AS same", "max(length(text)) AS m").first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tuple(found) == (40_000, 40_000, 200)
+    assert scan.inputFiles() and len(scan.inputFiles()) >= 8  # the records were written by as many tasks
