@@ -119,3 +119,32 @@ def test_another_dictionary_is_refused(spark, small, tmp_path):
         token_files.read_dictionary(spark, path)
 
 
+
+
+def test_a_warm_cache_encodes_and_moves_no_text(spark, odd_docs, tmp_path, monkeypatch):
+    path = str(tmp_path / "cache")
+    first = rows_of(token_counts.count_tokens(odd_docs, BYTES, path), "doc_id", "n_tokens")
+
+    def never(*_):
+        raise AssertionError("nothing is missing")
+
+    monkeypatch.setattr(token_counts, "encode_misses", never)
+    again = token_counts.count_tokens(odd_docs, BYTES, path)
+    assert rows_of(again, "doc_id", "n_tokens") == first
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan
+    for line in plan.splitlines():  # the text is hashed in the scan and goes no further
+        if "Exchange" in line or "Join" in line:
+            assert "text#" not in line
+
+
+def test_a_full_map_and_few_misses_change_nothing(spark, odd_docs, tmp_path, monkeypatch):
+    wanted = rows_of(token_counts.count_tokens(odd_docs, BYTES, str(tmp_path / "one")), "doc_id", "n_tokens")
+    monkeypatch.setattr(token_counts, "MAP_BITS", 6)  # lets nearly all through
+    path = str(tmp_path / "two")
+    token_counts.count_tokens(odd_docs.where("doc_id > 8"), BYTES, path).collect()
+    found = token_counts.count_tokens(odd_docs.unionByName(odd_docs).repartition(5), BYTES, path)
+    assert rows_of(found, "doc_id", "n_tokens") == sorted(
+        wanted + wanted, key=lambda r: [(x is not None, x) for x in r])
+    table = spark.read.parquet(path)
+    assert table.count() == table.select("content").distinct().count()
