@@ -45,9 +45,11 @@ def words(text: Column) -> Column:
 
 def tag_text(raw: Column, tag: str) -> Column:
     """Text of the first `<tag>`; '' when missing, to the end when unclosed."""
-    inner = F.regexp_extract(raw, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|\z)", 1)
+    # all that follows the opening tag, cut at the closing one: a lazy run up to it would try both at each character
+    rest = F.regexp_extract(raw, rf"(?is)<{tag}(?:\s[^>]*)?>(.*)", 1)
+    inner = F.get(F.split(rest, rf"(?i)</{tag}\s*>", 2), F.lit(0))
     bare = F.regexp_replace(inner, r"</?[A-Za-z][^>]*>", "")
-    return F.coalesce(strip(unescape(bare)), F.lit(""))
+    return F.coalesce(bind(bare, lambda t: strip(unescape(t))), F.lit(""))
 
 
 def unescape(text: Column) -> Column:
@@ -58,15 +60,19 @@ def unescape(text: Column) -> Column:
     """
     names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
-    def decoded(piece: Column) -> Column:
-        name = F.regexp_extract(piece, r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z]+);", 1)
+    def numbered(code: Column) -> Column:
+        known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+    def character(name: Column) -> Column:
         code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10)).otherwise(
             F.substring(name, 2, 9)).try_cast("bigint")
-        known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
-        char = F.when(name.startswith("#"), F.when(known, F.decode(
-            F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))).otherwise(
-            F.try_element_at(names, name))
-        return F.coalesce(F.concat(char, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece))
+        return F.when(name.startswith("#"), bind(code, numbered)).otherwise(F.try_element_at(names, name))
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z]+);", 1)
+        return F.coalesce(
+            bind(name, lambda n: F.concat(character(n), F.substr(piece, F.length(n) + 2))), F.concat(F.lit("&"), piece))
 
     parts = F.split(text, "&", -1)
     whole = bind(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(
