@@ -99,11 +99,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str,
     text = normalise(F.col("text"))
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
                        _digest(text).alias("content"))
-    missing = rows.join(read_cache(spark, cache_path, known).select("content"), "content", "left_anti")
     # ids as text, so that a null id is an id like any other
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    chosen = written(missing.groupBy("content").agg(F.min(key).alias("key")).select(
-        "content", _slot(F.col("content"), F.col("key")).alias("slot")), "misses")
+    # copies combine before the join, which then has one row of each digest on either side
+    missing = rows.groupBy("content").agg(F.min(key).alias("key")).join(
+        read_cache(spark, cache_path, known).select("content"), "content", "left_anti")
+    chosen = written(missing.select("content", _slot(F.col("content"), F.col("key")).alias("slot")), "misses")
     words = _bit_map(chosen.select("slot"))
     if words is not None:
         texts = docs.select(_digest(text).alias("content"), key.alias("key"), text.alias("text")).select(
