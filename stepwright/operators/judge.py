@@ -28,14 +28,32 @@ def attach_templates(pairs: DataFrame, rubrics: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(checked_templates(rubrics)), "metric")
 
 
+# The word looked for in a metric's lower-cased answer.
+ANSWER_WORDS = {m: "no" if m == "helpful" else "yes" for m in METRICS}
+_LAST_REPLY = 1 << 61
+
+
+def holds_word() -> Column:
+    """Whether an answer holds its metric's word; not, for other metrics and null answers."""
+    said = F.lower("answer")
+    return F.coalesce(F.when(F.col("metric") == "helpful", said.contains(ANSWER_WORDS["helpful"])).when(
+        F.col("metric").isin(METRICS), said.contains(ANSWER_WORDS["violate"])), F.lit(False))
+
+
 def verdict_order(verdicts: DataFrame) -> Column:
-    """What decides between verdicts of one pair: the smallest `reply_no`, or without one the least hash."""
-    values = [c for c in ("answer", "explanation", "extract_pref") if c in verdicts.columns]
-    return F.col("reply_no").cast("bigint") if "reply_no" in verdicts.columns else F.xxhash64(*values)
+    """What decides first between verdicts of one pair, as one number: `reply_no`, doubled, plus `holds_word`.
+
+    So the smallest `reply_no` counts, one that is null or missing comes last, and of
+    equal ones an answer without the word counts. The number is odd if the answer that
+    counts holds the word: flags need its minimum only.
+    """
+    number = F.col("reply_no").cast("bigint") if "reply_no" in verdicts.columns else F.lit(None).cast("bigint")
+    last = F.lit(_LAST_REPLY)
+    return 2 * F.greatest(-last, F.least(F.coalesce(number, last), last)) + holds_word().cast("bigint")
 
 
 def first_verdicts(verdicts: DataFrame) -> DataFrame:
-    """One verdict for each (item_id, metric), the first by `verdict_order`.
+    """One verdict for each (item_id, metric), the first by `verdict_order`, then by the hash of its fields.
 
     Rows are dealt out by item, so that what groups by item next needs no other shuffle.
     """
@@ -133,10 +151,6 @@ def missing_metrics(answers: Column) -> Column:
     return F.array_except(F.array(*[F.lit(m) for m in METRICS]), F.map_keys(answers))
 
 
-# The word looked for in a metric's lower-cased answer.
-ANSWER_WORDS = {m: "no" if m == "helpful" else "yes" for m in METRICS}
-
-
 def taxonomy(said: dict[str, Column]) -> dict[str, Column]:
     """Error and quality flags from "the answer holds the metric's word" booleans."""
     ack, vio, unhelpful = said["acknow"], said["violate"], said["helpful"]
@@ -174,16 +188,15 @@ FLAGS = [
 def item_flags(verdicts: DataFrame, keys: list[str]) -> DataFrame:
     """Verdict rows to one row of flags per item.
 
-    Of repeated verdicts the first counts, by `verdict_order`; flags and order
-    are fixed-width, so they combine map-side. A row with a NULL metric only
-    says that the item exists; `judged` is false when an item has no others.
+    Of repeated verdicts the first counts, by `verdict_order`, of which the least
+    is kept: one number a metric, so it combines map-side. A row with a NULL metric
+    only says that the item exists; `judged` is false when an item has no others.
     """
     verdicts = verdicts.withColumn("_order", verdict_order(verdicts))
-    said = [F.min_by(F.lower("answer").contains(word).cast("int"), F.when(F.col("metric") == m, F.col("_order"))
-                     ).alias(f"_{m}") for m, word in ANSWER_WORDS.items()]
+    said = [F.min(F.when(F.col("metric") == m, F.col("_order"))).alias(f"_{m}") for m in METRICS]
     judged = F.max(F.col("metric").isNotNull()).alias("judged")
     wide = verdicts.groupBy(*keys).agg(judged, *said)
-    flags = taxonomy({m: F.coalesce(F.col(f"_{m}") == 1, F.lit(False)) for m in METRICS})
+    flags = taxonomy({m: F.coalesce(F.col(f"_{m}").bitwiseAND(1) == 1, F.lit(False)) for m in METRICS})
     return wide.select(*keys, "judged", *[c.alias(name) for name, c in flags.items()])
 
 

@@ -93,36 +93,46 @@ def clip_ratios(tokens: DataFrame, p: LossParams = LossParams()) -> DataFrame:
 
 
 def entropy_thresholds(tokens: DataFrame, quantile: float, bin_width: float = 2.0 ** -10) -> DataFrame:
-    """Exact interpolated entropy quantile of the unmasked tokens of each batch.
+    """Exact interpolated entropy quantile of the unmasked tokens of each batch; entropies that are NaN don't count.
 
     Cells of fixed width are counted, which combines before the shuffle, to find
-    those that hold the two ranks the quantile falls between. These cells are cut
-    into 2^14 finer ones and counted again, twice; only the values left in the
-    last cells are ranked one by one, so values that crowd near zero, as those of
-    a trained model do, are no single group.
+    those that hold the two ranks the quantile falls between. Only their values are
+    read again: these cells are cut into 2^14 finer ones, twice, and what is left in
+    the last cells is ranked one by one, so values that crowd near zero, as those of
+    a trained model do, are no single group. All tokens are read twice, and only
+    those of the first cells leave their task.
     """
-    values = written(tokens.where(F.col("mask") == 1).select("batch_id", "entropy"), "entropies")
+    values = written(tokens.where((F.col("mask") == 1) & F.col("entropy").isNotNull() & ~F.isnan("entropy")).select(
+        "batch_id", "entropy"), "entropies")
     lower, upper = F.floor("rank"), F.ceil("rank")
 
-    def cell(width: float) -> Column:
-        return F.floor(F.col("entropy") / F.lit(width))
+    def holds(r: Column) -> Column:
+        return (F.col("before") <= r) & (r < F.col("before") + F.col("n"))
 
-    wanted = values.groupBy("batch_id").agg(
-        ((F.count("entropy") - 1) * F.lit(quantile)).alias("rank"), F.lit(0).cast("bigint").alias("before"))
-    key, inside = ["batch_id"], values
-    for width in (bin_width, bin_width * 2.0 ** -14, bin_width * 2.0 ** -28):
-        counts = inside.join(wanted, key).groupBy(*key, "rank", "before", cell(width).alias("cell_")).agg(
-            F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy(*key).orderBy("cell_").rowsBetween(Window.unboundedPreceding, 0))
-        found = counts.withColumn("before", F.col("before") + upto - F.col("n")).select(
-            "batch_id", F.col("cell_").alias("cell"), "before", "n", "rank")
+    def chosen(counts: DataFrame, *key: str) -> DataFrame:
+        """Of the counted cells within `key` those that hold a wanted rank, and how many values come before each."""
+        upto = F.sum("n").over(Window.partitionBy(*key).orderBy("finer").rowsBetween(Window.unboundedPreceding, 0))
+        found = counts.withColumn("before", F.col("before") + upto - F.col("n"))
+        return written(found.where(holds(lower) | holds(upper)).select(
+            "batch_id", F.col("finer").alias("cell"), "before", "rank"), "cells")
+
+    def inside_of(values: DataFrame, cells: DataFrame, width: float) -> DataFrame:
+        cell = F.floor(F.col("entropy") / F.lit(width))
+        return written(values.select("batch_id", "entropy", cell.alias("cell")).join(cells, ["batch_id", "cell"]), "inside")
 
-        def holds(r: Column) -> Column:
-            return (F.col("before") <= r) & (r < F.col("before") + F.col("n"))
+    def counted(values: DataFrame, width: float, *key: str) -> DataFrame:
+        return values.groupBy(*key, F.floor(F.col("entropy") / F.lit(width)).alias("finer")).agg(
+            F.count(F.lit(1)).alias("n"))
 
-        wanted = written(found.where(holds(lower) | holds(upper)).drop("n"), "cells")
-        key, inside = ["batch_id", "cell"], values.withColumn("cell", cell(width))
-    same = inside.join(wanted, key).groupBy(*key, "rank", "before", "entropy").agg(F.count(F.lit(1)).alias("n"))
+    first = written(counted(values, bin_width, "batch_id"), "cell-counts")
+    ranks = first.groupBy("batch_id").agg(
+        ((F.sum("n") - 1) * F.lit(quantile)).alias("rank"), F.lit(0).cast("bigint").alias("before"))
+    inside = inside_of(values, chosen(first.join(ranks, "batch_id"), "batch_id"), bin_width)
+    key = ["batch_id", "cell"]
+    for width in (bin_width * 2.0 ** -14, bin_width * 2.0 ** -28):
+        cells = chosen(counted(inside, width, *key, "rank", "before"), *key)
+        inside = inside_of(inside, cells, width)
+    same = inside.groupBy(*key, "rank", "before", "entropy").agg(F.count(F.lit(1)).alias("n"))
     ranked = same.withColumn("last", F.col("before") - 1 + F.sum("n").over(
         Window.partitionBy(*key).orderBy("entropy").rowsBetween(Window.unboundedPreceding, 0)))
     at_lower = F.min(F.when(F.col("last") >= lower, F.col("entropy")))
@@ -133,8 +143,8 @@ def entropy_thresholds(tokens: DataFrame, quantile: float, bin_width: float = 2.
 
 
 def with_entropy_mask(tokens: DataFrame, top_quantile: float) -> DataFrame:
-    """Mark the unmasked tokens at or above the (1 - top_quantile) entropy quantile."""
+    """Mark the unmasked tokens at or above the (1 - top_quantile) entropy quantile; an entropy of NaN is never marked."""
     thresholds = entropy_thresholds(tokens, 1 - top_quantile)
     joined = tokens.join(thresholds, "batch_id", "left")
-    keep = (F.col("mask") == 1) & (F.col("entropy") >= F.col("threshold"))
+    keep = (F.col("mask") == 1) & (F.col("entropy") >= F.col("threshold")) & ~F.isnan("entropy")
     return joined.withColumn("entropy_mask", F.coalesce(keep, F.lit(False)).cast("int"))

@@ -12,14 +12,14 @@ def ingest_replies(requests: DataFrame, replies: DataFrame, keys: list[str]) ->
     """Requests with their reply text as `raw`, '' where none can be read.
 
     `replies` has a JSON `body` per request: a chat reply or a completion. Of
-    repeated replies one counts: a readable one first, then the smallest
-    `reply_no`, or without that column the least hash.
+    repeated replies one counts: a readable one first, then the smallest `reply_no`
+    (a null one comes last), then the least hash.
     """
     first = F.get(F.from_json("body", CHAT_REPLY)["choices"], F.lit(0))
     number = F.col("reply_no").cast("bigint") if "reply_no" in replies.columns else F.xxhash64("body")
     texts = replies.select(*keys, number.alias("_order"),
                            F.coalesce(first["message"]["content"], first["text"]).alias("raw"))
-    order = Window.partitionBy(*keys).orderBy(F.col("raw").isNull(), "_order", F.xxhash64("raw"))
+    order = Window.partitionBy(*keys).orderBy(F.col("raw").isNull(), F.asc_nulls_last("_order"), F.xxhash64("raw"))
     one = texts.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*keys, "raw")
     return requests.join(one, keys, "left").fillna("", ["raw"])
 

@@ -148,6 +148,30 @@ REPEATED = [
 NUMBERED = ("item_id bigint, metric string, reply_no bigint, answer string, explanation string, extract_pref string")
 
 
+def test_missing_and_equal_reply_numbers_follow_one_rule(spark, tmp_path):
+    rows = [(1, "helpful", None, "No", "a", None), (1, "helpful", 5, "Yes", "b", None)]
+    answers = ["Yes", "No", None, "no way", "yes!"]
+    rows += [(i, m, 3, answers[(i + k) % 5], f"e{k}", "p") for i in range(2, 42) for m in ("helpful", "violate", "acknow")
+             for k in range(3)]
+    rows += [(50, "violate", None, a, None, None) for a in ("Yes", "No")]
+    df = spark.createDataFrame(rows, "item_id int, metric string, reply_no int, answer string, explanation string, "
+                                     "extract_pref string")
+    for table in (df.repartition(7), df.orderBy(F.desc("answer")).coalesce(1), df.orderBy("answer")):
+        flags = {r.item_id: r for r in judge.item_flags(table, ["item_id"]).collect()}
+        pivot = {r.item_id: r for r in judge.verdict_pivot(table).collect()}
+        records = {r.item_id: r.verdicts for r in judge.verdict_records(table).collect()}
+        assert pivot[1].helpful == "Yes" and not flags[1].error_unhelpful
+        assert pivot[50].violate == "No" and not flags[50].violation
+        for i in range(2, 42):
+            said = {m: (pivot[i][m] or "").lower() for m in ("helpful", "violate", "acknow")}
+            assert all(records[i][m].answer == pivot[i][m] for m in said)
+            assert flags[i].error_unhelpful == ("no" in said["helpful"])
+            assert flags[i].violation == ("yes" in said["violate"])
+            assert flags[i].acknowledgement == ("yes" in said["acknow"])
+            # of equal numbers an answer without the word counts
+            assert "no" not in said["helpful"] and "yes" not in said["violate"]
+
+
 def test_one_rule_for_repeated_verdicts(spark, tmp_path):
     df = spark.createDataFrame(REPEATED, NUMBERED)
     wide = {r.item_id: r for r in judge.verdict_pivot(df).collect()}[1]

@@ -159,6 +159,14 @@ def quantile(values, q):
     return values[low] + (values[math.ceil(at)] - values[low]) * (at - low)
 
 
+def test_nan_entropies_don_t_count_and_are_not_marked(spark):
+    rows = [(1, i, 1, float(i)) for i in (1, 2, 3, 4)] + [(1, 5, 1, float("nan")), (1, 6, 0, 9.0), (2, 1, 1, float("nan"))]
+    tokens = spark.createDataFrame(rows, "batch_id int, place int, mask int, entropy double")
+    assert [tuple(r) for r in loss.entropy_thresholds(tokens, 0.75).collect()] == [(1, 3.25)]
+    marked = {(r.batch_id, r.place) for r in loss.with_entropy_mask(tokens, 0.25).where("entropy_mask = 1").collect()}
+    assert marked == {(1, 4)}
+
+
 @pytest.mark.parametrize("width", [2.0 ** -10, 1.0, 100.0])
 def test_entropy_threshold_is_the_exact_quantile(spark, width):
     rows = make_tokens()
