@@ -12,7 +12,7 @@ from stepwright.plans import inputs
 from stepwright.plans import oracle_inputs as sql
 from stepwright.sources.tables import table_stream
 from stepwright.sources.workspace import new_path
-from stepwright.streaming import rollup, verdicts
+from stepwright.streaming import intervals, rollup, verdicts
 
 
 def settled(mean: Column, points: Column) -> Column:
@@ -64,13 +64,34 @@ def streaming_metric_rollup(spark: SparkSession, sf: str) -> DataFrame:
         settled(F.col("value"), F.col("points")).alias("value"), "points")
 
 
+def streaming_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """The means per logging interval from a stream of two files of points, cut in the middle of intervals.
+
+    The query ends and starts again between the files; the second also has points of
+    steps long gone by.
+    """
+    source, target, checkpoint = (new_path(spark, n) for n in ("points", "intervals", "intervals-progress"))
+    points = inputs.metric_points(spark, sf).select("mode", "step", "metric", "value")
+    late = F.col("step") % 100 == 7
+    middle = points.agg(F.floor(F.avg("step"))).first()[0]
+    for part in ((F.col("step") <= middle) & ~late, (F.col("step") > middle) | late):
+        points.where(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(points.schema).parquet(source)
+        intervals.stream_intervals(stream, target, checkpoint).awaitTermination()
+    return intervals.read_intervals(spark, target).select(
+        "mode", "interval", "metric", settled(F.col("value"), F.col("points")).alias("value"), "points")
+
+
 QUERIES = {f.__name__: f for f in (
-    metric_rollup, tokens_seen, incremental_verdicts, streaming_metric_rollup)}
+    metric_rollup, tokens_seen, incremental_verdicts, streaming_metric_rollup, streaming_intervals)}
 
 ORACLES = {
     "metric_rollup": f"""WITH {sql.POINTS}
         SELECT mode, step // 8 AS interval, CASE WHEN mode = 'eval' THEN 'eval_' || metric ELSE metric END AS metric,
           round(round(avg(value) * count(value), 4) / count(value), 6) AS value, count(value) AS points FROM points GROUP BY ALL""",
+    "streaming_intervals": f"""WITH {sql.POINTS}
+        SELECT mode, step // 8 AS interval, CASE WHEN mode = 'eval' THEN 'eval_' || metric ELSE metric END AS metric,
+          round(round(avg(value) * count(value), 4) / count(value), 6) AS value, count(value) AS points FROM points GROUP BY ALL""",
     "tokens_seen": f"""WITH t AS (
           SELECT doc_id // 32 AS step, sum(len({sql.words('text')}))::BIGINT AS tokens FROM documents
           WHERE lang <> 'de' GROUP BY ALL)

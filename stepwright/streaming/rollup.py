@@ -15,7 +15,7 @@ def windowed_means(points: DataFrame, width: str = "1 hour") -> DataFrame:
         F.col("w.start").alias("window_start"), "metric", "value", "points")
 
 
-def _run_of(spark: SparkSession, table: str, query_id: str) -> str:
+def run_of(spark: SparkSession, table: str, query_id: str) -> str:
     """The folder name of a query's run: a number that grows with each new query, and the query's id."""
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -37,7 +37,7 @@ def stream_rollup(points: DataFrame, table: str, checkpoint: str,
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        run = _run_of(spark, table, spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        run = run_of(spark, table, spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
         batch.write.mode("overwrite").parquet(f"{table}/{run}/batch_id={batch_id}")
 
     query = (rolled.writeStream.outputMode("update").foreachBatch(keep)
