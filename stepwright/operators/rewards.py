@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.functions.arrays import bind
+from stepwright.functions.arrays import as_rows, bind
 from stepwright.functions.steps import MAX_STEPS, with_completion_steps
 from stepwright.functions.text import words
 from stepwright.functions.tokens import eos_mask, find_framed, framed_size, framed_text
@@ -71,19 +71,47 @@ def token_rewarded(completions: DataFrame, scores: DataFrame, eos: str) -> DataF
         eos_mask(words(F.col("completion")), F.lit(eos)).alias("mask"))
 
 
+def span_rows(completions: DataFrame, scores: DataFrame) -> DataFrame:
+    """(keys, step_no, first, after, score): a row for each scored step whose tokens occur in its completion."""
+    split = with_completion_steps(with_scores(completions, scores), "completion").withColumn(
+        "scores", aligned_scores(F.col("steps"), F.col("scores"))).withColumn("frame", framed_text(F.col("completion")))
+    spans = step_spans(F.col("frame"), F.transform("steps", framed_text), F.col("scores"), numbered=True)
+    return split.select(*COMPLETION, F.explode(as_rows(spans)).alias("s")).select(*COMPLETION, "s.*")
+
+
+def token_rewards_by_rows(tokens: DataFrame, spans: DataFrame, keys: list[str], block: int = 4096) -> DataFrame:
+    """Token rows (keys, pos) with the score of the last span (keys, step_no, first, after, score) over each, else 0.0.
+
+    For completions whose tokens don't fit in a row. The range join pos >= first and
+    pos < after is one on blocks of positions: a token is in one block, a span in all
+    that it reaches into, so a long completion, or one with many spans, is dealt out
+    over tasks. What decides between spans stays in the block, without another shuffle.
+    Tokens with a null key meet no span.
+    """
+    blocks = F.sequence(F.floor(F.col("first") / block), F.floor((F.col("after") - 1) / block))
+    reached = spans.where("after > first").select(*keys, "step_no", "first", "after", "score", F.explode(blocks).alias("_block"))
+    placed = tokens.withColumn("_block", F.floor(F.col("pos") / block))
+    same = [placed[k] == reached[k] for k in [*keys, "_block"]]
+    covered = (placed["pos"] >= reached["first"]) & (placed["pos"] < reached["after"])
+    met = placed.join(reached, [*same, covered], "left").select(*[placed[c] for c in placed.columns], "step_no", "score")
+    return met.groupBy(*keys, "_block", "pos").agg(
+        F.coalesce(F.max_by("score", "step_no"), F.lit(0.0)).alias("reward")).drop("_block")
+
+
 def aligned_scores(steps: Column, scores: Column) -> Column:
     """One score per step, 0.0 where none came back."""
     return F.transform(steps, lambda _, i: F.coalesce(F.get(scores, i), F.lit(0.0)))
 
 
-def step_spans(completion: Column, steps: Column, scores: Column) -> Column:
-    """(first, after, score) of each step whose tokens occur in the completion.
+def step_spans(completion: Column, steps: Column, scores: Column, numbered: bool = False) -> Column:
+    """(first, after, score) of each step whose tokens occur in the completion, and its number from 0 if `numbered`.
 
     `completion` is framed text, `steps` an array of framed texts.
     """
     def span(step: Column, i: Column) -> Column:
+        number = [i.alias("step_no")] if numbered else []
         return bind(find_framed(completion, step), lambda first: F.struct(
-            first.alias("first"), (first + framed_size(step)).alias("after"), F.get(scores, i).alias("score")))
+            *number, first.alias("first"), (first + framed_size(step)).alias("after"), F.get(scores, i).alias("score")))
 
     return F.filter(F.transform(steps, span), lambda s: s["first"] >= 0)
 

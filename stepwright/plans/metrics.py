@@ -54,6 +54,15 @@ def incremental_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.read_verdicts(spark, target)
 
 
+def compacted_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same table rewritten with one verdict a pair, and the batches that the rewrite holds deleted."""
+    target, checkpoint = new_path(spark, "verdicts"), new_path(spark, "verdicts-progress")
+    verdicts.ingest_verdicts(_reply_stream(spark, sf), target, checkpoint)
+    verdicts.compact_verdicts(spark, target)
+    verdicts.remove_compacted(spark, target)
+    return verdicts.read_verdicts(spark, target)
+
+
 def streaming_metric_rollup(spark: SparkSession, sf: str) -> DataFrame:
     target, checkpoint = new_path(spark, "rollup"), new_path(spark, "rollup-progress")
     points = table_stream(spark, sf, "events").select(
@@ -83,7 +92,7 @@ def streaming_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    metric_rollup, tokens_seen, incremental_verdicts, streaming_metric_rollup, streaming_intervals)}
+    metric_rollup, tokens_seen, incremental_verdicts, compacted_verdicts, streaming_metric_rollup, streaming_intervals)}
 
 ORACLES = {
     "metric_rollup": f"""WITH {sql.POINTS}
@@ -98,6 +107,8 @@ ORACLES = {
         SELECT step, tokens, sum(tokens) OVER (ORDER BY step)::BIGINT AS tokens_seen FROM t""",
     "incremental_verdicts": f"""WITH {sql.VERDICTS}
         SELECT item_id, metric, answer, explanation, extract_pref FROM verdicts""",
+    "compacted_verdicts": f"""WITH {sql.VERDICTS}
+        SELECT item_id, metric, answer, explanation, extract_pref FROM verdicts""",
     "streaming_metric_rollup": """
         SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS metric,
           round(round(avg(value) * count(value), 4) / count(value), 6) AS value, count(value) AS points FROM events GROUP BY ALL""",

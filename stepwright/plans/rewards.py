@@ -98,6 +98,15 @@ def token_span_reward(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.rewarded(spark, sf).select(*KEYS, F.array_join(tenths, ",").alias("rewards"))
 
 
+def token_span_reward_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for tokens that are rows: a range join of tokens and spans."""
+    completions = inputs.completions(spark, sf)
+    tokens = completions.select(*KEYS, F.posexplode(words(F.col("completion"))).alias("pos", "token")).drop("token")
+    spans = rewards.span_rows(completions, parse_score(spark, sf))
+    return rewards.token_rewards_by_rows(tokens, spans, KEYS).select(
+        *KEYS, "pos", F.round(F.col("reward") * 10).cast("bigint").alias("tenths"))
+
+
 def dense_token_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Per completion: the padded length and a position-weighted sum over the grid."""
     dense = rewards.dense_rewards(inputs.rollouts(spark, sf))
@@ -211,7 +220,7 @@ def audit_metric_points(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     entropy_masked_loss, critique_requests, scored_rollouts, audit_metric_points, parse_score, split_completion_steps, tail_truncate, strip_repeat_tokens, eos_mask, mask_truncated,
     find_subsequence, replicate_generations, step_scores_default, completion_avg_score, token_span_reward,
-    dense_token_grid, group_advantage, completion_mean_reward, rollout_log, reward_stats, zero_std_fraction,
+    token_span_reward_rows, dense_token_grid, group_advantage, completion_mean_reward, rollout_log, reward_stats, zero_std_fraction,
     completion_length_stats, policy_loss_audit, kl_stats, entropy_stats, clip_ratios, high_entropy_mask)}
 
 MASK_SQL = """array_to_string(list_transform(range(len(tokens)), lambda i:
@@ -255,6 +264,8 @@ ORACLES = {
     "token_span_reward": f"""WITH {sql.REWARDS}
         SELECT prompt_id, gen, string_agg(round(reward * 10)::BIGINT::VARCHAR, ',' ORDER BY pos) AS rewards
         FROM rewards GROUP BY prompt_id, gen""",
+    "token_span_reward_rows": f"""WITH {sql.REWARDS}
+        SELECT prompt_id, gen, pos, round(reward * 10)::BIGINT AS tenths FROM rewards""",
     "dense_token_grid": f"""WITH {sql.GRID}
         SELECT batch_id, prompt_id, gen, count(*) AS cells, round(sum(reward * (pos + 1)), 6) AS weighted
         FROM grid GROUP BY ALL""",

@@ -225,3 +225,33 @@ def test_nan_shards_are_skipped(spark):
     got = {r.batch_id: (r.mean, r.top) for r in
            loss.across_shards(df, {"mean": ("v", "mean"), "top": ("v", "max")}).collect()}
     assert got == {1: (0.5, 0.5), 2: (None, None)}
+
+
+def test_token_rows_get_the_reward_of_the_last_span(spark):
+    rng = random.Random(4)
+    sizes = {(1, 0): 500, (1, 1): 3, (2, 0): 0, (3, 0): 120, (None, 0): 40}
+    spans = [(*k, n, a, b, rng.random()) for k, size in sizes.items() for n in range(25)
+             for a, b in [sorted((rng.randrange(size + 1), rng.randrange(size + 1)))]]
+    spans += [(9, 9, 0, 0, 4, 1.0), (3, 0, 30, 5, 10**6, 0.5)]  # no tokens, and a span that goes past the end
+    expected = {(*k, pos): next((s[5] for s in sorted(spans, key=lambda s: -s[2]) if s[:2] == k and None not in k and s[3] <= pos < s[4]), 0.0)
+                for k, size in sizes.items() for pos in range(size)}
+    tokens = spark.createDataFrame(list(expected), "prompt_id int, gen int, pos int").repartition(5)
+    table = spark.createDataFrame(spans, "prompt_id int, gen int, step_no int, first int, after int, score double")
+    for block in (1, 7, 4096):
+        found = rewards.token_rewards_by_rows(tokens, table, ["prompt_id", "gen"], block).collect()
+        assert len(found) == len(expected)
+        assert {tuple(r)[:3]: r.reward for r in found} == expected
+
+
+def test_rows_of_a_join_are_grouped_where_they_are(spark):
+    tokens = spark.range(1000).selectExpr("id % 3 AS prompt_id", "id % 2 AS gen", "id AS pos")
+    spans = spark.range(1000).selectExpr("id % 3 AS prompt_id", "id % 2 AS gen", "id AS step_no", "id AS first", "id + 3 AS after",
+                                         "1.0D AS score")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rewards.token_rewards_by_rows(
+            tokens, spans, ["prompt_id", "gen"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from stepwright.operators.judge import parse_verdicts
@@ -18,7 +19,7 @@ def ingest(spark, tmp_path, progress="progress"):
     stream = spark.readStream.schema(REPLY).parquet(str(tmp_path / "in"))
     verdicts.ingest_verdicts(stream, str(tmp_path / "table"), str(tmp_path / progress))
     rows = verdicts.read_verdicts(spark, str(tmp_path / "table")).collect()
-    return sorted((r.item_id, r.metric, r.answer) for r in rows)
+    return sorted(((r.item_id, r.metric, r.answer) for r in rows), key=lambda r: (r[0] is not None, r))
 
 
 def test_first_verdict_stays(spark, tmp_path):
@@ -44,6 +45,68 @@ def test_a_hot_pair_leaves_one_verdict_and_equals_the_batch(spark, tmp_path):
     assert got == sorted(map(tuple, batch)) and len(got) == 11
 
 
+def test_a_rewritten_table_reads_the_same(spark, tmp_path, monkeypatch):
+    folder, table = str(tmp_path / "in"), str(tmp_path / "table")
+    rows = [(i, m, 10 * i + n, f"<answer>{i} {n}</answer>") for i in range(6) for m in ("helpful", "violate") for n in (2, 1)]
+
+    def read():
+        return sorted(read_all(spark, table))
+
+    add_file(spark, folder, rows, REPLY)
+    ingest(spark, tmp_path)
+    before = read()
+    assert len(before) == 12 and all(r[2] == f"{r[0]} 1" for r in before)
+    # a rewrite that fails before its end leaves what there was
+    with monkeypatch.context() as m:
+        m.setattr(verdicts, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            verdicts.compact_verdicts(spark, table)
+    assert read() == before
+    assert verdicts.compact_verdicts(spark, table) == 1
+    assert read() == before
+    # pairs that come again, with smaller and larger numbers, and new ones
+    add_file(spark, folder, [(1, "helpful", 0, "<answer>first</answer>"), (2, "helpful", 99, "<answer>late</answer>"),
+                             (7, "violate", 5, "<answer>new</answer>"), (None, "violate", 5, "<answer>null</answer>")], REPLY)
+    ingest(spark, tmp_path)
+    after = {r[:2]: r[2] for r in read_all(spark, table)}
+    assert after[1, "helpful"] == "first" and after[2, "helpful"] == "2 1" and after[7, "violate"] == "new"
+    assert len(after) == 14
+    assert verdicts.compact_verdicts(spark, table) == 2
+    assert {r[:2]: r[2] for r in read_all(spark, table)} == after
+    # the failed rewrite, the first one with its record, and both batches
+    assert verdicts.remove_compacted(spark, table) == 5
+    assert {r[:2]: r[2] for r in read_all(spark, table)} == after
+    # a query that lost its progress reads all again and changes nothing
+    ingest(spark, tmp_path, "progress2")
+    assert {r[:2]: r[2] for r in read_all(spark, table)} == after
+
+
+def read_all(spark, table):
+    return [tuple(r) for r in verdicts.read_verdicts(spark, table).collect()]
+
+
+def test_rewritten_rows_are_not_sorted_again(spark, tmp_path):
+    add_file(spark, str(tmp_path / "in"), [(i, "helpful", i, "<answer>No</answer>") for i in range(50)], REPLY)
+    ingest(spark, tmp_path)
+    verdicts.compact_verdicts(spark, str(tmp_path / "table"))
+    plan = verdicts.read_verdicts(spark, str(tmp_path / "table"))._jdf.queryExecution().executedPlan().toString()
+    untouched = plan[plan.index("Union"):plan.index("Window")]
+    assert "LeftAnti" in untouched and "Sort" not in untouched.split("Project")[1]
+
+
+def test_repeated_deliveries_are_dropped_by_the_stream(spark, tmp_path):
+    timed = "ts timestamp, " + REPLY
+    moment = datetime(2024, 1, 1)
+    rows = [(moment, 1, "helpful", 1, "<answer>No</answer>")] * 40 + [(moment, 1, "helpful", 0, "<answer>Yes</answer>")]
+    add_file(spark, str(tmp_path / "in"), rows, timed)
+    for _ in range(2):
+        stream = spark.readStream.schema(timed).parquet(str(tmp_path / "in"))
+        verdicts.ingest_verdicts(stream, str(tmp_path / "table"), str(tmp_path / "progress"), within="1 hour")
+        add_file(spark, str(tmp_path / "in"), rows, timed)
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+    assert [r[2] for r in read_all(spark, str(tmp_path / "table"))] == ["Yes"]
+
+
 POINT = "ts timestamp, metric string, value double"
 
 
