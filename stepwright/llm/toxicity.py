@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -106,8 +108,16 @@ class Matcher:
                 spared.append((start, end))
             elif start not in found or found[start][0] < length:
                 found[start] = (length, weight)
-        return [(start, weight) for start, (_, weight) in found.items()
-                if not any(a <= start < b for a, b in spared)]
+        if not spared:
+            return [(start, weight) for start, (_, weight) in found.items()]
+        spared.sort()
+        begins, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+
+        def covered(start: int) -> bool:
+            before = bisect_right(begins, start)
+            return before > 0 and start < reach[before - 1]
+
+        return [(start, weight) for start, (_, weight) in found.items() if not covered(start)]
 
     def density(self, words: list[str]) -> tuple[float, int]:
         """log(1 + 1000 * weights / words), and the number of hits."""
@@ -207,9 +217,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         lexicon = Lexicon(entries)
 
         def around(words: list[str], matcher: Matcher = lexicon.matcher()) -> set[str]:
-            line, out = f" {' '.join(words)} ", set()
-            for start, _ in matcher.hits(words):
-                i = line.count(" ", 0, start)
+            line, out, i, last = f" {' '.join(words)} ", set(), 0, 0
+            for start in sorted(start for start, _ in matcher.hits(words)):
+                i, last = i + line.count(" ", last, start), start
                 out.add(words[i])
                 out.update(" ".join(p) for p in (words[i - 1:i + 1], words[i:i + 2]) if len(p) == 2)
             return out

@@ -1,5 +1,8 @@
 """Toxicity, language and mixing: held-out accuracy, odd rows, targets met."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +168,33 @@ def test_copies_have_the_rate_as_mean(spark):
     found = {r[0]: r[1] for r in df.groupBy("n").count().collect()}
     assert set(found) == {1, 2} and abs(found[2] / 20_000 - 0.3) < 0.02
     assert odd(spark).select(mixing.copies(F.lit(0.0), F.col("doc_id"), F.col("text")).alias("n")).distinct().collect()[0].n == 0
+
+
+def plain_hits(lexicon, words):
+    """Every place of the line against every entry and exception."""
+    line = f" {' '.join(words)} "
+    out = {}
+    for at in range(len(line)):
+        best = max((e for e in lexicon.entries if line.startswith(e, at)), key=len, default=None)
+        if best is not None:
+            out[at] = lexicon.entries[best]
+    spans = [(at, at + len(e) + 1) for e in lexicon.exceptions for at in range(len(line)) if line.startswith(f" {e} ", at)]
+    return sorted((at, w) for at, w in out.items() if not any(a <= at < b for a, b in spans))
+
+
+def test_matcher_equals_a_plain_one():
+    rng = random.Random(1)
+    lexicon = toxicity.Lexicon({" bad ": 1.0, " badl": 2.0, " vile ": 3.0, " vi": 0.5, " x ": 4.0},
+                               ["not bad", "bad vile bad", "vim", "x x"])
+    matcher = lexicon.matcher()
+    for _ in range(300):
+        words = [rng.choice(["bad", "badly", "vile", "vim", "x", "not", "good"]) for _ in range(rng.randrange(14))]
+        assert sorted(matcher.hits(words)) == plain_hits(lexicon, words)
+
+
+def test_many_hits_and_exceptions_take_linear_time():
+    lexicon = toxicity.Lexicon({" bad ": 1.0}, ["not bad"])
+    words = ["bad", "bad", "not", "bad"] * 50_000
+    start = time.process_time()
+    assert len(lexicon.matcher().hits(words)) == 100_000
+    assert time.process_time() - start < 3
