@@ -118,7 +118,7 @@ def entropy_thresholds(tokens: DataFrame, quantile: float, bin_width: float = 2.
 
     def inside_of(values: DataFrame, cells: DataFrame, width: float) -> DataFrame:
         cell = F.floor(F.col("entropy") / F.lit(width))
-        return written(values.select("batch_id", "entropy", cell.alias("cell")).join(cells, ["batch_id", "cell"]), "inside")
+        return values.select("batch_id", "entropy", cell.alias("cell")).join(cells, ["batch_id", "cell"])
 
     def counted(values: DataFrame, width: float, *key: str) -> DataFrame:
         return values.groupBy(*key, F.floor(F.col("entropy") / F.lit(width)).alias("finer")).agg(
@@ -127,7 +127,7 @@ def entropy_thresholds(tokens: DataFrame, quantile: float, bin_width: float = 2.
     first = written(counted(values, bin_width, "batch_id"), "cell-counts")
     ranks = first.groupBy("batch_id").agg(
         ((F.sum("n") - 1) * F.lit(quantile)).alias("rank"), F.lit(0).cast("bigint").alias("before"))
-    inside = inside_of(values, chosen(first.join(ranks, "batch_id"), "batch_id"), bin_width)
+    inside = written(inside_of(values, chosen(first.join(ranks, "batch_id"), "batch_id"), bin_width), "inside")
     key = ["batch_id", "cell"]
     for width in (bin_width * 2.0 ** -14, bin_width * 2.0 ** -28):
         cells = chosen(counted(inside, width, *key, "rank", "before"), *key)
