@@ -10,12 +10,13 @@ Blocks of a part, and parts, are in ascending order of ids. To read one document
 only its frame is decompressed: `Reader.get`.
 
 Frames hold little-endian ids of the tokenizer, each document closed by `end_id`.
-The dictionary is trained on the serialized ids of at most SAMPLE_DOCS documents,
-SAMPLE_IDS ids each; where they are too few to train on, frames stand without a
+The dictionary is trained on the serialized ids of at most SAMPLE_DOCS documents:
+all ids of those with up to SAMPLE_IDS, of longer ones so many in pieces taken at
+even distances from beginning to end; where they are too few to train on, frames stand without a
 dictionary and its sha256 is that of no bytes.
 
 Nulls and odd rows: a null text has the end id only; null ids come first; equal
-ids are put in order of their text. An empty table gives a folder without blocks.
+ids are put in order of a hash of their text. An empty table gives a folder without blocks.
 Columns other than id and text are not read.
 """
 
@@ -37,6 +38,7 @@ from stepwright.llm.tokens import encoder
 BLOCK_BYTES = 1 << 18
 SAMPLE_DOCS = 512
 SAMPLE_IDS = 4096
+PIECE_IDS = 256
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
 
@@ -61,6 +63,14 @@ def _encoded(text: str | None, path: str, end_id: int) -> np.ndarray:
     return np.append(ids, np.uint32(end_id))
 
 
+def _sample(ids: np.ndarray) -> np.ndarray:
+    """All of a document's ids, or pieces spread evenly over the whole of it."""
+    if len(ids) <= SAMPLE_IDS:
+        return ids
+    begins = np.linspace(0, len(ids) - PIECE_IDS, SAMPLE_IDS // PIECE_IDS).astype(np.int64)
+    return ids[begins[:, None] + np.arange(PIECE_IDS)].ravel()
+
+
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """Dictionary from a bounded sample, the documents whose hashed ids are least; b'' if it is too small."""
     width = _width(path, end_id)
@@ -69,7 +79,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [serialise(_encoded(t.as_py(), path, end_id)[:SAMPLE_IDS], width) for t in b["text"]]
+            raw = [serialise(_sample(_encoded(t.as_py(), path, end_id)), width) for t in b["text"]]
             yield pa.RecordBatch.from_arrays([b["_key"], pa.array(raw, pa.binary())], names=["_key", "raw"])
 
     picked = docs.select(order.alias("_key"), "text").join(F.broadcast(keys), "_key").mapInArrow(
