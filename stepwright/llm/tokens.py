@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -45,8 +46,9 @@ class _Memo(dict):
     def __missing__(self, word: str):
         if len(self) >= MEMO_WORDS:
             self.clear()
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        self[word] = out = np.array([t.id for t in found], np.uint32).tobytes() if self.ids else len(found)
+        plain = word.isascii() and word.isalnum()  # such letters stand for themselves
+        found = self.model.tokenize(word if plain else word.encode().decode("latin-1").translate(self.letters))
+        self[word] = out = array("I", [t.id for t in found]).tobytes() if self.ids else len(found)
         return out
 
 
