@@ -10,7 +10,7 @@ from stepwright.plans import inputs
 from stepwright.plans import oracle_inputs as sql
 from stepwright.plans.corpus import CUT_SQL, LABEL_SQL, SCORED_LABEL, file_positions, label_text
 from stepwright.plans.corpus import ORACLES as CORPUS_ORACLES
-from stepwright.sources import json_files, schemas
+from stepwright.sources import json_files, schemas, versions
 from stepwright.sources.tables import table
 from stepwright.sources.workspace import new_path
 
@@ -97,6 +97,20 @@ def sink_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned process records written as JSON Lines and read back."""
     path = new_path(spark, "cleaned")
     json_files.write_json_lines(corpus.clean_process(inputs.processes(spark, sf)), path)
+    return _cleaned(spark, path)
+
+
+def sink_published(spark: SparkSession, sf: str) -> DataFrame:
+    """Process records published as they are, then, read from there, cleaned and published again."""
+    path = new_path(spark, "published")
+    versions.publish_json_lines(inputs.processes(spark, sf), path)
+    raw = json_files.good_records(
+        json_files.read_json_lines(spark, versions.published(spark, path), schemas.PROCESS)).drop("source_file")
+    versions.publish_json_lines(corpus.clean_process(raw), path)
+    return _cleaned(spark, versions.published(spark, path))
+
+
+def _cleaned(spark: SparkSession, path: str) -> DataFrame:
     back = json_files.good_records(json_files.read_json_lines(spark, path, schemas.PROCESS))
     return back.select("idx", "question", "preference", "process", label_text(F.col("label")).alias("label"),
                        F.round(F.col("final_score").cast("double"), 6).alias("final_score"))
@@ -135,7 +149,7 @@ def union_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scan_json_array_dir, scan_jsonl_tolerant, quarantine_corrupt, record_ordinal, scan_split_files,
-    sink_jsonl, sink_by_source_file, sink_single_collection, union_sources)}
+    sink_jsonl, sink_published, sink_by_source_file, sink_single_collection, union_sources)}
 
 SPLIT = """numbered AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS position,
@@ -165,3 +179,4 @@ ORACLES = {
     "union_sources": """SELECT 'documents' AS origin, doc_id AS key, text FROM documents UNION ALL
         SELECT 'pages', page_id, html FROM pages UNION ALL SELECT 'conversations', conv_id, text FROM conversations""",
 }
+ORACLES["sink_published"] = ORACLES["sink_jsonl"]
