@@ -168,7 +168,9 @@ def group_stats(rollouts: DataFrame) -> DataFrame:
 
     Within a stretch no generation's reward changes. What is shuffled is a row of
     a few runs per completion, and what a prompt gathers are the runs of its
-    generations, a handful by design of a rollout. Past a generation's end its
+    generations, a handful by design of a rollout. Gathered runs are laid out as
+    arrays again, so that each stretch looks up one entry per generation: work is
+    linear in tokens however often rewards change. Past a generation's end its
     rewards count as 0.0.
     """
     members = rollouts.select("batch_id", "prompt_id", reward_runs(F.col("rewards")).alias("runs")).groupBy(
@@ -177,13 +179,12 @@ def group_stats(rollouts: DataFrame) -> DataFrame:
     def ends(runs: Column) -> Column:
         return F.flatten(F.transform(runs, lambda r: F.array(r["first"], r["after"])))
 
-    edges = F.array_sort(F.array_distinct(F.flatten(F.transform("members", ends))))
+    def laid_out(runs: Column) -> Column:
+        return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["reward"], r["after"] - r["first"])))
 
-    def value(runs: Column, at: Column) -> Column:
-        covering = F.filter(runs, lambda r: (r["first"] <= at) & (at < r["after"]))
-        return F.coalesce(F.get(covering, F.lit(0))["reward"], F.lit(0.0))
+    edges = F.sort_array(F.array_distinct(F.flatten(F.transform("members", ends))))
 
-    def stretch(first: Column, after: Column) -> Column:
+    def stretch(rewards: Column, first: Column, after: Column) -> Column:
         def stats(values: Column) -> Column:
             n = F.size(values)
             mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
@@ -192,11 +193,16 @@ def group_stats(rollouts: DataFrame) -> DataFrame:
                 F.when(n > 1, F.sqrt(F.aggregate(
                     values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (n - 1))).alias("std")))
 
-        return bind(F.transform("members", lambda runs: value(runs, first)), stats)
+        values = F.transform(rewards, lambda r: F.coalesce(F.get(r, first), F.lit(0.0)))
+        return bind(values, stats)
 
-    return members.select("batch_id", "prompt_id", F.size("members").alias("size"), bind(edges, lambda e: F.transform(
-        F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))),
-        lambda first, i: stretch(first, F.get(e, i + 1)))).alias("stats"))
+    def stretches(e: Column) -> Column:
+        return bind(F.transform("members", laid_out), lambda rewards: F.transform(
+            F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))),
+            lambda first, i: stretch(rewards, first, F.get(e, i + 1))))
+
+    return members.select(
+        "batch_id", "prompt_id", F.size("members").alias("size"), bind(edges, stretches).alias("stats"))
 
 
 def group_advantages(rollouts: DataFrame) -> DataFrame:

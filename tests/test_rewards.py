@@ -3,6 +3,7 @@
 import math
 import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,20 @@ def test_group_advantages(spark):
     check_advantages(spark)
 
 
+def test_rewards_that_change_at_every_token(spark):
+    rng = random.Random(8)
+    values = [[rng.uniform(-1, 1) for _ in range(20_000 - 3 * g)] for g in range(4)]
+    df = spark.createDataFrame([(0, 0, g, v, []) for g, v in enumerate(values)], SCHEMA)
+    started = time.monotonic()
+    stats = rewards.group_stats(df).first().stats  # each stretch over all runs would take 10^9 comparisons
+    assert time.monotonic() - started < 30
+    assert [(s.first, s.after) for s in stats] == [(i, i + 1) for i in range(20_000)]
+    for i in (0, 1, 777, 19_990, 19_992, 19_996, 19_999):
+        at = [v[i] if i < len(v) else 0.0 for v in values]
+        assert stats[i].mean == pytest.approx(statistics.fmean(at))
+        assert stats[i].std == pytest.approx(statistics.stdev(at))
+
+
 def test_runs_and_plan_move_no_token_rows(spark):
     df = spark.createDataFrame([([0.0, 0.0, 1.5, 1.5, 0.0],), ([],), ([2.0],)], "rewards array<double>")
     got = [[tuple(r) for r in row.r] for row in df.select(rewards.reward_runs(F.col("rewards")).alias("r")).collect()]
