@@ -13,6 +13,7 @@ from stepwright.llm.common import LOWER, slices, text_of
 
 DIMENSIONS = 1 << 11
 SLICE_ROWS = 512   # of a dense matrix
+MOST_LABELS = 100  # that are learned where labels aren't given
 
 
 def frequencies(data: np.ndarray, at: np.ndarray, grams: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
@@ -49,9 +50,16 @@ def in_slices(b: pa.RecordBatch, column: str = "raw") -> Iterator[tuple[int, int
             yield first, last, data[at[first]:at[last]], at[first:last + 1] - at[first]
 
 
-def _bounded(rows: DataFrame, bound: int, least: int, *seed: str) -> tuple[DataFrame, int]:
-    """Rows (label, ...) whose hash of `seed` is smallest, about equally many of each label; and their bound."""
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+def _bounded(rows: DataFrame, bound: int, least: int, *seed: str,
+             most_labels: int | None = None) -> tuple[DataFrame, int]:
+    """Rows (label, ...) whose hash of `seed` is smallest, about equally many of each label; and their bound.
+
+    With `most_labels` only that many are taken, the most frequent, equal counts by name.
+    """
+    counted = rows.groupBy("label").count()
+    if most_labels is not None:
+        counted = counted.orderBy(F.desc("count"), "label").limit(most_labels)
+    counts = {r[0]: r[1] for r in counted.collect()}
     if not counts:
         return rows.limit(0), 0
     each = max(least, bound // len(counts))
@@ -82,10 +90,11 @@ def labelled_sample(rows: DataFrame, label: Column, bound: int, least: int = 50)
 
     Each label gets about bound / number of labels rows (at least `least`), those
     whose hash of id and text is smallest; no more than twice that reach the driver.
+    Labels beyond the MOST_LABELS most frequent (a column of dirty values) are not learned.
     """
     rows = rows.select("doc_id", F.col("text").cast("binary").alias("raw"), label.alias("label")).where(
         F.col("label").isNotNull() & F.col("raw").isNotNull())
-    return _vectors(*_bounded(rows, bound, least, "doc_id", "raw"))
+    return _vectors(*_bounded(rows, bound, least, "doc_id", "raw", most_labels=MOST_LABELS))
 
 
 def joined_sample(docs: DataFrame, labels: DataFrame, label: Column, bound: int,

@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick over folded text.
 
-Folding lower-cases, maps letters of other scripts that look like Latin ones to
-these, and digits and signs that stand for letters: runs of both before or between
-letters, runs of digits after the last one (signs there are taken for punctuation);
+Folding lower-cases, takes compatibility forms (wide, mathematical, ligatures) for
+the letters they stand for, drops accents and invisible format characters, maps
+letters of other scripts that look like Latin ones to these, and digits and signs
+that stand for letters wherever a run of them touches a letter and no other digit;
 what is no letter or digit separates words. Lexicon entries are whole words (" idiot ") or
 beginnings of words (" idio"), exceptions are words or phrases in which an entry
 doesn't count. One automaton finds both in one pass over the text.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -57,16 +59,26 @@ LOOKALIKES = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 
 _LETTERS = {ord(c): latin for latin, others in LOOKALIKES.items() for c in others}
+
+
+class _Folded(dict):
+    """Code point to its folded text, worked out when it is first met."""
+
+    def __missing__(self, code: int) -> str:
+        parts = unicodedata.normalize("NFKD", chr(code)).lower()
+        self[code] = "".join(c for c in parts if unicodedata.category(c) not in ("Mn", "Cf")).translate(_LETTERS)
+        return self[code]
+
+
+_FOLDED = _Folded()
 _STANDING_IN = re.compile(
-    r"(?<=[^\W\d_])(?:[0134578@$]+(?=[^\W\d_])|[0134578]+(?![^\W_]))|(?<![^\W_])[0134578@$]+(?=[^\W\d_])")
+    r"(?<=[^\W\d_])[0134578@$]+(?=[^\W\d_]|(?![^\W_]))|(?<![^\W_])[0134578@$]+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> list[str]:
     """The folded words of a text."""
-    text = text.lower()
-    if not text.isascii():
-        text = text.translate(_LETTERS)
+    text = text.lower() if text.isascii() else text.translate(_FOLDED)
     text = _STANDING_IN.sub(lambda m: "".join(SUBSTITUTES[c] for c in m.group()), text)
     return _WORD.findall(text)
 

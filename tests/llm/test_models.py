@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stepwright.llm import language, mixing, toxicity
+from stepwright.llm import features, language, mixing, toxicity
 from stepwright.llm.common import remainder
 from tests.llm.odd import by_text, empty, odd
 
@@ -21,8 +21,16 @@ def middle(spark):
 
 
 def test_folding():
+    # signs after the last letter are folded like digits there, as those before the first
     assert toxicity.fold("An 1d10t, іdiоt & ＩＤＩＯＴ id!ot h3ll0 2024 3rd a$$") == [
-        "an", "idiot", "idiot", "idiot", "id", "ot", "hello", "2024", "erd", "a"]
+        "an", "idiot", "idiot", "idiot", "id", "ot", "hello", "2024", "erd", "ass"]
+
+
+def test_folding_of_accents_styles_and_invisible_characters():
+    hidden = "i\u200bdi\u00adot"
+    assert toxicity.fold(f"{hidden} ídïót ｉdiot 𝐢𝐝𝐢𝐨𝐭 𝕀𝔻𝕀𝕆𝕋 i\u0301diot ІDIОT") == ["idiot"] * 7
+    assert toxicity.fold("ﬁne Straße a$$, US$ 5$ a$9 $$ \u200b") == ["fine", "straße", "ass", "uss", "5", "a", "9"]
+    assert toxicity.fold("日本 कि") and toxicity.fold("\u0301\u200d") == []
 
 
 def test_folding_at_both_ends_of_a_word():
@@ -66,6 +74,17 @@ def test_toxicity_of_odd_rows(spark, odd_docs):
     assert toxicity.score(empty(spark), lexicon, ("a", "b")).count() == 0
 
 
+def test_labels_learned_are_bounded(spark):
+    rows = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+        F.when(F.col("id") < 600, F.concat(F.lit("l"), (F.col("id") % 2).cast("string"))).otherwise(
+            F.concat(F.lit("dirty"), F.col("id").cast("string"))).alias("lang"))
+    labels, x = features.labelled_sample(rows, F.col("lang"), 100)
+    assert len(set(labels)) == features.MOST_LABELS and {"l0", "l1"} <= set(labels)
+    assert len(x) == len(labels) <= 2 * 50 * features.MOST_LABELS
+    assert min(x for x in labels if x.startswith("dirty")) == "dirty1000"  # equal counts by name
+
+
 def test_language_of_held_out_rows(middle):
     docs, _ = middle
     held = remainder(F.col("doc_id"), 3) == 1
