@@ -69,15 +69,88 @@ def tree_paths_by_level(nodes: DataFrame) -> DataFrame:
         done = done.unionByName(level)
     steps_of = done.select("idx", "ordinals", "ids", F.posexplode("ids").alias("place", "at")).join(
         at.select("idx", "at", "node"), ["idx", "at"])
-    raw = nodes.schema["score"].dataType.typeName() == "string"
     # a group is one path, whose texts are its output anyway
-    return steps_of.groupBy("idx", "ordinals", "ids").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda s: s["node"]).alias("on")).select(
+    return _with_texts(steps_of.groupBy("idx", "ordinals", "ids").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda s: s["node"]).alias("on")), nodes)
+
+
+def _with_texts(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Paths (idx, ordinals, ids, `on`: their nodes) as records."""
+    raw = nodes.schema["score"].dataType.typeName() == "string"
+    return paths.select(
         "idx", "ordinals", "ids", steps.join_steps(F.transform("on", lambda n: n["thought"])).alias("process"),
         F.transform("on", trees.label_of).alias("label"),
         trees.final_score(F.element_at("on", -1), raw).alias("final_score"))
 
 
+def tree_jumps(edges: DataFrame, most_nodes: int) -> list[DataFrame]:
+    """Tables (idx, at, up): every node's ancestor 1, 2, 4, ... edges up, as far as any node has one.
+
+    `edges` (idx, at, up) lead to a node's only parent. Each table is the one before
+    joined with itself, and is written, which cuts the lineage. `most_nodes` is the
+    most that a record has: no node of a tree is that far down, so rows left then
+    belong to cycles.
+    """
+    jumps, far = [edges], 1
+    while 2 * far <= most_nodes:
+        last = jumps[-1]
+        ahead = last.select("idx", F.col("at").alias("up"), F.col("up").alias("_further"))
+        longer = written(last.join(ahead, ["idx", "up"]).select("idx", "at", F.col("_further").alias("up")), "jumps")
+        if longer.isEmpty():
+            break
+        jumps.append(longer)
+        far *= 2
+    return jumps
+
+
+def tree_paths_by_jumps(nodes: DataFrame) -> DataFrame:
+    """The same paths in a number of joins that grows with the logarithm of a tree's depth.
+
+    First every node learns its ancestors 1, 2, 4, ... edges up. Leaves then climb by the
+    largest jump they have, which tells their depth and whether their top is the root;
+    those of the root gather their ancestors, each of those found so far adding the one
+    a jump above it, so that every node of a path comes in once. No row holds more than
+    a jump until a path is put together, and joins are on (record, node), as above.
+
+    Records where a node has several parents (or is listed twice) have more paths than
+    leaves; they go by level.
+    """
+    at = nodes.withColumn("node", F.struct("children", "thought", "reasoning", "score")).where(
+        ~trees.is_empty_node(F.col("node"))).select("idx", F.col("node_id").alias("at"), "children", "node")
+    links = written(at.select("idx", "at", "children"), "tree-links")
+    childless = F.col("children").isNull() | (F.size("children") == 0)
+    below = links.select("idx", F.col("at").alias("up"), F.posexplode("children").alias("ordinal", "at")).where(
+        F.col("at") != trees.ROOT)
+    edges = below.join(links.select("idx", "at", childless.alias("leaf")), ["idx", "at"])
+    shared = written(edges.groupBy("idx", "at").count().where("count > 1").select("idx").distinct(), "shared")
+    edges = written(edges.join(shared, "idx", "left_anti"), "edges")
+
+    most = links.groupBy("idx").count().agg(F.max("count")).first()[0] or 0
+    jumps = tree_jumps(edges.select("idx", "at", "up"), most)
+    climbed = edges.where("leaf").select("idx", F.col("at").alias("end"), "at", F.lit(0).alias("depth"))
+    for k in reversed(range(len(jumps))):
+        climbed = written(climbed.join(jumps[k], ["idx", "at"], "left").select(
+            "idx", "end", F.coalesce("up", "at").alias("at"),
+            (F.col("depth") + F.when(F.col("up").isNotNull(), 1 << k).otherwise(0)).alias("depth")), "climbed")
+    path = climbed.where(F.col("at") == trees.ROOT).select("idx", "end", F.col("end").alias("at"), F.col("depth").alias("place"))
+    for k in reversed(range(len(jumps))):
+        above = path.join(jumps[k], ["idx", "at"]).select(
+            "idx", "end", F.col("up").alias("at"), (F.col("place") - (1 << k)).alias("place"))
+        path = written(path.unionByName(above), "path-nodes")
+
+    # the root has no edge above it and falls away here; a group is one path
+    steps_of = path.join(edges.select("idx", "at", "ordinal"), ["idx", "at"]).join(
+        at.select("idx", "at", "node"), ["idx", "at"])
+    placed = steps_of.groupBy("idx", "end").agg(
+        F.array_sort(F.collect_list(F.struct("place", "ordinal", "at", "node"))).alias("on")).select(
+        "idx", F.transform("on", lambda s: s["ordinal"]).alias("ordinals"),
+        F.transform("on", lambda s: s["at"]).alias("ids"), F.transform("on", lambda s: s["node"]).alias("on"))
+    found = _with_texts(placed, nodes)
+    if shared.isEmpty():
+        return found
+    return found.unionByName(tree_paths_by_level(nodes.join(shared, "idx", "left_semi")))
+
+
 def cyclic_records(records: DataFrame) -> DataFrame:
     """Records whose tree leads back to a node above, with the number of such edges met."""
     return records.select("idx", trees.walk(F.col("thought_tree"))["cycles"].alias("cycles")).where(

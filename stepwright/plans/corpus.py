@@ -56,6 +56,14 @@ def dfs_order(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join("ids", ">").alias("node_ids"), F.length("process").alias("chars"))
 
 
+def dfs_order_by_jumps(spark: SparkSession, sf: str) -> DataFrame:
+    """The same paths by jumps over ancestors, in joins by the logarithm of the depth."""
+    nodes = written(corpus.tree_nodes(inputs.tree_records(spark, sf)), "nodes")
+    return corpus.tree_paths_by_jumps(nodes).orderBy("idx", "ordinals").select(
+        "idx", F.array_join(F.col("ordinals").cast("array<string>"), ".").alias("ordinals"),
+        F.array_join("ids", ">").alias("node_ids"), F.length("process").alias("chars"))
+
+
 def tree_edge_join(spark: SparkSession, sf: str) -> DataFrame:
     joined = corpus.edge_join(corpus.tree_nodes(inputs.tree_records(spark, sf)))
     return joined.select("idx", "parent_id", "child_id", "ordinal", "thought", F.round("score", 6).alias("score"))
@@ -238,7 +246,7 @@ def token_length_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    thought_tree_paths, path_to_process, path_labels, dfs_order, tree_edge_join, dangling_children,
+    thought_tree_paths, path_to_process, path_labels, dfs_order, dfs_order_by_jumps, tree_edge_join, dangling_children,
     required_fields, truncate_at_step6, cap_labels, append_final_score, render_prompt, split_steps,
     step_label_match, prefix_context_explode, running_context, critique_messages, critique_input,
     chat_serialize, loss_span, overlength_flag, normalize_content, transcript, transcript_text, cap_responses,
@@ -274,6 +282,9 @@ ORACLES = {
     "dfs_order": f"""WITH RECURSIVE {sql.PATHS}
         SELECT idx, array_to_string(list_transform(ords, lambda o: o - 1), '.') AS ordinals,
           array_to_string(ids, '>') AS node_ids, length(process) AS chars FROM leaves ORDER BY idx, path_no""",
+    "dfs_order_by_jumps": f"""WITH RECURSIVE {sql.PATHS}
+        SELECT idx, array_to_string(list_transform(ords, lambda o: o - 1), '.') AS ordinals,
+          array_to_string(ids, '>') AS node_ids, length(process) AS chars FROM leaves ORDER BY idx, path_no""",
     "tree_edge_join": f"""WITH {sql.LINES}, edges AS (
           SELECT idx, i AS parent, unnest(children) AS child, generate_subscripts(children, 1) - 1 AS ordinal FROM nodes)
         SELECT e.idx, e.parent::VARCHAR AS parent_id, e.child::VARCHAR AS child_id, e.ordinal, n.thought,

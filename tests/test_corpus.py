@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stepwright.functions.text import STEP_SEPARATOR as SEP
 from stepwright.operators import corpus, skew
 from stepwright.sources import schemas
+from stepwright.sources.workspace import written
 
 
 def node(children=(), thought="t", reasoning="r", score=0.1):
@@ -99,6 +100,36 @@ def test_random_trees_against_brute_force(spark):
     assert got == want
     by_level = corpus.tree_paths_by_level(corpus.tree_nodes(df)).orderBy("idx", "ordinals").collect()
     assert {i: [r.ids for r in by_level if r.idx == i] for i in want} == want
+    by_jumps = corpus.tree_paths_by_jumps(corpus.tree_nodes(df)).orderBy("idx", "ordinals").collect()
+    assert {i: [r.ids for r in by_jumps if r.idx == i] for i in want} == want
+    assert [(r.idx, r.ordinals) for r in by_jumps] == [(r.idx, r.ordinals) for r in by_level]
+
+
+def test_a_long_chain_takes_few_jumps(spark, monkeypatch):
+    n, rounds = 10_000, []
+    # a chain with a leaf at the side of every thousandth node, and a cycle that the root doesn't lead to
+    chain = spark.range(n).select(
+        F.lit(1).alias("idx"), F.col("id").cast("string").alias("node_id"),
+        F.when(F.col("id") == n - 1, F.array().cast("array<string>")).when(F.col("id") % 1000 == 0, F.array(
+            F.concat(F.lit("s"), F.col("id").cast("string")), (F.col("id") + 1).cast("string"))).otherwise(
+            F.array((F.col("id") + 1).cast("string"))).alias("children"))
+    others = spark.createDataFrame(
+        [(1, f"s{i}", []) for i in range(0, n, 1000)] + [(1, "c1", ["c2"]), (1, "c2", ["c1", "c3"]), (1, "c3", [])],
+        "idx int, node_id string, children array<string>")
+    nodes = chain.unionByName(others).withColumns(
+        {"thought": F.lit("t"), "reasoning": F.lit("r"), "score": F.lit(0.5)})
+
+    def counted(df, name):
+        rounds.append(name)
+        return written(df, name)
+
+    monkeypatch.setattr(corpus, "written", counted)
+    found = {r.ids[-1]: r for r in corpus.tree_paths_by_jumps(nodes).select("ids", "ordinals").collect()}
+    assert rounds.count("jumps") <= 14 and len(rounds) < 50
+    assert len(found) == 11
+    assert found[str(n - 1)].ids == [str(i) for i in range(1, n)]
+    assert found[str(n - 1)].ordinals == [int(i % 1000 == 0) for i in range(n - 1)]
+    assert found["s3000"].ids == [str(i) for i in range(1, 3001)] + ["s3000"] and found["s3000"].ordinals[-1] == 0
 
 
 def test_paths_by_level_equal_paths_in_the_row(spark):
@@ -112,8 +143,10 @@ def test_paths_by_level_equal_paths_in_the_row(spark):
     in_row = corpus.tree_paths(df).orderBy("idx", "path_no").select(fields).collect()
     by_level = corpus.tree_paths_by_level(corpus.tree_nodes(df)).orderBy("idx", "ordinals").select(fields).collect()
     assert in_row == by_level and len(in_row) == 3
-    nothing = corpus.tree_paths_by_level(corpus.tree_nodes(df.where("idx > 1")))
-    assert nothing.count() == 0
+    assert corpus.tree_paths_by_jumps(corpus.tree_nodes(df)).orderBy("idx", "ordinals").select(fields).collect() == in_row
+    for empty in (df.where("idx > 1"), df.limit(0)):
+        assert corpus.tree_paths_by_level(corpus.tree_nodes(empty)).count() == 0
+        assert corpus.tree_paths_by_jumps(corpus.tree_nodes(empty)).count() == 0
 
 
 def test_clean_process(spark):
