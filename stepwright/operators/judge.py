@@ -74,12 +74,29 @@ def has_reply(items: DataFrame) -> Column:
     return F.col("replied") if "replied" in items.columns else F.col("response_to_q").isNotNull()
 
 
-def pending(items: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(item_id, metric) pairs still to judge; items without a reply are left out."""
-    wanted = items.where(has_reply(items)).select(
-        "item_id", F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric"))
-    done = verdicts.select("item_id", "metric").distinct()   # repeats fall away map-side
-    return wanted.join(done, ["item_id", "metric"], "left_anti")
+def done_masks(verdicts: DataFrame) -> DataFrame:
+    """(item_id, done): a bit for each metric, in order of METRICS, that an item has a verdict of.
+
+    One small number an item, combined map-side. Verdicts of other metrics set no bit.
+    """
+    bit = F.coalesce(*[F.when(F.col("metric") == m, 1 << i) for i, m in enumerate(METRICS)], F.lit(0))
+    return verdicts.groupBy("item_id").agg(F.bit_or(bit).alias("done"))
+
+
+def metrics_open(done: Column) -> Column:
+    """The metrics whose bit is not set; all of them for a null mask."""
+    return F.array_compact(F.array(*[
+        F.when(F.coalesce(done, F.lit(0)).bitwiseAND(1 << i) == 0, F.lit(m)) for i, m in enumerate(METRICS)]))
+
+
+def pending(items: DataFrame, verdicts: DataFrame, *keep: str) -> DataFrame:
+    """(item_id, *keep, metric) still to judge; items without a reply are left out.
+
+    Masks meet items once by item; an item's open metrics are unpacked after that.
+    """
+    wanted = items.where(has_reply(items)).select("item_id", *keep)
+    return wanted.join(done_masks(verdicts), "item_id", "left").select(
+        "item_id", *keep, F.explode(metrics_open(F.col("done"))).alias("metric"))
 
 
 def request_payload(model: str, prompt: Column, system: str = prompts.JUDGE_SYSTEM,

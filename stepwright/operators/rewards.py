@@ -238,14 +238,27 @@ def rollout_log(rollouts: DataFrame) -> DataFrame:
 
 
 def reward_stats(rollouts: DataFrame) -> DataFrame:
-    """Mean and deviation of all rewards of a batch, padding zeros included."""
-    at = rollouts.select(
-        "batch_id", F.size("rewards").alias("len"), F.posexplode_outer("rewards").alias("pos", "r"))
-    first = F.coalesce(F.col("pos") == 0, F.lit(True))
-    sums = at.groupBy("batch_id").agg(
-        (F.max("len") * F.count_if(first)).alias("cells"), F.count("r").alias("n"),
-        F.avg("r").alias("mean"), F.var_pop("r").alias("var"))
-    mean, std = _merge_zeros(F.col("n"), F.col("mean"), F.col("var") * F.col("n"), F.col("cells"))
+    """Mean and deviation of all rewards of a batch, padding zeros included; null rewards count as no value.
+
+    A completion's rewards are summed in its row, so no row per token exists. Squares
+    are taken around the completion's own mean there, and around zero between
+    completions: where all of a batch is equal, rounding leaves some 1e-8 of the mean.
+    """
+    def summed(values: Column) -> Column:
+        n = F.size(values)
+        mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.greatest(n, F.lit(1))
+        return bind(mean, lambda m: F.struct(n.alias("n"), m.alias("mean"), F.aggregate(
+            values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)).alias("m2")))
+
+    known = F.filter(F.coalesce("rewards", F.array().cast("array<double>")), lambda r: r.isNotNull())
+    n, mean = F.col("s")["n"], F.col("s")["mean"]
+    total = F.sum(n * mean)
+    sums = rollouts.select("batch_id", F.size("rewards").alias("len"), bind(known, summed).alias("s")).groupBy(
+        "batch_id").agg(
+        (F.max("len") * F.count(F.lit(1))).alias("cells"), F.sum(n).alias("n"), F.try_divide(total, F.sum(n)).alias("mean"),
+        (F.sum(F.col("s")["m2"]) + F.greatest(
+            F.sum(n * mean * mean) - F.coalesce(F.try_divide(total * total, F.sum(n)), F.lit(0.0)), F.lit(0.0))).alias("m2"))
+    mean, std = _merge_zeros(F.col("n"), F.col("mean"), F.col("m2"), F.col("cells"))
     return sums.select("batch_id", "cells", mean.alias("token_mean"), std.alias("token_std"))
 
 

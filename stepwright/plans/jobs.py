@@ -61,9 +61,9 @@ def judge_requests(items: DataFrame, verdicts: DataFrame, templates: DataFrame |
     The hallucination check shows the preference the `acknow` verdict quoted
     and so waits for that verdict; ask again once it is in.
     """
-    texts = items.select("item_id", "preference", "question", "response_to_q")
-    due = texts.join(judge.pending(items, verdicts), "item_id").join(
-        judge.quoted_preferences(verdicts), "item_id", "left")
+    # all three meet by item, before an item becomes several rows
+    quoted = items.join(judge.quoted_preferences(verdicts), "item_id", "left")
+    due = judge.pending(quoted, verdicts, "preference", "question", "response_to_q", "extract_pref")
     ready = due.where((F.col("metric") != "hallucinate") | F.col("extract_pref").isNotNull())
     templates = rubrics.default_rubrics(items.sparkSession) if templates is None else templates
     return judge.attach_templates(ready, templates).select("item_id", "metric", prompts.fill_rubric(

@@ -135,10 +135,8 @@ def verdict_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 def all_metrics_present(spark: SparkSession, sf: str) -> DataFrame:
     """Items whose verdicts are complete, and what the others miss."""
-    seen = inputs.finished_verdicts(inputs.generation_items(spark, sf)).groupBy("item_id").agg(
-        F.collect_set("metric").alias("seen"))
-    answers = F.map_from_arrays("seen", F.transform("seen", lambda m: F.lit("")))
-    return seen.select("item_id", judge.missing_metrics(answers).alias("missing")).select(
+    seen = judge.done_masks(inputs.finished_verdicts(inputs.generation_items(spark, sf)))
+    return seen.select("item_id", judge.metrics_open(F.col("done")).alias("missing")).select(
         "item_id", (F.size("missing") == 0).cast("int").alias("complete"),
         F.array_join("missing", ",").alias("missing"))
 

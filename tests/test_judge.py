@@ -224,3 +224,28 @@ def test_readable_and_early_replies_win(spark):
     assert got == {1: "b", 2: "", 3: ""}
     plan = exchange.ingest_replies(requests, replies, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_done_masks(spark):
+    items = spark.createDataFrame(
+        [(1, "r", "a"), (2, "r", "b"), (3, None, "c"), (4, "r", "d"), (None, "r", "e"), (5, "r", "f")],
+        "item_id bigint, response_to_q string, note string")
+    verdicts = spark.createDataFrame(
+        [(1, m, "x") for m in METRICS] + [(1, "violate", None), (2, "violate", None), (2, "helpful", "y"),
+         (2, "helpful", "z"), (3, "acknow", "x"), (4, "other", "x"), (5, None, "x"), (None, "acknow", "x")], VERDICT)
+    masks = {r.item_id: r.done for r in judge.done_masks(verdicts).collect()}
+    assert masks[1] == 255 and masks[4] == masks[5] == 0
+    assert masks[2] == sum(1 << METRICS.index(m) for m in ("violate", "helpful"))
+    got = sorted((str(r.item_id), r.note, r.metric) for r in judge.pending(items, verdicts, "note").collect())
+    pairs = {(v.item_id, v.metric) for v in verdicts.collect() if v.item_id is not None}
+    assert got == sorted((str(i.item_id), i.note, m) for i in items.collect() if i.response_to_q
+                         for m in METRICS if (i.item_id, m) not in pairs)
+
+
+def test_pending_shuffles_items_and_masks_only(spark):
+    schema = "item_id bigint, replied boolean"
+    items = spark.createDataFrame([(1, True)], schema).repartition(2)
+    verdicts = spark.createDataFrame([(1, "acknow", "x")], VERDICT).repartition(2)
+    plan = judge.pending(items.hint("merge"), verdicts)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert shuffles and all("hashpartitioning(item_id" in line for line in shuffles)

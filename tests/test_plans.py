@@ -63,3 +63,8 @@ def test_unused_parts_of_verdicts_are_pruned(spark):
 def test_aggregates_combine_before_the_shuffle(spark):
     for name in ("accuracy_report", "policy_loss_audit", "reward_stats", "clip_ratios"):
         assert "partial_" in plan_of(spark, name)
+
+
+def test_reward_stats_makes_no_row_per_token(spark):
+    plan = plan_of(spark, "reward_stats")
+    assert not re.search(r"Generate posexplode|Generate explode\(rewards", plan) and "partial_" in plan
