@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepwright.functions.prompts import METRICS
 from stepwright.functions.text import words
-from stepwright.operators import metrics
+from stepwright.operators import metrics, partials
 from stepwright.plans import inputs
 from stepwright.plans import oracle_inputs as sql
 from stepwright.sources.tables import table_stream
@@ -25,6 +25,18 @@ def metric_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return rolled.select("mode", "interval", "metric", settled(F.col("value"), F.col("points")).alias("value"), "points")
 
 
+def metric_increments(spark: SparkSession, sf: str) -> DataFrame:
+    """The rollup from stored partials: half of the log, then all of it, of which only the new steps are added."""
+    table = new_path(spark, "partials")
+    points = inputs.metric_points(spark, sf).select(
+        "mode", "step", "metric", "value", F.pmod(F.xxhash64("step"), F.lit(4)).alias("shard"))
+    middle = points.agg(F.floor(F.avg("step"))).first()[0]
+    for part in (points.where(F.col("step") <= middle), points, points):
+        partials.extend(part, table)
+    return partials.rollup(partials.read_partials(spark, table)).select(
+        "mode", "interval", "metric", settled(F.col("value"), F.col("points")).alias("value"), "points", "low", "high")
+
+
 def tokens_seen(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as training batches of 32; one language is evaluation only."""
     batches = inputs.documents(spark, sf).select(
@@ -92,12 +104,16 @@ def streaming_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    metric_rollup, tokens_seen, incremental_verdicts, compacted_verdicts, streaming_metric_rollup, streaming_intervals)}
+    metric_rollup, metric_increments, tokens_seen, incremental_verdicts, compacted_verdicts, streaming_metric_rollup, streaming_intervals)}
 
 ORACLES = {
     "metric_rollup": f"""WITH {sql.POINTS}
         SELECT mode, step // 8 AS interval, CASE WHEN mode = 'eval' THEN 'eval_' || metric ELSE metric END AS metric,
           round(round(avg(value) * count(value), 4) / count(value), 6) AS value, count(value) AS points FROM points GROUP BY ALL""",
+    "metric_increments": f"""WITH {sql.POINTS}
+        SELECT mode, step // 8 AS interval, CASE WHEN mode = 'eval' THEN 'eval_' || metric ELSE metric END AS metric,
+          round(round(avg(value) * count(value), 4) / count(value), 6) AS value, count(value) AS points,
+          min(value) AS low, max(value) AS high FROM points GROUP BY ALL""",
     "streaming_intervals": f"""WITH {sql.POINTS}
         SELECT mode, step // 8 AS interval, CASE WHEN mode = 'eval' THEN 'eval_' || metric ELSE metric END AS metric,
           round(round(avg(value) * count(value), 4) / count(value), 6) AS value, count(value) AS points FROM points GROUP BY ALL""",
