@@ -16,10 +16,12 @@ def _is_local(master: str) -> bool:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in `spark.checkpoint.dir`.
+    """The folder named in `spark.checkpoint.dir`, on a cluster one that all executors share.
 
-    Only a local session that names none gets a temporary folder; on a cluster
-    a machine-local folder would be lost with its machine.
+    Without a scheme it is a path of the default file system; on one of files it is
+    taken to be mounted on all machines, like one of `file:`. Only a local session that
+    names none gets a temporary folder; on a cluster a machine-local folder would be
+    lost with its machine.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -28,11 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="stepwright-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    elif not _is_local(context.master) and "://" not in folder and not folder.startswith("file:"):
-        # without a scheme the cluster's default file system decides, which must not be a machine's own disk
-        default = context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
-        if default.startswith("file:"):
-            raise ValueError(f"spark.checkpoint.dir {folder} needs the scheme of a file system all executors share")
+    elif not _is_local(context.master):
+        # executors have working folders of their own, so a path without a scheme is made a full one here
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
