@@ -23,6 +23,10 @@ from stepwright.streaming.rollup import run_of
 PART = "mode string, metric string, interval bigint, total double, points bigint"
 SUMS = f"{PART}, open boolean"
 
+# the only state store that keeps this kind of state; a session's default is another
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def combined(points: DataFrame, every: int = LOGGING_STEPS) -> DataFrame:
     """Sums and counts per (mode, metric, interval) of stretches of rows; nothing is shuffled."""
@@ -40,47 +44,52 @@ def combined(points: DataFrame, every: int = LOGGING_STEPS) -> DataFrame:
     return rows.mapInArrow(combine, PART)
 
 
-class _OpenIntervals(StatefulProcessor):
-    """Of one metric of a mode: the sums of the intervals that are not closed yet."""
-
-    def __init__(self, idle_ms: int | None):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.sums = handle.getMapState("sums", "interval bigint", "total double, points bigint")
-
-    def _row(self, key, interval: int, total: float, points: int, is_open: bool) -> Row:
-        return Row(mode=key[0], metric=key[1], interval=interval, total=total, points=points, open=is_open)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = {k[0]: (v[0], v[1]) for k, v in self.sums.iterator()}
-        touched = set()
-        for r in rows:
-            total, points = held.get(r.interval, (0.0, 0))
-            held[r.interval] = (total + (r.total or 0.0), points + r.points)
-            touched.add(r.interval)
-        newest = max(held)
-        for interval, (total, points) in held.items():
-            if interval < newest:
-                self.sums.removeKey((interval,))
+def _open_intervals(idle_ms: int | None) -> StatefulProcessor:
+    """The processor; its class is made here so that it is sent whole, as the process that
+    declares its state need not be able to import this package."""
+    class OpenIntervals(StatefulProcessor):
+        """Of one metric of a mode: the sums of the intervals that are not closed yet."""
+
+        def __init__(self, idle_ms: int | None):
+            self.idle_ms = idle_ms
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.sums = handle.getMapState("sums", "interval bigint", "total double, points bigint")
+
+        def _row(self, key, interval: int, total: float, points: int, is_open: bool) -> Row:
+            return Row(mode=key[0], metric=key[1], interval=interval, total=total, points=points, open=is_open)
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            held = {k[0]: (v[0], v[1]) for k, v in self.sums.iterator()}
+            touched = set()
+            for r in rows:
+                total, points = held.get(r.interval, (0.0, 0))
+                held[r.interval] = (total + (r.total or 0.0), points + r.points)
+                touched.add(r.interval)
+            newest = max(held)
+            for interval, (total, points) in held.items():
+                if interval < newest:
+                    self.sums.removeKey((interval,))
+                    yield self._row(key, interval, total, points, False)
+                elif interval in touched:
+                    self.sums.updateValue((interval,), (total, points))
+                    yield self._row(key, interval, total, points, True)
+            if self.idle_ms is not None:
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            held = [(k[0], v[0], v[1]) for k, v in self.sums.iterator()]
+            self.sums.clear()
+            for interval, total, points in held:
                 yield self._row(key, interval, total, points, False)
-            elif interval in touched:
-                self.sums.updateValue((interval,), (total, points))
-                yield self._row(key, interval, total, points, True)
-        if self.idle_ms is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = [(k[0], v[0], v[1]) for k, v in self.sums.iterator()]
-        self.sums.clear()
-        for interval, total, points in held:
-            yield self._row(key, interval, total, points, False)
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return OpenIntervals(idle_ms)
 
 
 def stream_intervals(points: DataFrame, table: str, checkpoint: str, every: int = LOGGING_STEPS,
@@ -93,15 +102,25 @@ def stream_intervals(points: DataFrame, table: str, checkpoint: str, every: int
     rows; a query begun anew, with a new checkpoint, replaces earlier ones.
     """
     sums = combined(points, every).groupBy("mode", "metric").transformWithState(
-        _OpenIntervals(idle_ms), SUMS, "Append", "None" if idle_ms is None else "ProcessingTime")
+        _open_intervals(idle_ms), SUMS, "Append", "None" if idle_ms is None else "ProcessingTime")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         run = run_of(spark, table, spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
         batch.write.mode("overwrite").parquet(f"{table}/{run}/batch_id={batch_id}")
 
-    return (sums.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+    writer = sums.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True}))
+    # a query takes the session's settings with it when it starts
+    conf, before = points.sparkSession.conf, points.sparkSession.conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        if before is None:
+            conf.unset(PROVIDER)
+        else:
+            conf.set(PROVIDER, before)
 
 
 def read_intervals(spark: SparkSession, table: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Means per logging interval from a stream: restarts, late points, and a timer for the last."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 from stepwright.operators import metrics
 from stepwright.streaming import intervals
@@ -79,3 +83,28 @@ def test_a_timer_closes_the_last_interval(spark, tmp_path):
         query.stop()
     assert not any(r.open for r in intervals.read_intervals(spark, table).collect())
     same(read(spark, table), batch(spark, rows))
+
+
+PLAIN = """
+import sys
+repo, folder = sys.argv[1:]
+sys.path.insert(0, repo)  # the driver's own path only
+from pyspark.sql import SparkSession
+from stepwright.streaming import intervals
+spark = SparkSession.builder.master("local[2]").config(map={
+    "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.shuffle.partitions": "2"}).getOrCreate()
+provider = spark.conf.get(intervals.PROVIDER, None)
+spark.createDataFrame([("train", s, "loss", 1.0) for s in range(20)], %r).write.parquet(f"{folder}/in")
+points = spark.readStream.schema(%r).parquet(f"{folder}/in")
+intervals.stream_intervals(points, f"{folder}/table", f"{folder}/progress").awaitTermination()
+assert spark.conf.get(intervals.PROVIDER, None) == provider
+rows = intervals.read_intervals(spark, f"{folder}/table").collect()
+print("found", sorted((r.interval, r.points) for r in rows))
+""" % (POINT, POINT)
+
+
+def test_a_session_without_settings_or_paths_will_do(tmp_path):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_LOCAL_IP": "127.0.0.1"}
+    done = subprocess.run([sys.executable, "-c", PLAIN, str(Path(__file__).parents[1]), str(tmp_path)], env=env,
+                          cwd=tmp_path, text=True, capture_output=True, timeout=180)
+    assert "found [(0, 8), (1, 8), (2, 4)]" in done.stdout, done.stderr[-2000:]
