@@ -79,23 +79,32 @@ def span_rows(completions: DataFrame, scores: DataFrame) -> DataFrame:
     return split.select(*COMPLETION, F.explode(as_rows(spans)).alias("s")).select(*COMPLETION, "s.*")
 
 
-def token_rewards_by_rows(tokens: DataFrame, spans: DataFrame, keys: list[str], block: int = 4096) -> DataFrame:
+def token_rewards_by_rows(tokens: DataFrame, spans: DataFrame, keys: list[str], block: int = 64) -> DataFrame:
     """Token rows (keys, pos) with the score of the last span (keys, step_no, first, after, score) over each, else 0.0.
 
-    For completions whose tokens don't fit in a row. The range join pos >= first and
-    pos < after is one on blocks of positions: a token is in one block, a span in all
-    that it reaches into, so a long completion, or one with many spans, is dealt out
-    over tasks. What decides between spans stays in the block, without another shuffle.
+    For completions whose tokens don't fit in a row. Tokens become blocks of up to 64
+    positions, a bit for each, combined map-side, so that one row moves for many tokens.
+    The range join pos >= first and pos < after is one on blocks: a span is in all that it
+    reaches into, so a long completion is dealt out over tasks. Tokens are unpacked after
+    the join, where a block's spans decide without another shuffle.
     Tokens with a null key meet no span.
     """
-    blocks = F.sequence(F.floor(F.col("first") / block), F.floor((F.col("after") - 1) / block))
-    reached = spans.where("after > first").select(*keys, "step_no", "first", "after", "score", F.explode(blocks).alias("_block"))
-    placed = tokens.withColumn("_block", F.floor(F.col("pos") / block))
-    same = [placed[k] == reached[k] for k in [*keys, "_block"]]
-    covered = (placed["pos"] >= reached["first"]) & (placed["pos"] < reached["after"])
-    met = placed.join(reached, [*same, covered], "left").select(*[placed[c] for c in placed.columns], "step_no", "score")
-    return met.groupBy(*keys, "_block", "pos").agg(
-        F.coalesce(F.max_by("score", "step_no"), F.lit(0.0)).alias("reward")).drop("_block")
+    width = min(block, 64)
+    kind = tokens.schema["pos"].dataType
+    number = F.floor(F.col("pos") / width).alias("_block")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("pos") - F.col("_block") * width).cast("int"))
+    packed = tokens.select(*keys, "pos", number).groupBy(*keys, "_block").agg(F.bit_or(bit).alias("_bits"))
+    # the last span comes first
+    span = F.struct((-F.col("step_no")).alias("order"), "first", "after", "score").alias("_span")
+    blocks = F.sequence(F.floor(F.col("first") / width), F.floor((F.col("after") - 1) / width))
+    reached = spans.where("after > first and step_no is not null").select(
+        *keys, span, F.explode(blocks).alias("_block")).groupBy(*keys, "_block").agg(
+        F.array_sort(F.collect_list("_span")).alias("_spans"))
+    held = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.getbit(F.col("_bits"), i) == 1)
+    places = F.transform(held, lambda i: (F.col("_block") * width + i).cast(kind))
+    rows = packed.join(reached, [*keys, "_block"], "left").select(*keys, "_spans", F.explode_outer(places).alias("pos"))
+    over = F.filter("_spans", lambda s: (F.col("pos") >= s["first"]) & (F.col("pos") < s["after"]))
+    return rows.select(*keys, "pos", F.coalesce(F.get(over, F.lit(0))["score"], F.lit(0.0)).alias("reward"))
 
 
 def aligned_scores(steps: Column, scores: Column) -> Column:
