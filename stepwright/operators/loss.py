@@ -69,24 +69,34 @@ def across_shards(per_shard: DataFrame, aggregates: dict[str, tuple[str, str]])
         for name, (source, how) in aggregates.items()])
 
 
+def shard_means(tokens: DataFrame, p: LossParams = LossParams()) -> DataFrame:
+    """(batch_id, shard, kl, entropy, low, high, region): what the audits below combine, by one pass over the tokens.
+
+    They take tokens as well as these means; several of them share the pass if the means are written.
+    """
+    low = (ratio() < 1 - p.epsilon_low) & (F.col("adv") < 0)
+    high = (ratio() > 1 + p.epsilon_high) & (F.col("adv") > 0)
+    return tokens.groupBy("batch_id", "shard").agg(
+        masked_mean(kl()).alias("kl"), masked_mean(F.col("entropy")).alias("entropy"),
+        masked_mean(low.cast("double")).alias("low"), masked_mean(high.cast("double")).alias("high"),
+        masked_mean((low | high).cast("double")).alias("region"))
+
+
+def _means_of(tokens: DataFrame, p: LossParams = LossParams()) -> DataFrame:
+    return shard_means(tokens, p) if "mask" in tokens.columns else tokens
+
+
 def kl_stats(tokens: DataFrame) -> DataFrame:
-    per_shard = tokens.groupBy("batch_id", "shard").agg(masked_mean(kl()).alias("kl"))
-    return across_shards(per_shard, {"kl": ("kl", "mean")})
+    return across_shards(_means_of(tokens), {"kl": ("kl", "mean")})
 
 
 def entropy_stats(tokens: DataFrame) -> DataFrame:
-    per_shard = tokens.groupBy("batch_id", "shard").agg(masked_mean(F.col("entropy")).alias("entropy"))
-    return across_shards(per_shard, {"entropy": ("entropy", "mean")})
+    return across_shards(_means_of(tokens), {"entropy": ("entropy", "mean")})
 
 
 def clip_ratios(tokens: DataFrame, p: LossParams = LossParams()) -> DataFrame:
     """Share of tokens whose ratio was clipped, below and above, per batch over its shards."""
-    low = (ratio() < 1 - p.epsilon_low) & (F.col("adv") < 0)
-    high = (ratio() > 1 + p.epsilon_high) & (F.col("adv") > 0)
-    per_shard = tokens.groupBy("batch_id", "shard").agg(
-        masked_mean(low.cast("double")).alias("low"), masked_mean(high.cast("double")).alias("high"),
-        masked_mean((low | high).cast("double")).alias("region"))
-    return across_shards(per_shard, {
+    return across_shards(_means_of(tokens, p), {
         "low_mean": ("low", "mean"), "low_min": ("low", "min"),
         "high_mean": ("high", "mean"), "high_max": ("high", "max"),
         "region_mean": ("region", "mean")})

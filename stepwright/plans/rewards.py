@@ -13,7 +13,7 @@ from stepwright.operators import loss, metrics, rewards
 from stepwright.plans import inputs, jobs
 from stepwright.plans import oracle_inputs as sql
 from stepwright.plans.inputs import EOS
-from stepwright.sources.workspace import new_path
+from stepwright.sources.workspace import new_path, written
 
 KEYS = ["prompt_id", "gen"]
 PROMPT_TOKENS = 2048   # fixed value: prompt budget
@@ -138,14 +138,15 @@ def rollout_log(spark: SparkSession, sf: str) -> DataFrame:
         r6(F.col("mean_reward"), "mean_reward"), r6(F.col("mean_advantage"), "mean_advantage"))
 
 
-def reward_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = rewards.reward_stats(inputs.rewarded(spark, sf).select("batch_id", "rewards"))
+def reward_stats(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = inputs.rewarded(spark, sf) if rows is None else rows
+    stats = rewards.reward_stats(rows.select("batch_id", "rewards"))
     return stats.select("batch_id", "cells", r6(F.col("token_mean"), "token_mean"), r6(F.col("token_std"), "token_std"))
 
 
-def zero_std_fraction(spark: SparkSession, sf: str) -> DataFrame:
-    shares = rewards.zero_std_fraction(
-        inputs.rewarded(spark, sf).select("batch_id", "prompt_id", "rewards"))
+def zero_std_fraction(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = inputs.rewarded(spark, sf) if rows is None else rows
+    shares = rewards.zero_std_fraction(rows.select("batch_id", "prompt_id", "rewards"))
     return shares.select("batch_id", r6(F.col("frac_zero_std"), "frac_zero_std"))
 
 
@@ -163,16 +164,16 @@ def policy_loss_audit(spark: SparkSession, sf: str) -> DataFrame:
     return audit.select("batch_id", "sequences", r6(F.col("loss"), "loss"))
 
 
-def kl_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return loss.kl_stats(inputs.token_signals(spark, sf)).select("batch_id", r6(F.col("kl"), "kl"))
+def kl_stats(spark: SparkSession, sf: str, means: DataFrame | None = None) -> DataFrame:
+    return loss.kl_stats(inputs.token_signals(spark, sf) if means is None else means).select("batch_id", r6(F.col("kl"), "kl"))
 
 
-def entropy_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return loss.entropy_stats(inputs.token_signals(spark, sf)).select("batch_id", r6(F.col("entropy"), "entropy"))
+def entropy_stats(spark: SparkSession, sf: str, means: DataFrame | None = None) -> DataFrame:
+    return loss.entropy_stats(inputs.token_signals(spark, sf) if means is None else means).select("batch_id", r6(F.col("entropy"), "entropy"))
 
 
-def clip_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    ratios = loss.clip_ratios(inputs.token_signals(spark, sf))
+def clip_ratios(spark: SparkSession, sf: str, means: DataFrame | None = None) -> DataFrame:
+    ratios = loss.clip_ratios(inputs.token_signals(spark, sf) if means is None else means)
     return ratios.select("batch_id", *[r6(F.col(c), c) for c in ratios.columns if c != "batch_id"])
 
 
@@ -210,8 +211,12 @@ def scored_rollouts(spark: SparkSession, sf: str) -> DataFrame:
 
 def audit_metric_points(spark: SparkSession, sf: str) -> DataFrame:
     """All audits of a run as logged metric points, rolled up by interval; every fifth batch is an evaluation."""
-    audits = [completion_length_stats, reward_stats, zero_std_fraction, kl_stats, entropy_stats, clip_ratios]
-    points = metrics.audit_points([f(spark, sf) for f in audits])
+    # rewards and token signals are computed once, for all audits that read them
+    rows = written(inputs.rewarded(spark, sf).select("batch_id", "prompt_id", "rewards"), "rewards")
+    means = written(loss.shard_means(inputs.token_signals(spark, sf)), "shard-means")
+    points = metrics.audit_points([
+        completion_length_stats(spark, sf), reward_stats(spark, sf, rows), zero_std_fraction(spark, sf, rows),
+        *[f(spark, sf, means) for f in (kl_stats, entropy_stats, clip_ratios)]])
     modes = points.withColumn("mode", F.when(F.col("step") % 5 == 0, "eval").otherwise("train"))
     rolled = metrics.metric_rollup(modes)
     return rolled.select("mode", "interval", "metric", F.round("value", 5).alias("value"), "points")
