@@ -20,7 +20,8 @@ def ingest_replies(requests: DataFrame, replies: DataFrame, keys: list[str]) ->
     texts = replies.select(*keys, number.alias("_order"),
                            F.coalesce(first["message"]["content"], first["text"]).alias("raw"))
     order = Window.partitionBy(*keys).orderBy(F.col("raw").isNull(), F.asc_nulls_last("_order"), F.xxhash64("raw"))
-    one = texts.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*keys, "raw")
+    # a limit on row_number would sort, and spill, all texts before they move as well
+    one = texts.withColumn("_before", F.lag(F.lit(True)).over(order)).where("_before IS NULL").select(*keys, "raw")
     return requests.join(one, keys, "left").fillna("", ["raw"])
 
 
