@@ -48,7 +48,8 @@ def tag_text(raw: Column, tag: str) -> Column:
     # all that follows the opening tag, cut at the closing one: a lazy run up to it would try both at each character
     rest = F.regexp_extract(raw, rf"(?is)<{tag}(?:\s[^>]*)?>(.*)", 1)
     inner = F.get(F.split(rest, rf"(?i)</{tag}\s*>", 2), F.lit(0))
-    bare = F.regexp_replace(inner, r"</?[A-Za-z][^>]*>", "")
+    # most texts hold no other tag, which a search of bytes tells
+    bare = bind(inner, lambda t: F.when(F.contains(t, F.lit("<")), F.regexp_replace(t, r"</?[A-Za-z][^>]*>", "")).otherwise(t))
     return F.coalesce(bind(bare, lambda t: strip(unescape(t))), F.lit(""))
 
 
