@@ -2,7 +2,9 @@
 
 Text in the alphabets of most western languages is cut into the tokenizer's own
 words by one regular expression, and each different word is handed to the
-library's model once, so that frequent words cost a dictionary look-up. Texts
+library's model once, so that frequent words cost a dictionary look-up. Where no
+word holds white space, what stands between it is looked up first, and cut into
+words only if it is new. Texts
 with any other character, or with what may be a special string, go to the
 library whole; so do all texts of a tokenizer whose rules aren't known here.
 Tests hold both ways against each other.
@@ -18,8 +20,10 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words that are kept at hand in a worker; past this it starts anew.
+#: Words, or pieces between white space, that are kept at hand in a worker; past this those used since the last time stay.
 MEMO_WORDS = 200_000
+#: Letters of the longest word that is kept.
+MEMO_LETTERS = 64
 
 # Letters that the Unicode versions in use agree on, are composed, and have one lower-case form.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž"
@@ -40,18 +44,38 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
+    """Ids or count of each word, by the library's model; words in use stay when the others go."""
+
     def __init__(self, model, ids: bool):
-        self.model, self.ids, self.letters = model, ids, _byte_letters()
+        self.model, self.ids, self.letters, self.before = model, ids, _byte_letters(), {}
+
+    def found(self, word: str):
+        plain = word.isascii() and word.isalnum()  # such letters stand for themselves
+        found = self.model.tokenize(word if plain else word.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in found]).tobytes() if self.ids else len(found)
 
     def __missing__(self, word: str):
         if len(self) >= MEMO_WORDS:
+            self.before = dict(self)
             self.clear()
-        plain = word.isascii() and word.isalnum()  # such letters stand for themselves
-        found = self.model.tokenize(word if plain else word.encode().decode("latin-1").translate(self.letters))
-        self[word] = out = array("I", [t.id for t in found]).tobytes() if self.ids else len(found)
+        out = self.before.get(word)
+        if out is None:
+            out = self.found(word)
+        if len(word) <= MEMO_LETTERS:
+            self[word] = out
         return out
 
 
+class _Pieces(_Memo):
+    """Ids of what stands between white space; a piece that is no word is put together from its words'."""
+
+    def found(self, piece: str):
+        if piece.isalpha():
+            return super().found(piece)
+        words = _LOWER_WORDS.findall(piece)
+        return super().found(piece) if len(words) == 1 else b"".join(map(self.__getitem__, words))
+
+
 class Encoder:
     """Ids or counts of texts, without added special tokens, truncation or padding."""
 
@@ -66,6 +90,8 @@ class Encoder:
         self.special = [t["content"] for t in rules["added_tokens"]]
         model = self.tokenizer.model
         self.counts_of, self.ids_of = _Memo(model, False), _Memo(model, True)
+        if self.lower:
+            self.ids_of = _Pieces(model, True)
 
     @staticmethod
     def _known(rules: dict) -> re.Pattern | None:
@@ -93,7 +119,8 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         if self._plain(text):
-            found = map(self.ids_of.__getitem__, self.words.findall(text.lower() if self.lower else text))
+            pieces = text.lower().split() if self.lower else self.words.findall(text)
+            found = map(self.ids_of.__getitem__, pieces)
             return np.frombuffer(b"".join(found), np.uint32)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 

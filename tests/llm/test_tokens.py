@@ -148,3 +148,19 @@ def test_a_full_map_and_few_misses_change_nothing(spark, odd_docs, tmp_path, mon
         wanted + wanted, key=lambda r: [(x is not None, x) for x in r])
     table = spark.read.parquet(path)
     assert table.count() == table.select("content").distinct().count()
+
+
+def test_words_in_use_survive_a_full_memo(monkeypatch):
+    monkeypatch.setattr("stepwright.llm.tokens.MEMO_WORDS", 100)
+    for path, column in ((LOWER, "ids"), (BYTES, "count")):
+        mine, library = Encoder(path), Tokenizer.from_file(path)
+        text = "\n".join(f"The cat's x{i} 'll {i}, don't—stop\tthe" for i in range(2000))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert list(mine.ids(text)) == ids and mine.count(text) == len(ids)
+        memo, asked = mine.ids_of if column == "ids" else mine.counts_of, []
+        found = type(memo).found
+        monkeypatch.setattr(type(memo), "found", lambda self, word: (asked.append(word), found(self, word))[1])
+        getattr(mine, column)("word " + text)
+        assert sum(w.strip() == "the" for w in asked) <= 1 and sum(w.strip() == "cat's" for w in asked) <= 1
+        monkeypatch.undo()
+        monkeypatch.setattr("stepwright.llm.tokens.MEMO_WORDS", 100)
