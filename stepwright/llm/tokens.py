@@ -20,7 +20,7 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words, or pieces between white space, that are kept at hand in a worker; past this those used since the last time stay.
+#: Words, or pieces between white space, that are kept at hand in a worker; past this those in use stay.
 MEMO_WORDS = 200_000
 #: Letters of the longest word that is kept.
 MEMO_LETTERS = 64
