@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,34 @@ def test_no_rows_pass_every_stage(spark, tmp_path):
 def test_run_writes_and_returns_the_last_stage(spark, stages):
     found = pipeline.run(spark, SMALL)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, stages["token_files"][1].collect()))
+
+
+@pytest.mark.parametrize("own", [None, "5m"])
+def test_python_gets_texts_in_small_batches(spark, monkeypatch, own):
+    """16 MB of texts in one partition, and fewer rows than Spark's batch; a session's own setting stays."""
+    if own:
+        spark.conf.set(pipeline.BATCHES, own)
+    else:
+        spark.conf.unset(pipeline.BATCHES)
+    docs = spark.range(0, 1_600, 1, 1).selectExpr("id AS doc_id", "concat(repeat('word ', 2000), id) AS text")
+    found = []
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+    def measured(texts, **_):
+        found.append(texts.select("text").mapInArrow(sizes, "size bigint").agg(F.max("size"), F.count("size")).first())
+        key = pipeline.sections.text_key(F.col("doc_id"), F.col("text"))
+        return texts.select(key.alias("key"), key.alias("keeper"))
+
+    monkeypatch.setattr(pipeline.sections, "groups", measured)
+    try:
+        assert dict(pipeline.STAGES)["near_dedup"](spark, docs, SMALL).count() == 1_600
+    finally:
+        spark.conf.unset(pipeline.BATCHES)
+    (most, n), = found
+    if own:
+        assert 4 << 20 < most < 6 << 20
+    else:
+        assert most < 1.1 * pipeline.BATCH_BYTES and n >= 7
