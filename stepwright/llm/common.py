@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwright.sources.workspace import new_path, written
@@ -14,10 +14,24 @@ from stepwright.sources.workspace import new_path, written
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
 SLICE_BYTES = 1 << 20
 
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 2 << 20
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on, tasks hand texts to Python in batches of BATCH_BYTES.
+
+    By Spark's default of 10,000 rows a batch holds all texts of a split, several times over in either process, and
+    an executor gives such memory back late, if at all. A session that sets the bytes of a batch itself keeps its
+    own. A result runs when it is written, so the setting stays.
+    """
+    if spark.conf.get(BATCHES, None) is None:
+        spark.conf.set(BATCHES, str(BATCH_BYTES))
+
+
 def text_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, one after the other, and where each begins (n + 1 numbers). Null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -39,15 +39,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import SpanHash, slices, sliding_min, text_of
+from stepwright.llm.common import SpanHash, slices, sliding_min, small_batches, text_of
 from stepwright.llm.suffixes import repeated_starts
 from stepwright.sources.workspace import new_path
 
 LENGTH = 100
 GRAM = 16
 RUN = 128   # strings of a region; only periodic text reaches it
-GROUP_REGIONS = 4096   # so that a group fits a chunk
-CHUNK_BYTES = 1 << 20   # segments that one suffix array is built over
+GROUP_REGIONS = 4096   # so that a group has about 1 MB at most
+CHUNK_BYTES = 1 << 18   # segments that one suffix array is built over, or one group if that has more
+SLICE_BYTES = 1 << 18   # texts that one numpy pass works on: a pass holds some dozens of times that
 NO_ID = -(1 << 63)
 
 SPAN = "did bigint, start bigint, end bigint, hash bigint"
@@ -100,7 +101,7 @@ def _instances(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             ids = b["did"].to_numpy()
             data, at = text_of(b["raw"])
-            for low, high in slices(at):
+            for low, high in slices(at, SLICE_BYTES):
                 part, cut = data[at[low]:at[high]], at[low:high + 1] - at[low]
                 hashes, start, end, owner, twice, spans = regions_of(part, cut, length)
                 place = (start - cut[owner]) << 11 | twice.astype(np.int64) << 10 | (end - start)
@@ -132,7 +133,7 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             ids, (data, at), lists = b["did"].to_numpy(), text_of(b["raw"]), b["wanted"]
             first = lists.offsets.to_numpy()
             anchor, region, place = (lists.values.field(c).to_numpy() for c in ("anchor", "region", "place"))
-            for low, high in slices(at):
+            for low, high in slices(at, SLICE_BYTES):
                 part, items = data[at[low]:at[high]], slice(first[low], first[high])
                 owner = np.repeat(np.arange(low, high), np.diff(first[low:high + 1]))
                 start, size = place[items] >> 11, place[items] & 1023
@@ -248,6 +249,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_regions: int = G
 
     Spans overlap; their union is what repeats. `hash` is that of the span's bytes.
     """
+    small_batches(docs.sparkSession)
     found = _instances(docs, length)
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max(_twice("place")).alias("twice")).where(
         "n > 1 or twice").select("anchor")
@@ -313,7 +315,7 @@ def _finished(docs: DataFrame, length: int, group_regions: int, column: str, val
             (data, at), lists = text_of(b["raw"]), b["spans"]
             first = lists.offsets.to_numpy()
             spans = [lists.values.field(c).to_numpy() for c in ("start", "end", "hash")]
-            for low, high in slices(at):
+            for low, high in slices(at, SLICE_BYTES):
                 part, cut = data[at[low]:at[high]], at[low:high + 1] - at[low]
                 own = slice(first[low], first[high])
                 gone = _gone(part, cut, first[low:high + 1], [c[own] for c in spans])

@@ -4,9 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stepwright.llm import substrings, suffixes
+from stepwright.llm.common import BATCH_BYTES, BATCHES
 from tests.llm.odd import LONG, by_text, empty, odd
 
 
@@ -98,3 +101,33 @@ def test_kept_bytes(spark):
     rows = [(1, text, None, None, None), (2, "before " + text + " after", None, None, None)]
     kept = {r.doc_id: bytes(r.kept) for r in substrings.remove_repeats(odd(spark, rows)).collect()}
     assert kept == {1: text.encode(), 2: b"before  after"}
+
+
+@pytest.mark.parametrize("own", [None, str(5 << 20)])
+def test_python_gets_texts_in_small_batches(spark, monkeypatch, own):
+    """16 MB of texts in one partition, and fewer rows than Spark's batch; a session's own setting stays."""
+    if own:
+        spark.conf.set(BATCHES, own)
+    else:
+        spark.conf.unset(BATCHES)
+    docs = spark.range(0, 1_600, 1, 1).selectExpr("id AS doc_id", "concat(repeat('word ', 2000), id) AS text")
+    found, find = [], substrings._instances
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+    def measured(rows, length):
+        found.append(rows.select("raw").mapInArrow(sizes, "size bigint").agg(F.max("size"), F.count("size")).first())
+        return find(rows.where("did < 2"), length)
+
+    monkeypatch.setattr(substrings, "_instances", measured)
+    try:
+        substrings.repeated_spans(substrings._documents(docs))
+    finally:
+        spark.conf.unset(BATCHES)
+    (most, n), = found
+    if own:
+        assert 4 << 20 < most < 6 << 20
+    else:
+        assert most < 1.1 * BATCH_BYTES and n >= 7
